@@ -46,7 +46,7 @@ def canonical(pdf: pd.DataFrame) -> list[tuple]:
 
 
 def kinds(pdf: pd.DataFrame) -> dict[str, str]:
-    return {c: str(pdf[c].dtype) for c in sorted(pdf.columns)}
+    return {c: str(pdf[c].dtype).replace("[ns]", "[us]") for c in sorted(pdf.columns)}
 
 
 def compare(spark, con, name, entry, sf_dir):
