@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.ordered import complete_groups, group_bounds
+
 
 def next_by_time(t: np.ndarray, wait: int) -> np.ndarray:
     """For each row the first later row at least ``wait`` after it, or len(t)."""
@@ -98,22 +100,21 @@ def checkpoint_cadence(
         }
     )
     columns = log.columns
+    block_key = [key, "__block"]
     key_field = log.schema[key]
     block_field = T.StructField("__block", T.LongType())
 
-    def functions(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["step", "__t", tie])
-        t = group["__t"].to_numpy()
-        pairs = clock_function(t, group["__by_step"].to_numpy(), wait)
-        return pd.DataFrame(
-            {
-                key: group[key].iloc[0],
-                "__block": group["__block"].iloc[0],
-                "__first": t[0],
-                "__upto": pd.array([p[0] for p in pairs], dtype="Int64"),
-                "__out": [p[1] for p in pairs],
-            }
-        )
+    def functions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in complete_groups(batches, block_key):
+            t, flags = frame["__t"].to_numpy(), frame["__by_step"].to_numpy()
+            jobs, blocks = frame[key].to_numpy(), frame["__block"].to_numpy()
+            found = [
+                (jobs[a], blocks[a], t[a], upto, out)
+                for a, b in group_bounds(frame, block_key)
+                for upto, out in clock_function(t[a:b], flags[a:b], wait)
+            ]
+            out = pd.DataFrame(found, columns=function_schema.names)
+            yield out.assign(__upto=out["__upto"].astype("Int64"))
 
     function_schema = T.StructType(
         [
@@ -143,24 +144,30 @@ def checkpoint_cadence(
 
     chain_schema = T.StructType([key_field, block_field, T.StructField("__last", T.LongType())])
 
-    def decide(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["step", "__t", tie])
-        saved, _ = walk(
-            group["__t"].to_numpy(), group["__by_step"].to_numpy(), wait, int(group["__last"].iloc[0])
-        )
-        return group[columns].assign(saved=saved)
-
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in complete_groups(batches, block_key):
+            t, flags = frame["__t"].to_numpy(), frame["__by_step"].to_numpy()
+            last = frame["__last"].to_numpy()
+            saved = [
+                walk(t[a:b], flags[a:b], wait, int(last[a]))[0]
+                for a, b in group_bounds(frame, block_key)
+            ]
+            yield frame[columns].assign(saved=np.concatenate(saved))
+
+    in_order = [*block_key, "step", "__t", tie]
     clocks = (
-        rows.select(key, "step", tie, "__t", "__by_step", "__block")
-        .groupBy(key, "__block")
-        .applyInPandas(functions, function_schema)
+        rows.select(*dict.fromkeys([key, "step", tie]), "__t", "__by_step", "__block")
+        .repartition(*block_key)
+        .sortWithinPartitions(*in_order)
+        .mapInPandas(functions, function_schema)
         .repartition(key)
         .sortWithinPartitions(key, "__block", F.asc_nulls_first("__upto"))
         .mapInPandas(chain, chain_schema)
     )
     saved_schema = T.StructType([*log.schema.fields, T.StructField("saved", T.BooleanType())])
     return (
-        rows.join(clocks, [key, "__block"])
-        .groupBy(key, "__block")
-        .applyInPandas(decide, saved_schema)
+        rows.join(clocks, block_key)
+        .repartition(*block_key)
+        .sortWithinPartitions(*in_order)
+        .mapInPandas(decide, saved_schema)
     )

@@ -3,23 +3,25 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+VERDICT = [T.StructField("ok", T.BooleanType()), T.StructField("usage", T.LongType())]
+
 
 class Ledger:
     """Usage and live buffers of one key; shared by the batch and the stream form."""
 
-    def __init__(self, usage: int = 0, live: dict | None = None):
+    def __init__(self, usage: int = 0):
         self.usage = usage
-        self.live = defaultdict(list, live or {})
+        self.live = defaultdict(list)
 
-    def apply(self, op: str, buffer_id, size, limit) -> bool:
+    def apply(self, op: str, buffer_id, size: int | None, limit: int | None) -> bool:
         if op == "track":
-            if limit is None or self.usage + size > limit:
+            if limit is None or size is None or self.usage + size > limit:
                 return False
             self.live[buffer_id].append(size)
             self.usage += size
@@ -32,30 +34,41 @@ class Ledger:
             del self.live[buffer_id]
         return True
 
-
-def _value(v):
-    return None if pd.isna(v) else int(v)
+    def apply_all(self, rows: Iterable[tuple]) -> tuple[list[bool], list[int]]:
+        """Verdict and usage after each (op, buffer_id, size, limit)."""
+        ok, usage = [], []
+        for row in rows:
+            ok.append(self.apply(*row))
+            usage.append(self.usage)
+        return ok, usage
 
 
-def quota_fold(ops: DataFrame, key: str = "key", order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
+def quota_fold(
+    ops: DataFrame, key: str = "key", order: Sequence[str] = ("ts", "event_id")
+) -> DataFrame:
     """Adds ``ok`` (accepted, or released) and ``usage`` after each operation.
 
     Whether an operation counts depends on all earlier ones of its key, so a key
     is read in order by one task, as a stream of batches: the task holds the live
     buffers of the current key and one batch, never the key's log.
     """
-    out = T.StructType([*ops.schema.fields, T.StructField("ok", T.BooleanType()), T.StructField("usage", T.LongType())])
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, ledger = None, Ledger()
         for batch in batches:
             ok, usage = [], []
-            columns = (batch[c] for c in (key, "op", "buffer_id", "size", "limit_bytes"))
-            for k, op, buffer_id, size, limit in zip(*columns):
+            columns = [
+                batch.column(c).to_pylist() for c in (key, "op", "buffer_id", "size", "limit_bytes")
+            ]
+            for k, *row in zip(*columns):
                 if k != current:
                     current, ledger = k, Ledger()
-                ok.append(ledger.apply(op, _value(buffer_id), _value(size), _value(limit)))
+                ok.append(ledger.apply(*row))
                 usage.append(ledger.usage)
-            yield batch.assign(ok=ok, usage=usage)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(ok, pa.bool_()), pa.array(usage, pa.int64())],
+                names=[*batch.schema.names, "ok", "usage"],
+            )
 
-    return ops.repartition(key).sortWithinPartitions(key, *order).mapInPandas(fold, out)
+    out = T.StructType([*ops.schema.fields, *VERDICT])
+    return ops.repartition(key).sortWithinPartitions(key, *order).mapInArrow(fold, out)

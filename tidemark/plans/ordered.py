@@ -12,8 +12,9 @@ the ``by`` columns must not be null. Results equal the plain window exactly.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,3 +110,34 @@ def previous_row(
             for name in values
         ],
     )
+
+
+def complete_groups(
+    batches: Iterator[pd.DataFrame], keys: Sequence[str]
+) -> Iterator[pd.DataFrame]:
+    """Regroups sorted batches so that no group of ``keys`` is split between two.
+
+    For ``mapInPandas`` after ``repartition(keys).sortWithinPartitions(keys, ...)``:
+    many small groups arrive in one frame, without a Python call per group. Only
+    the group at the end of a batch is held back.
+    """
+    held = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        if held is not None:
+            batch = pd.concat([held, batch], ignore_index=True)
+        last = (batch[list(keys)] == batch[list(keys)].iloc[-1]).all(axis=1)
+        cut = len(batch) - int(last.iloc[::-1].cumprod().sum())
+        if cut:
+            yield batch.iloc[:cut].reset_index(drop=True)
+        held = batch.iloc[cut:]
+    if held is not None:
+        yield held.reset_index(drop=True)
+
+
+def group_bounds(frame: pd.DataFrame, keys: Sequence[str]) -> list[tuple[int, int]]:
+    """Start and end row of each run of equal ``keys`` in a sorted frame."""
+    columns = frame[list(keys)]
+    starts = [0, *((columns != columns.shift()).any(axis=1).to_numpy().nonzero()[0][1:])]
+    return list(zip(starts, [*starts[1:], len(frame)]))

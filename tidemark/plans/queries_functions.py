@@ -1 +1,186 @@
+"""Named queries: user functions and model inference."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import remote
+from ..operators import inference, scoring
+from . import views
+from .fixture_sql import over
+from .registry import query
+
+
+def _cents(frame):
+    return frame.assign(cents=(frame["value"] * 100).round().astype("int64"))[["event_id", "cents"]]
+
+
+@query("run_function", "SELECT event_id, CAST(round(value * 100) AS BIGINT) AS cents FROM events")
+def run_function(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "events").select("event_id", "value")
+    return remote.run(rows, _cents, "event_id bigint, cents bigint")
+
+
+def _total(frame):
+    return frame.assign(n=1).groupby("event_type", as_index=False).agg(n=("n", "sum"), top=("value", "max"))
+
+
+def _merge_totals(parts):
+    return parts.groupby("event_type", as_index=False).agg(n=("n", "sum"), top=("top", "max"))
+
+
+@query(
+    "run_function_by_key",
+    "SELECT event_type, count(*) AS n, max(value) AS top FROM events GROUP BY event_type",
+)
+def run_function_by_key(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "events").select("event_type", "value")
+    schema = "event_type string, n bigint, top double"
+    return remote.run(rows, _total, schema, "event_type", _merge_totals)
+
+
+@remote.on_table("event_id bigint, band string", limit=100.0)
+def _band(frame, limit):
+    band = (frame["value"] > limit).map({True: "high", False: "low"})
+    return frame.assign(band=band)[["event_id", "band"]]
+
+
+@query(
+    "on_table",
+    "SELECT event_id, CASE WHEN value > 250 THEN 'high' ELSE 'low' END AS band FROM events",
+)
+def on_table(spark, sf_dir):
+    return _band(views.table(spark, sf_dir, "events").select("event_id", "value"), limit=250.0)
+
+
+def _count_or_fail(frame):
+    worst = float(frame["value"].max())
+    if worst > 400:
+        raise ValueError("value above 400")
+    return {"n": len(frame)}
+
+
+def _join_counts(parts):
+    return {"n": sum(p["n"] for p in parts)}
+
+
+@query(
+    "capture_outcomes",
+    """
+SELECT user_id, CASE WHEN max(value) > 400 THEN 'failed' ELSE 'completed' END AS status,
+  CASE WHEN max(value) > 400 THEN 'ValueError: value above 400' END AS error,
+  CASE WHEN max(value) <= 400 THEN concat('{"n": ', count(*), '}') END AS result
+FROM events GROUP BY user_id""",
+)
+def capture_outcomes(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "events").select("user_id", "value")
+    return remote.capture_outcomes(rows, _count_or_fail, "user_id", _join_counts).drop("traceback")
+
+
+@query("embed_column")
+def embed_column(spark, sf_dir):
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return inference.embed_column(docs).drop("text")
+
+
+@query(
+    "batch_generate",
+    over(
+        "mcq",
+        """
+SELECT item_id, task_type, CASE task_type WHEN 'mcq' THEN 'A' WHEN 'mt' THEN 'This is a stub translation.'
+  WHEN 'ssg' THEN 'This is a stub story generation.' ELSE 'Stub response' END AS generation,
+  'completed' AS status, NULL::VARCHAR AS error FROM mcq""",
+    ),
+)
+def batch_generate(spark, sf_dir):
+    prompts = views.mcq(spark, sf_dir).select("item_id", F.col("generation").alias("prompt"), "task_type")
+    return inference.batch_generate(prompts).drop("prompt")
+
+
+class ShortEcho:
+    """A stand-in model: the first characters of the prompt, as many as tokens allowed."""
+
+    def generate(self, prompts, temperatures, max_new_tokens):
+        return [p[:n] for p, n in zip(prompts, max_new_tokens)]
+
+
+@query(
+    "batch_generate_with_model",
+    over(
+        "mcq",
+        """
+SELECT item_id, task_type, CASE WHEN task_type <> 'other' THEN trim(substr(generation,  1,
+    CASE task_type WHEN 'mcq' THEN 4 WHEN 'mt' THEN 200 ELSE 100 END), chr(32) || chr(9) || chr(10) || chr(13)) END AS generation,
+  CASE WHEN task_type = 'other' THEN 'failed' ELSE 'completed' END AS status,
+  CASE WHEN task_type = 'other' THEN 'invalid task type' END AS error FROM mcq""",
+    ),
+)
+def batch_generate_with_model(spark, sf_dir):
+    prompts = views.mcq(spark, sf_dir).select("item_id", F.col("generation").alias("prompt"), "task_type")
+    return inference.batch_generate(prompts, model_factory=ShortEcho).drop("prompt")
+
+
+def letter_counts():
+    """A stand-in model: the score of letter id i is how often that capital letter occurs."""
+    import numpy as np
+
+    def predict(prompts):
+        return np.array([[p.count(chr(65 + i)) for i in range(26)] for p in prompts], dtype="float32")
+
+    return predict
+
+
+@query(
+    "next_token_scores",
+    over(
+        "mcq",
+        """
+WITH s AS (SELECT item_id, reference, list_transform(['A', 'B', 'C', 'D'],
+    lambda l: length(generation) - length(replace(generation, l, ''))) AS c FROM mcq)
+SELECT item_id, reference, substr('ABCD', CAST(list_position(c, list_max(c)) AS INT), 1) AS predicted,
+  CAST(c[1] AS DOUBLE) AS a_score,
+  CASE WHEN substr('ABCD', CAST(list_position(c, list_max(c)) AS INT), 1) = reference THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score
+FROM s""",
+    ),
+)
+def next_token_scores(spark, sf_dir):
+    prompts = views.mcq(spark, sf_dir).select(
+        "item_id", F.col("generation").alias("prompt"), "reference"
+    )
+    scored = inference.next_token_scores(prompts, letter_counts)
+    letters = {"A": 0, "B": 1, "C": 2, "D": 3}
+    return scoring.logit_accuracy(scored, letters).select(
+        "item_id",
+        "reference",
+        "predicted",
+        F.get("scores", F.lit(0)).cast("double").alias("a_score"),
+        "score",
+    )
+
+
+def length_logprobs():
+    """A stand-in model: a blank-separated word is the less likely the longer it is."""
+
+    def score(texts):
+        return [[-0.25 * len(w) for w in t.split(" ")[1:]] for t in texts]
+
+    return score
+
+
+@query(
+    "token_logprobs",
+    over(
+        "mcq",
+        """
+SELECT item_id AS seq_id, len(w) - 1 AS scored, round(CASE WHEN len(w) < 2 THEN 'inf'::DOUBLE
+  ELSE exp(list_sum(list_transform(w[2:], lambda x: 0.25 * length(x))) / (len(w) - 1)) END, 4) AS perplexity
+FROM (SELECT item_id, string_split(generation, ' ') AS w FROM mcq)""",
+    ),
+)
+def token_logprobs(spark, sf_dir):
+    texts = views.mcq(spark, sf_dir).select(
+        F.col("item_id").alias("seq_id"), F.col("generation").alias("text")
+    )
+    scores = inference.token_logprobs(texts, length_logprobs)
+    return scoring.perplexity(scores, texts).withColumn("perplexity", F.round("perplexity", 4))

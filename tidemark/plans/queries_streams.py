@@ -1 +1,246 @@
+"""Named queries: sources, sinks and streams; their files lie in the scratch folder."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import remote
+from ..operators import latency as lt
+from ..operators.checkpoints import save_record
+from ..sources import control as ctl
+from ..sources import files, tables
+from ..streaming import dedupe, expiry, runs, stateful
+from . import views
+from .fixture_sql import over
+from .queries_functions import _count_or_fail, _join_counts
+from .queries_report import _STATS, _rounded
+from .registry import query
+from .scratch import scratch_dir
+
+_SUPPLIER_SAVES = """SELECT s_nationkey AS job_id, s_suppkey AS step, CASE s_suppkey % 3 WHEN 0 THEN 'pytorch' WHEN 1 THEN 'sklearn' ELSE 'xgboost' END AS framework, s_acctbal AS balance FROM supplier"""
+
+
+def _supplier_saves(spark, sf_dir):
+    """One save per supplier: a small table, because each row becomes a file."""
+    kind = F.col("s_suppkey") % 3
+    saves = views.table(spark, sf_dir, "supplier").select(
+        F.col("s_nationkey").cast("string").alias("job_id"),
+        F.col("s_suppkey").cast("int").alias("step"),
+        F.when(kind == 0, "pytorch").when(kind == 1, "sklearn").otherwise("xgboost").alias("framework"),
+        F.col("s_acctbal").alias("created_at"),
+    )
+    return save_record(saves).withColumn("extra", F.create_map(F.lit("auto"), F.lit("true")))
+
+
+def _folder(spark, sf_dir, suffix, content):
+    path = scratch_dir(spark, "files")
+    name = F.concat_ws("/", "job_id", F.concat("filename", F.lit(suffix)))
+    rows = _supplier_saves(spark, sf_dir).select(name.alias("name"), content.alias("content"))
+    files.write_named_files(rows, path)
+    return path
+
+
+_NAME = """concat('ckpt_0_', step, CASE framework WHEN 'pytorch' THEN '.pt' WHEN 'sklearn' THEN '.pkl' ELSE '.json' END)"""
+
+
+@query(
+    "read_sidecars",
+    f"""
+SELECT CAST(job_id AS VARCHAR) AS job_id, 0 AS epoch, CAST(step AS INT) AS step, framework, balance AS created_at,
+  'true' AS auto, {_NAME} AS filename FROM ({_SUPPLIER_SAVES})""",
+)
+def read_sidecars(spark, sf_dir):
+    path = _folder(spark, sf_dir, ".meta.json", files.sidecar_text())
+    auto = F.try_element_at("extra", F.lit("auto")).alias("auto")
+    return files.read_sidecars(spark, path).select(
+        "job_id", "epoch", "step", "framework", "created_at", auto, "filename"
+    )
+
+
+@query(
+    "scan_files",
+    f"""
+SELECT {_NAME} AS filename, CAST(job_id AS VARCHAR) AS job_id, CAST(length(framework) AS BIGINT) AS bytes FROM ({_SUPPLIER_SAVES})""",
+)
+def scan_files(spark, sf_dir):
+    path = _folder(spark, sf_dir, "", F.col("framework"))
+    return files.scan_files(spark, path).select(
+        "filename", F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("job_id"), "bytes"
+    )
+
+
+@query(
+    "read_lock_records",
+    """
+SELECT concat(s_suppkey, '.lock') AS file, s_suppkey + 100 AS pid, s_name AS owner, s_nationkey AS device,
+  CAST(s_suppkey % 1000 AS INT) AS fraction_pm, concat('partition_', s_suppkey) AS partition_id FROM supplier""",
+)
+def read_lock_records(spark, sf_dir):
+    path = scratch_dir(spark, "locks")
+    number = F.col("s_suppkey")
+    lines = [
+        F.concat(F.lit("pid: "), number + 100),
+        F.concat(F.lit("user: "), F.col("s_name")),
+        F.concat(F.lit("device: "), F.col("s_nationkey")),
+        F.concat(F.lit("fraction: "), number % 1000),
+        F.concat(F.lit("partition: partition_"), number),
+        F.lit(""),
+    ]
+    rows = views.table(spark, sf_dir, "supplier").select(
+        F.concat(number, F.lit(".lock")).alias("name"), F.concat_ws("\n", *lines).alias("content")
+    )
+    files.write_named_files(rows, path)
+    return files.read_lock_records(spark, path)
+
+
+@query(
+    "write_artifacts",
+    over(
+        "artifact_l1",
+        """
+SELECT job_id, regexp_replace(name, '^.*/', '') AS name, content, saved_at + 1 AS saved_at FROM artifact_l1""",
+    ),
+)
+def write_artifacts(spark, sf_dir):
+    path = scratch_dir(spark, "artifacts")
+    first = views.artifact_l1(spark, sf_dir)
+    tables.write_artifacts(first.withColumn("content", F.lit("old")), path)
+    tables.write_artifacts(first.withColumn("saved_at", F.col("saved_at") + 1), path)
+    return tables.read_artifacts(spark, path).select(
+        "job_id", "name", F.col("content").cast("string").alias("content"), "saved_at"
+    )
+
+
+@query(
+    "results_csv",
+    over(
+        "latency",
+        """
+SELECT name, round(avg(ms), 6) AS mean_ms, round(stddev_pop(ms), 6) AS stddev_ms, round(min(ms), 6) AS min_ms,
+  round(max(ms), 6) AS max_ms FROM latency GROUP BY name""",
+    ),
+)
+def results_csv(spark, sf_dir):
+    path = scratch_dir(spark, "results")
+    tables.write_results_csv(_rounded(lt.latency_summary(views.latency(spark, sf_dir))), path)
+    return tables.read_results_csv(spark, path).select("name", *_STATS)
+
+
+@query(
+    "write_job_outcomes",
+    """
+SELECT CASE WHEN max(value) > 400 THEN 'error' ELSE 'result' END AS kind, user_id,
+  CASE WHEN max(value) > 400 THEN 'ValueError: value above 400' ELSE concat('{"n": ', count(*), '}') END AS text
+FROM events GROUP BY user_id""",
+)
+def write_job_outcomes(spark, sf_dir):
+    path = scratch_dir(spark, "outcomes")
+    rows = views.table(spark, sf_dir, "events").select("user_id", "value")
+    outcomes = remote.capture_outcomes(rows, _count_or_fail, "user_id", _join_counts)
+    tables.write_job_outcomes(outcomes, path)
+    good = tables.read_job_results(spark, path).select(
+        F.lit("result").alias("kind"), "user_id", F.col("result").alias("text")
+    )
+    bad = tables.read_job_errors(spark, path).select(
+        F.lit("error").alias("kind"), "user_id", F.col("error").alias("text")
+    )
+    return good.unionByName(bad)
+
+
+def _cents(batch):
+    return batch.select("event_type", F.round(F.col("value") * 100).cast("bigint").alias("cents"))
+
+
+@query(
+    "resumable_run",
+    """
+SELECT event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents
+FROM events GROUP BY event_type""",
+)
+def resumable_run(spark, sf_dir):
+    path = scratch_dir(spark, "run")
+    source = views.stream(spark, sf_dir, "events")
+    runs.resumable_run(source, path, _cents)
+    runs.resumable_run(source, path, _cents)  # nothing is left, nothing is done twice
+    done = runs.output(spark, path)
+    return done.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
+
+
+@query("last_checkpoint_info", "SELECT count(*) AS rows_done FROM events")
+def last_checkpoint_info(spark, sf_dir):
+    path = scratch_dir(spark, "run")
+    runs.resumable_run(views.stream(spark, sf_dir, "events"), path, _cents)
+    return runs.last_checkpoint_info(spark, path).select("rows_done")
+
+
+@query(
+    "cooperative_pause",
+    """
+SELECT 'paused' AS first_status, 'completed' AS second_status, event_type, count(*) AS n FROM events GROUP BY event_type""",
+)
+def cooperative_pause(spark, sf_dir):
+    path = scratch_dir(spark, "run")
+    control = ctl.Control(spark, f"{path}/control")
+    source = views.stream(spark, sf_dir, "events")
+    control.pause()
+    first = runs.resumable_run(source, path, _cents, control)
+    control.resume()
+    second = runs.resumable_run(source, path, _cents, control)
+    return (
+        runs.output(spark, path)
+        .groupBy("event_type")
+        .agg(F.count("*").alias("n"))
+        .select(
+            F.lit(first.status).alias("first_status"),
+            F.lit(second.status).alias("second_status"),
+            "event_type",
+            "n",
+        )
+    )
+
+
+@query("dedupe_submissions_stream", over("submission", "SELECT DISTINCT job_id FROM submission"))
+def dedupe_submissions_stream(spark, sf_dir):
+    rows = views.submission_of(views.stream(spark, sf_dir, "events"))
+    seen = dedupe.dedupe_stream(rows, "40 days")
+    return runs.run_to_table(seen.select("job_id"), scratch_dir(spark, "dedupe"))
+
+
+@query(
+    "expire_stream",
+    over(
+        "lease",
+        """
+SELECT lease_id, device_id, owner, end_ts AS expired_at FROM lease WHERE duration_s > 0
+  AND end_ts <= (SELECT date_trunc('milliseconds', max(start_ts)) FROM lease WHERE duration_s > 0)""",
+    ),
+)
+def expire_stream(spark, sf_dir):
+    leases = views.lease_of(views.stream(spark, sf_dir, "events"))
+    return runs.run_to_table(expiry.expire_stream(leases), scratch_dir(spark, "expiry"))
+
+
+def _staged(spark, df, purpose):
+    """A derived table written out once, so that it can be read as a stream."""
+    path = scratch_dir(spark, purpose)
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+@query(
+    "checkpoint_cadence_stream",
+    over("step_log", "SELECT job_id, event_id, step, step % 10 = 0 AS saved FROM step_log"),
+)
+def checkpoint_cadence_stream(spark, sf_dir):
+    log = _staged(spark, views.step_log(spark, sf_dir), "steps")
+    saved = stateful.checkpoint_cadence_stream(log, 10)
+    return runs.run_to_table(
+        saved.select("job_id", "event_id", "step", "saved"), scratch_dir(spark, "cadence")
+    )
+
+
+@query("quota_stream")
+def quota_stream(spark, sf_dir):
+    ops = _staged(spark, views.buffer_op(spark, sf_dir), "ops")
+    folded = stateful.quota_stream(ops).select("event_id", "key", "ok", "usage")
+    return runs.run_to_table(folded, scratch_dir(spark, "quota"))

@@ -126,11 +126,26 @@ def ckpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 1000) -> DataFrame:
+    """The same table read as a stream of its files.
+
+    The path is a glob because a stream accepts a table of one file only so.
+    """
+    return (
+        spark.readStream.schema(table(spark, sf_dir, name).schema)
+        .option("maxFilesPerTrigger", files_per_batch)
+        .parquet(f"{sf_dir}/{name}.parque[t]")
+    )
+
+
 def lease(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lease_of(table(spark, sf_dir, "events"))
+
+
+def lease_of(events: DataFrame) -> DataFrame:
     duration = F.round(F.col("value") * 100).cast("bigint") - 50
     return (
-        table(spark, sf_dir, "events")
-        .withColumn("duration_s", duration)
+        events.withColumn("duration_s", duration)
         .select(
             F.col("event_id").alias("lease_id"),
             (F.col("user_id") % 8).alias("device_id"),
@@ -182,7 +197,11 @@ def job_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def submission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+    return submission_of(table(spark, sf_dir, "events"))
+
+
+def submission_of(events: DataFrame) -> DataFrame:
+    return events.select(
         "event_id",
         "ts",
         F.expr("event_id * 9 DIV 10").alias("job_id"),
