@@ -25,19 +25,15 @@ def tokenize(text: Column | str) -> Column:
     return F.regexp_extract_all(_col(text), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
-def _windows(tokens: Column, n: int, make: Callable[[Column], Column], empty: str) -> Column:
+def ngrams(tokens: Column | str, n: int) -> Column:
+    """All runs of n tokens, as arrays; empty when n <= 0 or there are fewer tokens."""
+    tokens, empty = _col(tokens), F.array().cast("array<array<string>>")
     if n <= 0:
-        return F.array().cast(empty)
+        return empty
     # sequence(1, 0) counts down, hence the guard on size.
     starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-    return F.when(F.size(tokens) >= n, F.transform(starts, lambda i: make(F.slice(tokens, i, n)))).when(
-        tokens.isNotNull(), F.array().cast(empty)
-    )
-
-
-def ngrams(tokens: Column | str, n: int) -> Column:
-    """All runs of n tokens, as arrays; empty when n <= 0 or there are fewer tokens."""
-    return _windows(_col(tokens), n, lambda s: s, "array<array<string>>")
+    runs = F.transform(starts, lambda i: F.slice(tokens, i, n))
+    return F.when(F.size(tokens) >= n, runs).when(tokens.isNotNull(), empty)
 
 
 def gram_keys(tokens: Column | str, n: int, escape: bool = False) -> Column:
@@ -45,17 +41,30 @@ def gram_keys(tokens: Column | str, n: int, escape: bool = False) -> Column:
 
     Strings group and de-duplicate by hash, arrays of arrays do not. The default
     tokenizer never yields a blank, so a blank separates without ambiguity; pass
-    ``escape=True`` for a tokenizer that may.
+    ``escape=True`` for a tokenizer that may. ``tokens`` should be a plain column:
+    it is looked up once per token.
     """
-    tokens = _col(tokens)
+    tokens, empty = _col(tokens), F.array().cast("array<string>")
+    if n <= 0:
+        return empty
     if escape:
-        tokens = F.transform(
-            tokens,
-            lambda t: F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit(" "), F.lit("\\_")),
-        )
-    if n == 1:
+
+        def part(t: Column) -> Column:
+            slashes = F.replace(t, F.lit("\\"), F.lit("\\\\"))
+            return F.replace(slashes, F.lit(" "), F.lit("\\_"))
+    else:
+        part = lambda t: t
+
+    def gram(i: Column) -> Column:
+        pieces = [part(F.get(tokens, i))]
+        for k in range(1, n):
+            pieces += [F.lit(" "), part(F.get(tokens, i + k))]
+        return F.concat(*pieces)
+
+    if n == 1 and not escape:
         return tokens
-    return _windows(tokens, n, lambda s: F.array_join(s, " "), "array<string>")
+    runs = F.transform(F.sequence(F.lit(0), F.size(tokens) - n), gram)
+    return F.when(F.size(tokens) >= n, runs).when(tokens.isNotNull(), empty)
 
 
 def split_sentences(text: Column | str) -> Column:
@@ -71,9 +80,9 @@ def mcq_letter(generation: Column | str) -> Column:
     return F.nullif(F.upper(F.regexp_extract(_col(generation), MCQ_LETTER, 1)), F.lit(""))
 
 
-def ngram_diversity(tokens: Column | str, n: int = 2, escape: bool = False) -> Column:
-    """Distinct over total n-grams of one row; 0.0 when there are none."""
-    grams = gram_keys(tokens, n, escape)
+def distinct_ratio(grams: Column | str) -> Column:
+    """Distinct over total items of an array; 0.0 when there are none."""
+    grams = _col(grams)
     return F.when(
         F.size(grams) > 0, F.size(F.array_distinct(grams)) / F.size(grams).cast("double")
     ).otherwise(F.lit(0.0))

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.ordered import complete_groups, group_bounds
+from ..functions.times import micros
+from ..plans.ordered import complete_groups, group_bounds, spread_by
 
 
 def next_by_time(t: np.ndarray, wait: int) -> np.ndarray:
@@ -91,10 +92,9 @@ def checkpoint_cadence(
         return log.withColumn("saved", by_step)
 
     wait = every_seconds * 1_000_000
-    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
     rows = log.withColumns(
         {
-            "__t": F.timestamp_diff("MICROSECOND", epoch, "ts"),
+            "__t": micros("ts"),
             "__by_step": by_step,
             "__block": F.floor(F.col("step") / block),
         }
@@ -155,19 +155,18 @@ def checkpoint_cadence(
             yield frame[columns].assign(saved=np.concatenate(saved))
 
     in_order = [*block_key, "step", "__t", tie]
+    steps = rows.select(*dict.fromkeys([key, "step", tie]), "__t", "__by_step", "__block")
+    functions_of_blocks = (
+        spread_by(steps, *block_key).sortWithinPartitions(*in_order).mapInPandas(functions, function_schema)
+    )
     clocks = (
-        rows.select(*dict.fromkeys([key, "step", tie]), "__t", "__by_step", "__block")
-        .repartition(*block_key)
-        .sortWithinPartitions(*in_order)
-        .mapInPandas(functions, function_schema)
-        .repartition(key)
+        spread_by(functions_of_blocks, key)
         .sortWithinPartitions(key, "__block", F.asc_nulls_first("__upto"))
         .mapInPandas(chain, chain_schema)
     )
     saved_schema = T.StructType([*log.schema.fields, T.StructField("saved", T.BooleanType())])
     return (
-        rows.join(clocks, block_key)
-        .repartition(*block_key)
+        spread_by(rows.join(clocks, block_key), *block_key)
         .sortWithinPartitions(*in_order)
         .mapInPandas(decide, saved_schema)
     )

@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordered import running_sum, time_bucket
+from ..functions.times import time_bucket
+from ..plans.ordered import running_sum
 
 FILE_KEY = ["job_id", "tier", "filename"]
 

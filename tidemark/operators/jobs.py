@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordered import previous_row, running_sum, time_bucket
+from ..functions.times import time_bucket, whole_seconds
+from ..plans.ordered import previous_row, running_sum
 
 # States of a job, and the states that may come before each of them
 # (running is a start or a resume).
@@ -58,13 +59,10 @@ def job_timeline(events: DataFrame) -> DataFrame:
         F.col("__end.status").alias("final_status"),
     )
 
-    def seconds(a: str, b: str) -> Column:
-        return F.timestamp_diff("SECOND", a, b)
-
     return (
-        stamped.withColumn("wait_s", seconds("created_at", "started_at"))
-        .withColumn("run_s", seconds("started_at", "completed_at"))
-        .withColumn("total_s", seconds("created_at", "completed_at"))
+        stamped.withColumn("wait_s", whole_seconds("created_at", "started_at"))
+        .withColumn("run_s", whole_seconds("started_at", "completed_at"))
+        .withColumn("total_s", whole_seconds("created_at", "completed_at"))
     )
 
 

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordered import row_rank, running_sum, time_bucket
+from ..functions.times import time_bucket, whole_seconds
+from ..plans.ordered import row_rank, running_sum, running_sums
 
 # Fixed value: a whole device in per-mille.
 WHOLE = 1000
@@ -38,7 +39,7 @@ def active_leases(leases: DataFrame, at: Column) -> DataFrame:
 
 def time_remaining(leases: DataFrame, at: Column) -> DataFrame:
     """Adds the whole seconds left at a time, 0 when not active."""
-    elapsed = F.timestamp_diff("SECOND", F.col("start_ts"), at)
+    elapsed = whole_seconds("start_ts", at)
     left = F.greatest(F.lit(0), F.col("duration_s") - elapsed)
     return leases.withColumn("remaining_s", F.when(_is_active(at), left).otherwise(F.lit(0)))
 
@@ -149,11 +150,14 @@ def lock_conflicts(leases: DataFrame, unit: str = "HOUR") -> DataFrame:
             )
         ),
     )
-    order = [F.col("at"), F.col("delta"), F.col("lease_id")]
     step = F.col("delta").cast("bigint")
-    bucket = time_bucket("at", unit)
-    held = running_sum(edges, lock, bucket, order, {"__all": step})
-    held = running_sum(held, [*lock, "owner"], bucket, order, {"__own": step})
+    held = running_sums(
+        edges,
+        lock,
+        time_bucket("at", unit),
+        [F.col("at"), F.col("delta"), F.col("lease_id")],
+        {"__all": (step, ()), "__own": (step, ["owner"])},
+    )
     other = F.col("__all") - F.col("__own")
     return (
         held.filter((F.col("delta") == 1) & (F.col("__all") > 1))

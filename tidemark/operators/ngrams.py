@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..plans.ordered import spread_by
 
 # Fixed value: smoothing inside the logarithm of a precision.
 BLEU_EPSILON = 1e-9
@@ -61,8 +62,7 @@ def clipped_counts(
     """
     escape = tokenizer is not tx.tokenize
     sides = (
-        pairs.select(*by, key, cand, ref)
-        .repartition(key)
+        spread_by(pairs.select(*by, key, cand, ref), key)
         .select(
             *by,
             key,
@@ -142,9 +142,10 @@ def ngram_diversity(
 ) -> DataFrame:
     """Distinct over total n-grams per row."""
     tokens = df.select(key, tokenizer(F.col(text)).alias("tokens"))
-    return tokens.select(
-        key, tx.ngram_diversity("tokens", n, tokenizer is not tx.tokenize).alias("diversity")
+    grams = tokens.select(
+        key, tx.gram_keys("tokens", n, tokenizer is not tx.tokenize).alias("grams")
     )
+    return grams.select(key, tx.distinct_ratio("grams").alias("diversity"))
 
 
 def corpus_ngram_diversity(

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..plans.ordered import spread_by
+
 VERDICT = [T.StructField("ok", T.BooleanType()), T.StructField("usage", T.LongType())]
 
 
@@ -71,4 +73,4 @@ def quota_fold(
             )
 
     out = T.StructType([*ops.schema.fields, *VERDICT])
-    return ops.repartition(key).sortWithinPartitions(key, *order).mapInArrow(fold, out)
+    return spread_by(ops, key).sortWithinPartitions(key, *order).mapInArrow(fold, out)

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .ngrams import explode_tokens
 
 # Fixed values: (temperature, max_new_tokens) by task, and for any other task.
 TASK_DEFAULTS = {"mcq": (0.0, 4), "mt": (0.0, 200), "ssg": (0.7, 100)}
@@ -102,53 +101,60 @@ def bigram_perplexity(
 ) -> DataFrame:
     """Perplexity of each text under the add-one bigram model of all the texts.
 
-    Counts are taken per text before they meet the model, so a frequent bigram
-    sends one row per text, not one per occurrence.
+    One pass makes (token, next token) counts per text; the last token of a text is
+    marked as an end and a text without tokens keeps a marker row. Counting per text
+    first means that a frequent bigram sends one row per text, not one per
+    occurrence. All uses read that one shuffle, so conditions stand inside the sums:
+    a filter would be pushed below the shuffle and make it another one.
     """
     tokens = docs.select(key, tokenizer(F.col(text)).alias("tokens"))
-    words = F.size("tokens")
-    bigrams = (
-        tokens.filter(words >= 2)
-        .select(
+    bigram = ["w1", "w2", "kind"]
+    follows, ends, nothing = 0, 1, 2
+    per_text = (
+        tokens.select(
             key,
-            F.inline(
+            F.inline_outer(
                 F.zip_with(
-                    F.slice("tokens", F.lit(1), words - 1),
-                    F.slice("tokens", F.lit(2), words - 1),
-                    lambda a, b: F.struct(a.alias("w1"), b.alias("w2")),
+                    "tokens",
+                    F.slice("tokens", F.lit(2), F.greatest(F.size("tokens"), F.lit(0))),
+                    lambda a, b: F.struct(
+                        a.alias("a"), b.alias("b"), F.when(b.isNull(), ends).otherwise(follows).alias("k")
+                    ),
                 )
             ),
         )
-        .groupBy(key, "w1", "w2")
+        .select(
+            key,
+            F.coalesce("a", F.lit("")).alias("w1"),
+            F.coalesce("b", F.lit("")).alias("w2"),
+            F.coalesce("k", F.lit(nothing)).alias("kind"),
+        )
+        .groupBy(key, *bigram)
         .agg(F.count("*").alias("c"))
     )
-    pair_counts = bigrams.groupBy("w1", "w2").agg(F.sum("c").alias("pair_count"))
-    word_counts = (
-        explode_tokens(docs, key, text, tokenizer)
-        .groupBy(F.col("token").alias("w1"))
-        .agg(F.count("*").alias("word_count"))
+    pair_counts = per_text.groupBy(*bigram).agg(F.sum("c").alias("pair_count"))
+    word_counts = per_text.groupBy("w1").agg(
+        F.sum(F.when(F.col("kind") != nothing, F.col("c"))).alias("word_count")
     )
-    distinct_words = word_counts.agg(F.count("*")).scalar()
+    distinct_words = word_counts.agg(F.count("word_count")).scalar()
     model = pair_counts.join(word_counts, "w1").select(
-        "w1",
-        "w2",
+        *bigram,
         F.ln((F.col("pair_count") + 1) / (F.col("word_count") + distinct_words)).alias("logp"),
     )
-    scored = (
-        bigrams.join(model, ["w1", "w2"])
+    is_pair = F.col("kind") == follows
+    return (
+        per_text.join(model, bigram)
         .groupBy(key)
         .agg(
-            F.sum("c").alias("scored"),
-            F.exp(-F.sum(F.col("c") * F.col("logp")) / F.sum("c")).alias("bigram_ppl"),
+            F.coalesce(F.sum(F.when(is_pair, F.col("c"))), F.lit(0)).alias("scored"),
+            F.sum(F.when(is_pair, F.col("c") * F.col("logp"))).alias("__logp"),
         )
-    )
-    return (
-        docs.select(key)
-        .join(scored, key, "left")
         .select(
             key,
-            F.coalesce("scored", F.lit(0)).alias("scored"),
-            F.coalesce("bigram_ppl", F.lit(float("inf"))).alias("bigram_ppl"),
+            "scored",
+            F.when(F.col("scored") > 0, F.exp(-F.col("__logp") / F.col("scored")))
+            .otherwise(F.lit(float("inf")))
+            .alias("bigram_ppl"),
         )
     )
 

@@ -21,41 +21,60 @@ from pyspark.sql import functions as F
 _BUCKET = "__bucket"
 
 
-def time_bucket(ts: Column | str, unit: str = "HOUR") -> Column:
-    """Whole units since 1970 of a TIMESTAMP_NTZ, free of any time zone."""
-    return F.timestamp_diff(unit, F.lit("1970-01-01").cast("timestamp_ntz"), ts)
+def spread_by(df: DataFrame, *columns: str | Column) -> DataFrame:
+    """Hash-partitions by ``columns`` into the session's number of shuffle partitions.
 
+    With the number given, adaptive execution does not merge small partitions: right
+    for rows whose work (n-grams, Python) is far larger than their bytes suggest.
+    """
+    number = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(number, *columns)
 
-def running_sum(
+
+def running_sums(
     df: DataFrame,
     by: Sequence[str],
     bucket: Column,
     order: Sequence[Column],
-    sums: Mapping[str, Column],
+    sums: Mapping[str, tuple[Column, Sequence[str]]],
     descending: bool = False,
 ) -> DataFrame:
-    """Adds ``sum(value) over (partition by by order by order rows unbounded preceding)``.
+    """Adds ``sum(value) over (partition by by + within order by order rows unbounded preceding)``
+    for each ``name: (value, within)``.
 
-    ``order`` must be total within a key (end it with a unique column).
+    ``order`` must be total within a key (end it with a unique column). The rows move
+    once, to (by, bucket); finer ``within`` keys are windows inside the same tasks.
     """
-    rows = df.withColumn(_BUCKET, bucket)
-    inside = (
-        Window.partitionBy(*by, _BUCKET)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = df.withColumn(_BUCKET, bucket)
+    ends = (Window.unboundedPreceding, Window.currentRow)
+    rows = cut.select(
+        "*",
+        *[
+            F.sum(v)
+            .over(Window.partitionBy(*by, _BUCKET, *within).orderBy(*order).rowsBetween(*ends))
+            .alias(name)
+            for name, (v, within) in sums.items()
+        ],
     )
-    local = rows.select("*", *[F.sum(v).over(inside).alias(name) for name, v in sums.items()])
-    totals = rows.groupBy(*by, _BUCKET).agg(*[F.sum(v).alias(name) for name, v in sums.items()])
     bucket_order = F.col(_BUCKET).desc() if descending else F.col(_BUCKET).asc()
-    earlier = (
-        Window.partitionBy(*by)
-        .orderBy(bucket_order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = totals.select(
-        *by, _BUCKET, *[F.sum(name).over(earlier).alias(f"__before_{name}") for name in sums]
-    )
-    return local.join(carried, [*by, _BUCKET]).select(
+    for within in dict.fromkeys(tuple(w) for _, w in sums.values()):
+        mine = [name for name, (_, w) in sums.items() if tuple(w) == within]
+        totals = cut.groupBy(*by, *within, _BUCKET).agg(
+            *[F.sum(sums[name][0]).alias(name) for name in mine]
+        )
+        earlier = (
+            Window.partitionBy(*by, *within)
+            .orderBy(bucket_order)
+            .rowsBetween(Window.unboundedPreceding, -1)
+        )
+        carried = totals.select(
+            *by,
+            *within,
+            _BUCKET,
+            *[F.sum(name).over(earlier).alias(f"__before_{name}") for name in mine],
+        )
+        rows = rows.join(carried, [*by, *within, _BUCKET])
+    return rows.select(
         *df.columns,
         *[
             (F.col(name) + F.coalesce(F.col(f"__before_{name}"), F.lit(0))).alias(name)
@@ -64,6 +83,20 @@ def running_sum(
     )
 
 
+def running_sum(
+    df: DataFrame,
+    by: Sequence[str],
+    bucket: Column,
+    order: Sequence[Column],
+    sums: Mapping[str, Column],
+    descending: bool = False,
+) -> DataFrame:
+    """``running_sums`` over ``by`` alone."""
+    return running_sums(
+        df, by, bucket, order, {name: (v, ()) for name, v in sums.items()}, descending
+    )
+
+
 def row_rank(
     df: DataFrame,
     by: Sequence[str],

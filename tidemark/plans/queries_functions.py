@@ -79,7 +79,7 @@ def capture_outcomes(spark, sf_dir):
 
 @query("embed_column")
 def embed_column(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = views.texts(spark, sf_dir).select("doc_id", "text")
     return inference.embed_column(docs).drop("text")
 
 

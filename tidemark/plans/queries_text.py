@@ -21,7 +21,7 @@ SELECT doc_id, len(t) AS n_tokens, array_to_string(t, ' ') AS tokens
 FROM (SELECT doc_id, {TOKENS} AS t FROM documents)""",
 )
 def tokenize(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents").select("doc_id", tx.tokenize("text").alias("t"))
+    docs = views.texts(spark, sf_dir).select("doc_id", tx.tokenize("text").alias("t"))
     return docs.select(
         "doc_id",
         F.size("t").cast("bigint").alias("n_tokens"),
@@ -36,7 +36,7 @@ SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs
 FROM (SELECT doc_id, unnest({TOKENS}) AS token FROM documents) GROUP BY token""",
 )
 def token_counts(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents")
+    docs = views.texts(spark, sf_dir)
     return (
         ng.explode_tokens(docs, "doc_id", "text")
         .groupBy("token", "doc_id")
@@ -54,7 +54,7 @@ FROM (SELECT doc_id, t, unnest(range(1, len(t) - 1)) AS pos
       FROM (SELECT doc_id, {TOKENS} AS t FROM documents))""",
 )
 def ngrams(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents")
+    docs = views.texts(spark, sf_dir)
     rows = ng.explode_ngrams(docs, "doc_id", "text", 3)
     return rows.select(
         "doc_id", F.col("pos").cast("bigint").alias("pos"), F.array_join("gram", " ").alias("gram")
@@ -71,7 +71,7 @@ FROM (SELECT doc_id, kept, unnest(kept) AS s, unnest(range(1, len(kept) + 1)) AS
             FROM documents))""",
 )
 def split_sentences(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents")
+    docs = views.texts(spark, sf_dir)
     rows = ng.explode_sentences(docs, "doc_id", "text")
     return rows.select(
         "doc_id", F.lit(True).alias("kept"), F.col("pos").cast("bigint").alias("pos"), "sentence"
@@ -195,7 +195,7 @@ FROM (SELECT doc_id, list_transform(range(1, len(t)), lambda i: concat(t[i], ' '
       FROM (SELECT doc_id, {TOKENS} AS t FROM documents))""",
 )
 def ngram_diversity(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents")
+    docs = views.texts(spark, sf_dir)
     return ng.ngram_diversity(docs, "doc_id", "text").withColumn(
         "diversity", F.round("diversity", 6)
     )
@@ -211,7 +211,7 @@ FROM (SELECT lang, concat(t[i], ' ', t[i + 1]) AS gram
 GROUP BY lang""",
 )
 def corpus_ngram_diversity(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents")
+    docs = views.texts(spark, sf_dir)
     return ng.corpus_ngram_diversity(docs, ["lang"], "text").withColumn(
         "diversity", F.round("diversity", 6)
     )

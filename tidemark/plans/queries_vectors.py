@@ -143,7 +143,7 @@ SELECT doc_id, coalesce(n, 0) AS scored, round(coalesce(ppl, 'inf'::DOUBLE), 4)
 FROM documents LEFT JOIN scored USING (doc_id)""",
 )
 def bigram_perplexity(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents")
+    docs = views.texts(spark, sf_dir)
     return scoring.bigram_perplexity(docs, "doc_id", "text").withColumn(
         "bigram_ppl", F.round("bigram_ppl", 4)
     )

@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ordered import previous_row, row_rank, time_bucket
+from ..functions.times import time_bucket
+from .ordered import previous_row, row_rank
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt out to all cores when they come in fewer files than cores.
+
+    Reading text costs many times what moving it does, and a file of one row group
+    is read by one task. A large table has files enough and is left where it lies.
+    """
+    docs = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turn (candidate) with the turn before it (reference)."""
     turns = table(spark, sf_dir, "conversations")

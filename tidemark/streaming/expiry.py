@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from ..functions.times import as_utc, micros
 from ..session import use_rocksdb_state
 
 _STATE = "lease_id bigint, device_id bigint, owner string, end_ms bigint, expired_at timestamp_ntz"
@@ -66,7 +67,7 @@ def expire_stream(leases: DataFrame, shards: int = 64, delay: str = "0 seconds")
     """
     use_rocksdb_state(leases.sparkSession)
     op = F.col("op") if "op" in leases.columns else F.lit("create")
-    end_ms = F.ceil(F.unix_micros(F.col("end_ts").cast("timestamp")) / 1000)
+    end_ms = F.call_function("div", micros("end_ts") + 999, F.lit(1000))
     timed = (
         leases.filter(F.col("duration_s") > 0)
         .select(
@@ -77,7 +78,7 @@ def expire_stream(leases: DataFrame, shards: int = 64, delay: str = "0 seconds")
             op.alias("op"),
             end_ms.alias("end_ms"),
             F.col("end_ts").alias("expired_at"),
-            F.col("start_ts").cast("timestamp").alias("event_time"),
+            as_utc("start_ts").alias("event_time"),
         )
         .withWatermark("event_time", delay)
     )

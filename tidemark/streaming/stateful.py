@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
+from ..functions.times import micros
 from ..operators.cadence import walk
 from ..operators.quota import VERDICT, Ledger
 from ..session import use_rocksdb_state
@@ -49,8 +50,7 @@ def checkpoint_cadence_stream(
 ) -> DataFrame:
     """Adds ``saved``; a job's rows must arrive in step order from batch to batch."""
     use_rocksdb_state(log.sparkSession)
-    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
-    rows = log.withColumn("at_micros", F.timestamp_diff("MICROSECOND", epoch, "ts"))
+    rows = log.withColumn("at_micros", micros("ts"))
     out = T.StructType([*log.schema.fields, T.StructField("saved", T.BooleanType())])
     wait = every_seconds * 1_000_000 if every_seconds else None
     return rows.groupBy(key).transformWithStateInPandas(
