@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any, Protocol
@@ -31,14 +33,16 @@ class Generator(Protocol):
     ) -> list[str]: ...
 
 
-_LOADED: dict[str, Any] = {}
-
-
 def _load(key: str, factory: Callable[[], Any]) -> Any:
-    """One model per worker process and operator; workers are reused between tasks."""
-    if key not in _LOADED:
-        _LOADED[key] = factory()
-    return _LOADED[key]
+    """One model per worker process and operator; workers are reused between tasks.
+
+    The models hang on a module of the worker process: this function itself is
+    unpickled anew for every task.
+    """
+    store = sys.modules.setdefault("tidemark_models", types.ModuleType("tidemark_models"))
+    if not hasattr(store, key):
+        setattr(store, key, factory())
+    return getattr(store, key)
 
 
 def embed_column(
@@ -98,7 +102,7 @@ def batch_generate(
     configured = generation_config(df, task, temperature, max_new_tokens)
     columns = df.columns
     added = [T.StructField(c, T.StringType()) for c in ("generation", "status", "error")]
-    model_key = uuid.uuid4().hex
+    model_key = f"model_{uuid.uuid4().hex}"
     known = list(TASK_DEFAULTS)
 
     def attempt(model: Generator, part: pd.DataFrame) -> list[tuple]:
@@ -150,7 +154,7 @@ def token_logprobs(
     text: str = "text",
 ) -> DataFrame:
     """(key, pos, logprob) of tokens 2..m of each text, the input of ``perplexity``."""
-    model_key = uuid.uuid4().hex
+    model_key = f"model_{uuid.uuid4().hex}"
 
     @F.pandas_udf("array<double>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

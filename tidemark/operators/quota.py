@@ -6,10 +6,12 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.ordered import spread_by
+from ..functions.times import time_bucket
+from ..plans.ordered import running_sum, spread_by
 
 VERDICT = [T.StructField("ok", T.BooleanType()), T.StructField("usage", T.LongType())]
 
@@ -45,14 +47,70 @@ class Ledger:
         return ok, usage
 
 
+def _parallel_usage(ops: DataFrame, key: str, order: Sequence[str], unit: str) -> DataFrame:
+    """Verdict and usage as if every allocation fitted, and per key whether that is so.
+
+    With all allocations accepted, a release counts if it is the first one after its
+    buffer was tracked, and usage is a running sum. Real usage is never above it: if
+    the sum stays within the limit for the whole key, it is the answer. Keys that
+    track a buffer twice, lack a limit or go over it are left to the ordered read.
+    """
+    at = F.struct(*order)
+    is_track = F.col("op") == "track"
+    one_buffer = Window.partitionBy(key, "buffer_id")
+    # Without a buffer id nothing can match; such rows must not meet in one group.
+    named = ops.filter(F.col("buffer_id").isNotNull())
+    nameless = ops.filter(F.col("buffer_id").isNull()).select(
+        "*", F.lit(False).alias("ok"), F.lit(0).cast("bigint").alias("__delta"), is_track.alias("__odd")
+    )
+    matched = (
+        named.withColumn("__tracked", F.min(F.when(is_track, at)).over(one_buffer))
+        .withColumn("__held", F.max(F.when(is_track, F.col("size"))).over(one_buffer))
+        .withColumn("__tracks", F.count_if(is_track).over(one_buffer))
+        .withColumn(
+            "__freed", F.min(F.when(~is_track & (at > F.col("__tracked")), at)).over(one_buffer)
+        )
+        .withColumn("ok", F.coalesce(is_track | (at == F.col("__freed")), F.lit(False)))
+        .withColumn(
+            "__delta",
+            F.when(is_track, F.col("size"))
+            .when(F.col("ok"), -F.col("__held"))
+            .otherwise(F.lit(0))
+            .cast("bigint"),
+        )
+        .withColumn(
+            "__odd",
+            (F.col("__tracks") > 1)
+            | F.col("__delta").isNull()
+            | (is_track & (F.col("size").isNull() | F.col("limit_bytes").isNull())),
+        )
+        .drop("__tracked", "__held", "__tracks", "__freed")
+    )
+    rows = matched.unionByName(nameless).withColumn("__odd", F.coalesce("__odd", F.lit(True)))
+    return running_sum(
+        rows,
+        [key],
+        time_bucket(order[0], unit),
+        [F.col(c) for c in order],
+        {"usage": F.coalesce("__delta", F.lit(0))},
+    )
+
+
 def quota_fold(
-    ops: DataFrame, key: str = "key", order: Sequence[str] = ("ts", "event_id")
+    ops: DataFrame,
+    key: str = "key",
+    order: Sequence[str] = ("ts", "event_id"),
+    unit: str = "HOUR",
+    parallel_from: int = 1_000_000,
 ) -> DataFrame:
     """Adds ``ok`` (accepted, or released) and ``usage`` after each operation.
 
-    Whether an operation counts depends on all earlier ones of its key, so a key
-    is read in order by one task, as a stream of batches: the task holds the live
-    buffers of the current key and one batch, never the key's log.
+    A verdict depends on all earlier ones of its key, so a key is read in order by
+    one task, as a stream of batches that holds the live buffers of the key and
+    never its log. Keys of more than ``parallel_from`` rows are first summed in
+    parallel; only those that do reach their limit join the ordered read. ``order``
+    starts with a TIMESTAMP_NTZ and is total within a key. ``ops`` is read several
+    times, so it should be a table rather than a long plan.
     """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,4 +131,17 @@ def quota_fold(
             )
 
     out = T.StructType([*ops.schema.fields, *VERDICT])
-    return spread_by(ops, key).sortWithinPartitions(key, *order).mapInArrow(fold, out)
+    # Without large keys these branches are empty, and adaptive execution drops them.
+    large = ops.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > parallel_from)
+    large_ops = ops.join(large, key, "left_semi").select(*ops.columns)
+    summed = _parallel_usage(large_ops, key, order, unit)
+    full = F.col("__odd") | ((F.col("op") == "track") & (F.col("usage") > F.col("limit_bytes")))
+    reached = summed.filter(full).select(key).distinct()
+    parallel = summed.join(reached, key, "left_anti").select(*ops.columns, "ok", "usage")
+    ordered = (
+        ops.join(large, key, "left_anti")
+        .select(*ops.columns)
+        .unionByName(large_ops.join(reached, key, "left_semi").select(*ops.columns))
+    )
+    folded = spread_by(ordered, key).sortWithinPartitions(key, *order).mapInArrow(fold, out)
+    return parallel.unionByName(folded)

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, norm
+from .inference import embed_column
+from .ngrams import explode_sentences
 from ..plans.ordered import previous_row
 
 
+Embed = Callable[..., DataFrame]
+
+
 def pair_similarity(pairs: DataFrame, gen: str = "gen_vec", ref: str = "ref_vec") -> DataFrame:
     """Adds the cosine of the two vectors of each row."""
     return pairs.withColumn("similarity", cosine(gen, ref))
@@ -84,3 +89,37 @@ def coherence(df: DataFrame, doc: str, pos: str, vec: str, block: int | Column =
             F.coalesce(F.avg("__cos"), F.lit(0.0)).alias("coherence"),
         )
     )
+
+
+def text_similarity(
+    pairs: DataFrame,
+    by: Sequence[str] = (),
+    cand: str = "cand",
+    ref: str = "ref",
+    embed: Embed = embed_column,
+) -> DataFrame:
+    """``embedding_similarity`` of two text columns; ``embed(df, text, out)`` adds a vector."""
+    vectors = embed(embed(pairs, cand, "gen_vec"), ref, "ref_vec")
+    return embedding_similarity(vectors, by)
+
+
+def text_diversity(
+    df: DataFrame, by: str, text: str, order: str, embed: Embed = embed_column
+) -> DataFrame:
+    """``embedding_diversity`` of the texts of each group."""
+    return embedding_diversity(embed(df.select(by, order, text), text, "vec"), by, "vec", order)
+
+
+def text_coherence(df: DataFrame, doc: str, text: str, embed: Embed = embed_column) -> DataFrame:
+    """``coherence`` of the sentences of each text; a text without sentences scores 0.0."""
+    sentences = explode_sentences(df, doc, text)
+    scored = coherence(embed(sentences, "sentence", "vec"), doc, "pos", "vec")
+    return (
+        df.select(doc)
+        .join(scored, doc, "left")
+        .select(
+            doc,
+            F.coalesce("members", F.lit(0)).alias("sentences"),
+            F.coalesce("coherence", F.lit(0.0)).alias("coherence"),
+        )
+    )

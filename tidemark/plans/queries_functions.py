@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..functions import remote
-from ..operators import inference, scoring
+from ..operators import inference, scoring, similarity
 from . import views
 from .fixture_sql import over
 from .registry import query
@@ -184,3 +186,60 @@ def token_logprobs(spark, sf_dir):
     )
     scores = inference.token_logprobs(texts, length_logprobs)
     return scoring.perplexity(scores, texts).withColumn("perplexity", F.round("perplexity", 4))
+
+
+_LETTER_VECTOR = """list_transform(range(65, 91), lambda c: length({text}) - length(replace({text}, chr(CAST(c AS INT)), '')))"""
+_LETTER_COS = """list_sum(list_transform(range(1, 27), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE))
+  / (greatest(sqrt(list_sum(list_transform({a}, lambda x: x::DOUBLE * x::DOUBLE))), 1e-9)
+   * greatest(sqrt(list_sum(list_transform({b}, lambda x: x::DOUBLE * x::DOUBLE))), 1e-9))"""
+_by_letters = partial(inference.embed_column, model_factory=letter_counts)
+
+
+@query(
+    "text_similarity",
+    over(
+        "pairs",
+        f"""
+SELECT count(*) AS pairs, round(avg({_LETTER_COS.format(a="cv", b="rv")}), 6) AS similarity
+FROM (SELECT {_LETTER_VECTOR.format(text="cand")} AS cv, {_LETTER_VECTOR.format(text="ref")} AS rv FROM pairs)""",
+    ),
+)
+def text_similarity(spark, sf_dir):
+    rows = similarity.text_similarity(views.pairs(spark, sf_dir), embed=_by_letters)
+    return rows.withColumn("similarity", F.round("similarity", 6))
+
+
+@query(
+    "text_diversity",
+    over(
+        "mcq",
+        f"""
+WITH v AS (SELECT item_id, task_type, {_LETTER_VECTOR.format(text="generation")} AS vec FROM mcq),
+f AS (SELECT task_type, min(item_id) AS item_id, arg_min(vec, item_id) AS fv, count(*) AS members FROM v GROUP BY task_type)
+SELECT f.task_type, f.members, round(CASE WHEN f.members < 2 THEN 0 ELSE
+  1 - avg(CASE WHEN v.item_id <> f.item_id THEN {_LETTER_COS.format(a="fv", b="vec")} END) END, 6) AS diversity
+FROM f JOIN v ON v.task_type = f.task_type GROUP BY f.task_type, f.members""",
+    ),
+)
+def text_diversity(spark, sf_dir):
+    rows = views.mcq(spark, sf_dir)
+    scored = similarity.text_diversity(rows, "task_type", "generation", "item_id", _by_letters)
+    return scored.withColumn("diversity", F.round("diversity", 6))
+
+
+@query(
+    "text_coherence",
+    rf"""
+WITH s AS (SELECT doc_id, unnest(kept) AS s, unnest(range(1, len(kept) + 1)) AS pos FROM (
+  SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?]'),
+    lambda x: regexp_replace(x, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')), lambda x: x <> '') AS kept FROM documents)),
+v AS (SELECT doc_id, pos, {_LETTER_VECTOR.format(text="s")} AS vec FROM s),
+a AS (SELECT doc_id, vec, lag(vec) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM v),
+c AS (SELECT doc_id, count(*) AS n, avg(CASE WHEN prev IS NOT NULL THEN {_LETTER_COS.format(a="prev", b="vec")} END) AS m
+  FROM a GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS sentences, round(coalesce(m, 0), 6) AS coherence FROM documents LEFT JOIN c USING (doc_id)""",
+)
+def text_coherence(spark, sf_dir):
+    docs = views.texts(spark, sf_dir).select("doc_id", "text")
+    scored = similarity.text_coherence(docs, "doc_id", "text", _by_letters)
+    return scored.withColumn("coherence", F.round("coherence", 6))

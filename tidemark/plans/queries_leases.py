@@ -9,6 +9,7 @@ from ..operators import quota
 from . import views
 from .fixture_sql import over
 from .registry import query
+from .scratch import written
 
 _NOW = "2024-01-15 12:00:00"
 
@@ -191,7 +192,20 @@ SELECT event_id, key, ok, usage FROM r WHERE rn > 0"""
 
 @query("quota_fold", over("buffer_op", _QUOTA, recursive=True))
 def quota_fold(spark, sf_dir):
-    return quota.quota_fold(views.buffer_op(spark, sf_dir)).select("event_id", "key", "ok", "usage")
+    ops = written(views.buffer_op(spark, sf_dir), "ops")
+    return quota.quota_fold(ops).select("event_id", "key", "ok", "usage")
+
+
+@query(
+    "quota_fold_with_room",
+    over("buffer_op", _QUOTA.replace("o.limit_bytes", "o.limit_bytes * 10"), recursive=True),
+)
+def quota_fold_with_room(spark, sf_dir):
+    """Ten times the limit and a low size mark: many keys are summed in parallel."""
+    ops = views.buffer_op(spark, sf_dir).withColumn("limit_bytes", F.col("limit_bytes") * 10)
+    ops = written(ops, "ops")
+    folded = quota.quota_fold(ops, unit="DAY", parallel_from=60)
+    return folded.select("event_id", "key", "ok", "usage")
 
 
 @query(

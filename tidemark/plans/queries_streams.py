@@ -13,6 +13,7 @@ from ..streaming import dedupe, expiry, runs, stateful
 from . import views
 from .fixture_sql import over
 from .queries_functions import _count_or_fail, _join_counts
+from .queries_leases import _QUOTA
 from .queries_report import _STATS, _rounded
 from .registry import query
 from .scratch import scratch_dir
@@ -239,7 +240,7 @@ def checkpoint_cadence_stream(spark, sf_dir):
     )
 
 
-@query("quota_stream")
+@query("quota_stream", over("buffer_op", _QUOTA, recursive=True))
 def quota_stream(spark, sf_dir):
     ops = _staged(spark, views.buffer_op(spark, sf_dir), "ops")
     folded = stateful.quota_stream(ops).select("event_id", "key", "ok", "usage")
