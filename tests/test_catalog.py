@@ -60,12 +60,12 @@ def test_infer_framework(spark, hint, name, module, want):
     assert spark.range(1).select(ck.infer_framework(*cols).alias("f")).first()["f"] == want
 
 
-@pytest.mark.parametrize("keep", [1, 2, 10])
+@pytest.mark.parametrize("keep", [1, 2, 10, 1001])
 def test_retention_with_equal_stamps_and_a_hot_job(spark, keep):
     rows = [(1, "L1", f"ckpt_0_{i}.pt", i, at(i // 3), 1) for i in range(300)] + [(2, "L2", "ckpt_0_1.pt", 1, at(1), 1)]
     got = ck.retention(spark.createDataFrame(rows, FILES).repartition(6), keep).collect()
     kept = {(r["job_id"], r["step"]) for r in got if r["action"] == "keep"}
-    assert kept == {(1, i) for i in range(300 - keep, 300)} | {(2, 1)}
+    assert kept == {(1, i) for i in range(max(0, 300 - keep), 300)} | {(2, 1)}
     assert len(got) == 301
 
 

@@ -23,8 +23,8 @@ def artifact_key(df: DataFrame) -> DataFrame:
 def load_artifacts(requests: DataFrame, l1: DataFrame, l2: DataFrame) -> DataFrame:
     """Content of each requested (job_id, name): from L1, else L2, else ``not_found``.
 
-    The winning copy is chosen on keys and save times alone, so the aggregation
-    carries no bytes; contents are read once more, for the winners only.
+    The winning copy is chosen on keys and save times alone. Contents are shuffled
+    once, by the key of the copy, which all later steps share.
     """
     wanted = artifact_key(requests).select("job_id", "base_name").distinct()
 
@@ -45,21 +45,17 @@ def load_artifacts(requests: DataFrame, l1: DataFrame, l2: DataFrame) -> DataFra
             F.col("best.saved_at").alias("saved_at"),
         )
     )
+    copy = ["job_id", "base_name", "source", "saved_at"]
     # Two saves may share a time: the greater content wins, as any fixed rule would do.
     contents = (
-        both.join(winners, ["job_id", "base_name", "source", "saved_at"], "left_semi")
-        .groupBy("job_id", "base_name", "source", "saved_at")
-        .agg(F.max("content").alias("content"))
+        both.join(winners, copy, "left_semi").groupBy(*copy).agg(F.max("content").alias("content"))
     )
-    return (
-        artifact_key(requests)
-        .join(contents, ["job_id", "base_name"], "left")
-        .select(
-            *requests.columns,
-            "source",
-            "content",
-            F.when(F.col("source").isNull(), "not_found").otherwise("found").alias("status"),
-        )
+    asked = artifact_key(requests).join(winners, ["job_id", "base_name"], "left")
+    return asked.join(contents, copy, "left").select(
+        *requests.columns,
+        "source",
+        "content",
+        F.when(F.col("source").isNull(), "not_found").otherwise("found").alias("status"),
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import time_bucket
-from ..plans.ordered import running_sum
+from ..plans.ordered import row_rank, running_sum
 
 FILE_KEY = ["job_id", "tier", "filename"]
 
@@ -249,9 +249,16 @@ def retention(files: DataFrame, keep_last: int = 5, by: Sequence[str] = ("job_id
 
     The cut of each group is found first: the rank filter drops all but
     ``keep_last`` rows per group in every task before the shuffle. The log itself
-    only meets that one row per group.
+    only meets that one row per group. Spark filters early only up to 1000 rows per
+    group; beyond that rows are ranked in time buckets.
     """
     order = ["ts", "step", "filename"]
+    if keep_last > 1000:
+        ranked = row_rank(
+            files, list(by), time_bucket("ts"), [F.desc(c) for c in order], "__rank", True
+        )
+        kept = F.col("__rank") <= keep_last
+        return ranked.withColumn("action", F.when(kept, "keep").otherwise("remove")).drop("__rank")
     newest = Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order])
     cut = (
         files.select(*by, *order)

@@ -6,7 +6,7 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,34 +57,40 @@ def _parallel_usage(ops: DataFrame, key: str, order: Sequence[str], unit: str) -
     """
     at = F.struct(*order)
     is_track = F.col("op") == "track"
-    one_buffer = Window.partitionBy(key, "buffer_id")
     # Without a buffer id nothing can match; such rows must not meet in one group.
     named = ops.filter(F.col("buffer_id").isNotNull())
     nameless = ops.filter(F.col("buffer_id").isNull()).select(
         "*", F.lit(False).alias("ok"), F.lit(0).cast("bigint").alias("__delta"), is_track.alias("__odd")
     )
-    matched = (
-        named.withColumn("__tracked", F.min(F.when(is_track, at)).over(one_buffer))
-        .withColumn("__held", F.max(F.when(is_track, F.col("size"))).over(one_buffer))
-        .withColumn("__tracks", F.count_if(is_track).over(one_buffer))
-        .withColumn(
-            "__freed", F.min(F.when(~is_track & (at > F.col("__tracked")), at)).over(one_buffer)
-        )
-        .withColumn("ok", F.coalesce(is_track | (at == F.col("__freed")), F.lit(False)))
-        .withColumn(
-            "__delta",
-            F.when(is_track, F.col("size"))
-            .when(F.col("ok"), -F.col("__held"))
-            .otherwise(F.lit(0))
-            .cast("bigint"),
+    buffer = [key, "buffer_id"]
+    tracked = (
+        named.filter(is_track)
+        .groupBy(*buffer)
+        .agg(
+            F.min(at).alias("__tracked"),
+            F.max("size").alias("__held"),
+            F.count("*").alias("__tracks"),
         )
-        .withColumn(
-            "__odd",
-            (F.col("__tracks") > 1)
-            | F.col("__delta").isNull()
-            | (is_track & (F.col("size").isNull() | F.col("limit_bytes").isNull())),
-        )
-        .drop("__tracked", "__held", "__tracks", "__freed")
+    )
+    known = named.join(tracked, buffer, "left")
+    freed = (
+        known.filter(~is_track & (at > F.col("__tracked")))
+        .groupBy(*buffer)
+        .agg(F.min(at).alias("__freed"))
+    )
+    counts = F.coalesce(is_track | (at == F.col("__freed")), F.lit(False))
+    delta = F.when(is_track, F.col("size")).when(F.col("ok"), -F.col("__held")).otherwise(F.lit(0))
+    odd = (
+        (F.col("__tracks") > 1)
+        | F.col("__delta").isNull()
+        | (is_track & F.col("limit_bytes").isNull())
+    )
+    matched = (
+        known.join(freed, buffer, "left")
+        .withColumn("ok", counts)
+        .withColumn("__delta", delta.cast("bigint"))
+        .withColumn("__odd", odd)
+        .select(*ops.columns, "ok", "__delta", "__odd")
     )
     rows = matched.unionByName(nameless).withColumn("__odd", F.coalesce("__odd", F.lit(True)))
     return running_sum(
