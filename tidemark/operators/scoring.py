@@ -104,8 +104,9 @@ def bigram_perplexity(
     One pass makes (token, next token) counts per text; the last token of a text is
     marked as an end and a text without tokens keeps a marker row. Counting per text
     first means that a frequent bigram sends one row per text, not one per
-    occurrence. All uses read that one shuffle, so conditions stand inside the sums:
-    a filter would be pushed below the shuffle and make it another one.
+    occurrence. Pair counts and the join share that shuffle, word counts and the
+    vocabulary size share the one of the pair counts; so conditions stand inside the
+    sums: a filter would be pushed below a shuffle and make it another one.
     """
     tokens = docs.select(key, tokenizer(F.col(text)).alias("tokens"))
     bigram = ["w1", "w2", "kind"]
@@ -133,8 +134,8 @@ def bigram_perplexity(
         .agg(F.count("*").alias("c"))
     )
     pair_counts = per_text.groupBy(*bigram).agg(F.sum("c").alias("pair_count"))
-    word_counts = per_text.groupBy("w1").agg(
-        F.sum(F.when(F.col("kind") != nothing, F.col("c"))).alias("word_count")
+    word_counts = pair_counts.groupBy("w1").agg(
+        F.sum(F.when(F.col("kind") != nothing, F.col("pair_count"))).alias("word_count")
     )
     distinct_words = word_counts.agg(F.count("word_count")).scalar()
     model = pair_counts.join(word_counts, "w1").select(
