@@ -142,6 +142,7 @@ def failed_rules(rules: Mapping[str, tuple[Column, str]]) -> Column:
 
 def config_rules() -> dict[str, tuple[Column, str]]:
     """The rules of a checkpointing configuration row."""
+    # Rule names and messages.
     positive = {
         "cache_size": ("cache_size_limit_gb", "Cache size limit must be positive"),
         "keep_checkpoints": ("keep_checkpoints", "Keep checkpoints must be positive"),
