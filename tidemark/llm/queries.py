@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, mixing, token_counts
+from . import byte_bpe, exact_dedup, line_dedup, mixing, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query(
+    "op1_line_dedup",
+    r"""
+    WITH d AS (
+      SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+    ), l AS (
+      SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d
+    ), k AS (
+      SELECT *, translate(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+      FROM l
+    ), r AS (
+      SELECT key, max(doc_id) AS keep FROM k WHERE length(key) >= 20
+      GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+    ), m AS (
+      SELECT doc_id, line, pos, r.key IS NOT NULL AND doc_id < keep AS lost
+      FROM k LEFT JOIN r USING (key)
+    )
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), ''))
+             AS kept_sha256
+    FROM m GROUP BY doc_id
+    """,
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 @query(
     "op3_exact_dedup",
     r"""
@@ -123,3 +153,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
         public_tokenizers.PATTERN,
     )
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).withColumn(
+        "predicted", (F.col("score") >= 0.7).cast("int")
+    )
