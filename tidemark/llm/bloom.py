@@ -65,8 +65,8 @@ class SeenTwice:
         words = SEGMENT_BITS // 64
         for i in range(self.bits // SEGMENT_BITS):
             once = self.once[i * words : (i + 1) * words]
-            if once.any():
-                twice = self.twice[i * words : (i + 1) * words]
+            twice = self.twice[i * words : (i + 1) * words]
+            if once.any() or twice.any():
                 yield pa.record_batch(
                     {
                         "segment": pa.array([i], pa.int32()),
@@ -109,3 +109,15 @@ def merged_twice(segments: DataFrame, bits: int) -> np.ndarray:
         start = row["segment"] * (SEGMENT_BITS // 64)
         words[start : start + SEGMENT_BITS // 64] = np.frombuffer(row["twice"], np.uint64)
     return words
+
+
+def filter_of(hashes: DataFrame, bits: int) -> np.ndarray:
+    """One filter of a column of 64-bit hashes: ``bits`` / 8 bytes, whatever the input."""
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = SeenTwice(bits)
+        for batch in batches:
+            set_bits(held.twice, positions(batch.column(0).to_numpy().view(np.uint64), bits))
+        yield from held.segments()
+
+    return merged_twice(hashes.mapInArrow(enter, SEGMENTS), bits)

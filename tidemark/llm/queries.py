@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, line_dedup, mixing, token_counts, toxicity
+from . import byte_bpe, exact_dedup, line_dedup, mixing, neighbours, ngram_join, secrets, substring_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,40 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "op2_ngram_join",
+    r"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x20\x09-\x0D]+') AS words
+      FROM documents
+    ), s AS (
+      SELECT doc_id, CASE
+               WHEN len(words) = 0 THEN []
+               WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+               ELSE list_distinct([array_to_string(words[i:i + 2], ' ')
+                                   FOR i IN range(1, len(words) - 1)]) END AS grams
+      FROM w
+    ), g AS (
+      SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s
+    ), p AS (
+      SELECT a.doc_id AS x, b.doc_id AS y
+      FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n
+      HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+    ), r AS (
+      SELECT x, y FROM p UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x
+    )
+    SELECT s.doc_id, len(s.grams) AS n_shingles, least(s.doc_id, coalesce(min(r.y), s.doc_id))
+             AS component_id
+    FROM s LEFT JOIN r ON r.x = s.doc_id GROUP BY s.doc_id, s.grams
+    """,
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 @query(
     "op3_exact_dedup",
     r"""
@@ -86,6 +120,28 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_substring_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document that shares passages: its spans, and what others keep of them."""
+    spans = substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    size = F.col("stop") - F.col("start")
+    return spans.groupBy("doc_id").agg(
+        F.count("*").alias("n_spans"),
+        F.sum(size).alias("repeated_bytes"),
+        F.sum(F.when(F.col("first_doc") != F.col("doc_id"), size).otherwise(0)).alias(
+            "dropped_bytes"
+        ),
+        F.min("first_doc").alias("first_doc"),
+        F.array_join(
+            F.transform(
+                F.array_sort(F.collect_list(F.struct("start", "stop"))),
+                lambda s: F.concat_ws(":", s["start"], s["stop"]),
+            ),
+            ",",
+        ).alias("spans"),
+    )
+
+
 @query("op5_token_counts")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.token_counts(
@@ -94,6 +150,50 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+@query(
+    "op6_neighbours",
+    """
+    WITH v AS (
+      SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+      WHERE embedding IS NOT NULL
+        AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        AND len([x FOR x IN embedding IF x <> 0]) > 0
+    ), d AS (
+      SELECT q.vec_id AS query_id, c.vec_id,
+             sqrt(list_reduce([(q.e[i] - c.e[i]) * (q.e[i] - c.e[i])
+                               FOR i IN range(1, len(q.e) + 1)], lambda a, b: a + b)) AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)
+    ), r AS (
+      SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER)
+        AS rank
+      FROM d
+    )
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+    """,
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
+@query("op7_secrets")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != secrets.INFERRED)
+    text = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+    )
+    count = lambda kind: F.size(
+        F.filter("spans", lambda s: s["kind"] == kind)
+    ).cast("bigint")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in secrets.BASE],
+        F.sha2(text(base).cast("binary"), 256).alias("base_sha256"),
+        text(F.col("spans")).alias("spans"),
+    )
+
+
 @query(
     "op8_mixing",
     r"""

@@ -183,10 +183,14 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int, entries: int) -
     share = F.col("toxic") / (F.col("toxic") + F.col("clean"))
     against = F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - share) / (1 - base)))
     evidence = F.col("toxic") * F.log(share / base) + F.coalesce(against, F.lit(0.0))
+    tried = written(
+        counted.filter(F.col("toxic") >= 3).select(
+            "entry", evidence.alias("evidence"), share.alias("share")
+        ),
+        "beginnings",
+    )
     found = (
-        counted.filter((F.col("toxic") >= 3) & (share > base))
-        .select("entry", evidence.alias("evidence"), share.alias("share"))
-        .filter((F.col("evidence") > 12) & (F.col("share") > 0.5))
+        tried.filter((F.col("evidence") > log(tried.count() + 1) + 1) & (F.col("share") > 0.5))
         .orderBy(F.col("evidence").desc(), "entry")
         .limit(entries)
         .collect()
