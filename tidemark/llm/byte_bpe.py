@@ -264,7 +264,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Encodes and decodes in one pass: doc_id, n_tokens and digests of ids and bytes."""
+    """Encodes and decodes in one pass: doc_id, n_tokens, ids, digests of ids and bytes."""
     shared = _shared_codec(docs.sparkSession, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,6 +275,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 {
                     "doc_id": batch.column(0),
                     "n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64()),
+                    "ids": pa.array(ids, pa.binary()),
                     "ids_sha256": pa.array([hashlib.sha256(i).hexdigest() for i in ids]),
                     "decoded_sha256": pa.array(
                         [hashlib.sha256(codec.decode(i)).hexdigest() for i in ids]
@@ -283,7 +284,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             )
 
     return _input(docs).mapInArrow(
-        run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+        run,
+        "doc_id bigint, n_tokens bigint, ids binary, ids_sha256 string, decoded_sha256 string",
     )
 
 

@@ -252,7 +252,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"),
         public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
         public_tokenizers.PATTERN,
-    )
+    ).drop("ids")
 
 
 @query("op10_toxicity")

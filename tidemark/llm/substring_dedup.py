@@ -52,7 +52,7 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def cuts(data: np.ndarray, bits: int = 4, least: int = 12) -> np.ndarray:
+def cuts(data: np.ndarray, bits: int = 4, least: int = 8) -> np.ndarray:
     """Ends of chunks: where the hash's top bits are 0 and no proposal came shortly before."""
     proposed = np.flatnonzero(gear_hashes(data) >> np.uint32(32 - bits) == 0) + 1
     if len(proposed) < 2:
@@ -140,7 +140,7 @@ def runs(sizes: list[int], marked: list[bool], min_run: int) -> list[tuple[int,
 _SPANS = "doc_id bigint, start int, stop int, first_doc bigint"
 
 
-def repeated_spans(docs: DataFrame, min_run: int = 100) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_run: int = 120) -> DataFrame:
     """(doc_id, start, stop, first_doc): spans of ``docs(doc_id, text)`` known from others.
 
     Spans next to each other are told apart by whether this document is the one that keeps
@@ -256,7 +256,7 @@ def cut_out(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def drop_repeats(docs: DataFrame, min_run: int = 100) -> DataFrame:
+def drop_repeats(docs: DataFrame, min_run: int = 120) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id and the text without what others keep."""
     lost = (
         repeated_spans(docs, min_run)
