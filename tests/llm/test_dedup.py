@@ -5,7 +5,6 @@ import re
 
 import pytest
 from odd import LINE, empty, exact_groups, near_classes, odd, odd_rows, table_rows
-from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, line_dedup, ngram_join, substring_dedup
 from tidemark.llm.components import components
@@ -49,7 +48,7 @@ def test_lines_of_null_ids(spark):
     assert [r["n_dropped"] for r in only.collect()] == [0] * 4
 
 
-@pytest.mark.parametrize("bucket_bytes", [8 << 20, 2000, 40])
+@pytest.mark.parametrize("bucket_bytes", [8 << 20, 40])
 def test_exact(spark, bucket_bytes):
     """However small the buckets, and however often they are split again."""
     rows = odd_rows()
@@ -77,7 +76,7 @@ def test_exact_filter(spark):
     assert exact_dedup.exact_groups(empty(spark)).collect() == []
 
 
-@pytest.mark.parametrize("n, num, den", [(3, 90, 100), (5, 80, 100), (1, 50, 100)])
+@pytest.mark.parametrize("n, num, den", [(3, 90, 100), (1, 50, 100)])
 def test_near(spark, n, num, den):
     want = near_classes(odd_rows(), n, num, den)
     got = ngram_join.near_groups(odd(spark), n, num, den).collect()
@@ -89,7 +88,7 @@ def test_near(spark, n, num, den):
             assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]]
 
 
-@pytest.mark.parametrize("n, num, den", [(3, 90, 100), (5, 80, 100), (2, 60, 100)])
+@pytest.mark.parametrize("n, num, den", [(5, 80, 100), (2, 60, 100)])
 def test_near_on_documents(spark, n, num, den):
     want = near_classes(table_rows(spark, SMALL), n, num, den)
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
@@ -109,7 +108,7 @@ def test_near_small_sets(spark):
             number += 1
             rows.append((number, " ".join([*words[: size - change], *[f"c{number}_{i}" for i in range(change)]])))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    for num, den in ((90, 100), (80, 100), (70, 100)):
+    for num, den in ((90, 100), (75, 100)):
         want = near_classes(rows, 1, num, den)
         got = {r[0]: (r[1], r[2]) for r in ngram_join.near_groups(docs, 1, num, den).collect()}
         assert got == want
@@ -117,7 +116,7 @@ def test_near_small_sets(spark):
 
 def test_boundary_weighs_cost():
     assert ngram_join.boundary({20: 100}, 1.0, 90, 100) < 20
-    assert ngram_join.boundary({10: 100}, 1000.0, 90, 100) >= 10
+    assert ngram_join.boundary({5: 100, 20: 100}, 1000.0, 90, 100) >= 5
     members = list(range(1, 11))
     assert set(ngram_join.subset_keys(members, 10, 90, 100)) & set(
         ngram_join.subset_keys([*members[:9], 99], 10, 90, 100)
@@ -179,8 +178,3 @@ def test_every_long_passage_is_found(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     got = {r["doc_id"] for r in substring_dedup.repeated_spans(docs).select("doc_id").collect()}
     assert want <= got
-
-
-def test_lost_columns_do_not_matter(spark):
-    bare = odd(spark).select("doc_id", "text")
-    assert line_dedup.dedup_lines(bare).agg(F.sum("n_dropped")).first()[0] == 3
