@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import time_bucket
@@ -58,13 +58,22 @@ def _tier_label(tier: Column) -> Column:
     return F.when(tier == "L1", TIER_LABELS["L1"]).when(tier == "L2", TIER_LABELS["L2"]).otherwise(tier)
 
 
+def _stored_path() -> Column:
+    job = F.col("job_id").cast("string")
+    return F.concat_ws("/", F.lit("checkpoints"), job, F.col("filename"))
+
+
 def list_checkpoints(sidecars: DataFrame, files: DataFrame, newest_first: bool = True) -> DataFrame:
     """Sidecar-first listing of both tiers.
 
     One full join answers both questions: a sidecar's file gives the timestamp
     (else the sidecar's own), and a file without a sidecar is listed only as a
-    legacy ``.pt``. The key is a file name, so no key is hot.
+    legacy ``.pt``. The key is a file name, so no key is hot. ``path`` is the file's own
+    where the table of files has one, else its place below the job's checkpoints;
+    ``metadata`` is what the sidecar says (null for a legacy file).
     """
+    own_path = F.col("path") if "path" in files.columns else F.lit(None).cast("string")
+    said = [c for c in sidecars.columns if c not in FILE_KEY]
     s = sidecars.select(
         *FILE_KEY,
         F.coalesce("epoch", F.lit(0)).alias("epoch"),
@@ -72,9 +81,10 @@ def list_checkpoints(sidecars: DataFrame, files: DataFrame, newest_first: bool =
         F.coalesce("framework", F.lit("unknown")).alias("framework"),
         F.col("ts").alias("__sidecar_ts"),
         F.lit(True).alias("__described"),
+        F.to_json(F.struct(*[c for c in said if c != "ts"])).alias("metadata"),
     )
     f = files.filter(~F.col("filename").endswith(SIDECAR_SUFFIX)).select(
-        *FILE_KEY, F.col("ts").alias("__file_ts")
+        *FILE_KEY, F.col("ts").alias("__file_ts"), own_path.alias("__path")
     )
     described = F.coalesce("__described", F.lit(False))
     listed = (
@@ -88,6 +98,8 @@ def list_checkpoints(sidecars: DataFrame, files: DataFrame, newest_first: bool =
             F.coalesce("__file_ts", "__sidecar_ts").alias("ts"),
             _tier_label(F.col("tier")).alias("source"),
             described.alias("has_sidecar"),
+            F.coalesce("__path", _stored_path()).alias("path"),
+            "metadata",
         )
     )
     return listed.orderBy(F.desc("ts"), *FILE_KEY) if newest_first else listed
@@ -217,9 +229,21 @@ def current_records(records: DataFrame) -> DataFrame:
 
 
 def job_metadata(files: DataFrame) -> DataFrame:
-    """Last checkpoint and its paths per job; created is the first save, updated the last."""
-    last = F.struct("ts", "step", "filename")
-    path = F.concat_ws("/", F.lit("checkpoints"), F.col("job_id").cast("string"), F.col("filename"))
+    """Last checkpoint and its paths per job; created is the first save, updated the last.
+
+    ``checkpoint_id``, ``epoch`` and ``machine`` are taken from the files' own columns; without
+    the first the id is the file name before its first dot, without the others they are
+    0 and null.
+    """
+
+    def own(name: str, other: Column) -> Column:
+        return (F.col(name) if name in files.columns else other).alias(name)
+
+    ident = own("checkpoint_id", F.regexp_extract("filename", "^([^.]*)", 1))
+    epoch = own("epoch", F.lit(0))
+    machine = own("machine", F.lit(None).cast("string"))
+    last = F.struct("ts", "step", "filename", ident, epoch, machine)
+    path = _stored_path()
     in_tier = [F.when(F.col("tier") == t, F.struct(last.alias("at"), path.alias("path"))) for t in ("L1", "L2")]
     return (
         files.groupBy("job_id")
@@ -233,8 +257,10 @@ def job_metadata(files: DataFrame) -> DataFrame:
         .select(
             "job_id",
             F.lit("running").alias("status"),
-            F.regexp_extract("__last.filename", "^([^.]*)", 1).alias("last_checkpoint"),
+            F.col("__last.checkpoint_id").alias("last_checkpoint"),
+            F.col("__last.epoch").alias("last_epoch"),
             F.col("__last.step").alias("last_step"),
+            F.col("__last.machine").alias("current_machine"),
             F.struct(
                 F.col("__local.path").alias("local"), F.col("__shared.path").alias("s3")
             ).alias("checkpoint_paths"),
@@ -244,35 +270,22 @@ def job_metadata(files: DataFrame) -> DataFrame:
     )
 
 
-def retention(files: DataFrame, keep_last: int = 5, by: Sequence[str] = ("job_id", "tier")) -> DataFrame:
+def retention(
+    files: DataFrame,
+    keep_last: int = 5,
+    by: Sequence[str] = ("job_id", "tier"),
+    unit: str = "HOUR",
+) -> DataFrame:
     """Adds ``action``: ``keep`` for the newest ``keep_last`` of each group, else ``remove``.
 
-    The cut of each group is found first: the rank filter drops all but
-    ``keep_last`` rows per group in every task before the shuffle. The log itself
-    only meets that one row per group. Spark filters early only up to 1000 rows per
-    group; beyond that rows are ranked in time buckets.
+    Files are ranked inside time buckets of their group, whatever its size, and what newer
+    buckets hold is added from one count per bucket. Null jobs or tiers are groups too;
+    files without a time come last.
     """
-    order = ["ts", "step", "filename"]
-    if keep_last > 1000:
-        ranked = row_rank(
-            files, list(by), time_bucket("ts"), [F.desc(c) for c in order], "__rank", True
-        )
-        kept = F.col("__rank") <= keep_last
-        return ranked.withColumn("action", F.when(kept, "keep").otherwise("remove")).drop("__rank")
-    newest = Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order])
-    cut = (
-        files.select(*by, *order)
-        .withColumn("__rank", F.row_number().over(newest))
-        .filter(F.col("__rank") <= keep_last)
-        .groupBy(*by)
-        .agg(F.min(F.struct(*order)).alias("__cut"))
-    )
-    kept = F.struct(*order) >= F.col("__cut")
-    return (
-        files.join(cut, list(by), "left")
-        .withColumn("action", F.when(kept, "keep").otherwise("remove"))
-        .drop("__cut")
-    )
+    order = [F.desc(c) for c in ("ts", "step", "filename")]
+    ranked = row_rank(files, list(by), time_bucket("ts", unit), order, "__rank", True)
+    kept = F.col("__rank") <= keep_last
+    return ranked.withColumn("action", F.when(kept, "keep").otherwise("remove")).drop("__rank")
 
 
 def cache_eviction(

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import types
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any, Protocol
 
 import pandas as pd
-from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark import cloudpickle
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,16 +34,27 @@ class Generator(Protocol):
     ) -> list[str]: ...
 
 
+#: Models that one Python worker keeps.
+MODELS_KEPT = 2
+
+
+def _model_key(factory: Callable[[], Any]) -> str:
+    """The same factory gets the same key in every plan, so a reused worker loads it once."""
+    return hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
+
+
 def _load(key: str, factory: Callable[[], Any]) -> Any:
-    """One model per worker process and operator; workers are reused between tasks.
+    """One model per worker process and factory; the one used longest ago goes first.
 
     The models hang on a module of the worker process: this function itself is
     unpickled anew for every task.
     """
     store = sys.modules.setdefault("tidemark_models", types.ModuleType("tidemark_models"))
-    if not hasattr(store, key):
-        setattr(store, key, factory())
-    return getattr(store, key)
+    models = store.__dict__.setdefault("models", {})
+    models[key] = models.pop(key) if key in models else factory()
+    while len(models) > MODELS_KEPT:
+        del models[next(iter(models))]
+    return models[key]
 
 
 def embed_column(
@@ -57,19 +69,27 @@ def embed_column(
     """Adds a vector per text.
 
     ``model_factory`` returns a function from an array of texts to a matrix. Without
-    one, tokens are counted by hash and scaled to length one: deterministic, and
-    the rows never leave the JVM.
+    one, tokens are counted by hash (the first 8 hex digits of their MD5, modulo ``dim``)
+    and scaled to length one: deterministic, and the rows never leave the JVM.
     """
     if model_factory is not None:
         embed = predict_batch_udf(
             model_factory, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size
         )
         return df.withColumn(out, embed(F.col(text)))
-    words = df.withColumn("__tokens", F.coalesce(tokenizer(F.col(text)), F.array().cast("array<string>")))
-    counts = HashingTF(inputCol="__tokens", outputCol="__counts", numFeatures=dim).transform(words)
-    unit = Normalizer(inputCol="__counts", outputCol="__unit", p=2.0).transform(counts)
-    return unit.withColumn(out, vector_to_array("__unit", "float32")).drop(
-        "__tokens", "__counts", "__unit"
+    tokens = F.coalesce(tokenizer(F.col(text)), F.array().cast("array<string>"))
+    place = lambda t: (
+        F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("bigint") % dim
+    ).cast("string")
+    words = df.withColumn("__places", F.transform(tokens, place))
+    places = CountVectorizerModel.from_vocabulary(
+        [str(i) for i in range(dim)], inputCol="__places", outputCol="__counts"
+    )
+    unit = Normalizer(inputCol="__counts", outputCol="__unit", p=2.0)
+    return (
+        unit.transform(places.transform(words))
+        .withColumn(out, vector_to_array("__unit", "float32"))
+        .drop("__places", "__counts", "__unit")
     )
 
 
@@ -87,11 +107,14 @@ def batch_generate(
     model_factory: Callable[[], Generator] | None = None,
     temperature: Column | None = None,
     max_new_tokens: Column | None = None,
+    batch_size: int = 64,
 ) -> DataFrame:
     """Adds generation (stripped), status and error per row.
 
-    With a model, an unknown task or a failing prompt gives a failed row and the
-    rest of its batch goes on. Without one the fixed stub texts are returned.
+    With a model, ``batch_size`` prompts go to it at once. An unknown task or a failing
+    prompt gives a failed row: a batch that fails, or comes back with another number of
+    texts, is halved until the rows to blame stand alone. Without a model the fixed stub
+    texts are returned.
     """
     if model_factory is None:
         return (
@@ -102,17 +125,21 @@ def batch_generate(
     configured = generation_config(df, task, temperature, max_new_tokens)
     columns = df.columns
     added = [T.StructField(c, T.StringType()) for c in ("generation", "status", "error")]
-    model_key = f"model_{uuid.uuid4().hex}"
+    model_key = _model_key(model_factory)
     known = list(TASK_DEFAULTS)
 
     def attempt(model: Generator, part: pd.DataFrame) -> list[tuple]:
         args = [part[c].tolist() for c in (prompt, "temperature", "max_new_tokens")]
         try:
-            return [(g.strip(), "completed", None) for g in model.generate(*args)]
+            texts = [g.strip() for g in model.generate(*args)]
+            if len(texts) != len(part):
+                raise ValueError(f"{len(texts)} texts for {len(part)} prompts")
+            return [(g, "completed", None) for g in texts]
         except Exception as e:
             if len(part) == 1:
                 return [(None, "failed", f"{type(e).__name__}: {e}")]
-            return [row for i in range(len(part)) for row in attempt(model, part.iloc[i : i + 1])]
+            half = len(part) // 2
+            return attempt(model, part.iloc[:half]) + attempt(model, part.iloc[half:])
 
     def generate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = _load(model_key, model_factory)
@@ -122,9 +149,10 @@ def batch_generate(
                 index=batch.index,
                 dtype=object,
             )
-            valid = batch[task].isin(known)
-            if valid.any():
-                found.loc[valid] = attempt(model, batch[valid])
+            valid = batch[batch[task].isin(known)]
+            for start in range(0, len(valid), batch_size):
+                part = valid.iloc[start : start + batch_size]
+                found.loc[part.index] = attempt(model, part)
             yield pd.concat([batch[columns], found], axis=1)
 
     return configured.mapInPandas(generate, T.StructType([*df.schema.fields, *added]))
@@ -154,7 +182,7 @@ def token_logprobs(
     text: str = "text",
 ) -> DataFrame:
     """(key, pos, logprob) of tokens 2..m of each text, the input of ``perplexity``."""
-    model_key = f"model_{uuid.uuid4().hex}"
+    model_key = _model_key(model_factory)
 
     @F.pandas_udf("array<double>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

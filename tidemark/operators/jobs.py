@@ -23,11 +23,23 @@ ALLOWED_BEFORE = {
 
 
 def current_status(events: DataFrame) -> DataFrame:
-    """The last status row of each job."""
-    return events.groupBy("job_id").agg(
-        F.max_by("status", F.struct("ts", "event_id")).alias("status"),
+    """The current record of each job: its status row, with the stamps of the log.
+
+    Fields a log may carry (``error``, ``partition_id``) keep the last value that a row
+    gave them, as a later row without them does not take them back.
+    """
+    order = F.struct("ts", "event_id")
+    fields = [c for c in ("error", "partition_id") if c in events.columns]
+    last = [F.max(F.when(F.col(c).isNotNull(), F.struct(order, F.col(c)))).alias(c) for c in fields]
+    found = events.groupBy("job_id").agg(
+        F.max_by("status", order).alias("status"),
+        F.min("ts").alias("created_at"),
+        F.min(F.when(F.col("status") == "running", F.col("ts"))).alias("started_at"),
+        F.max(F.when(F.col("status").isin(TERMINAL), F.col("ts"))).alias("ended_at"),
         F.max("ts").alias("updated_at"),
+        *last,
     )
+    return found.withColumns({c: F.col(c)[c] for c in fields})
 
 
 def list_jobs(events: DataFrame, where: Column | None = None) -> DataFrame:
@@ -43,9 +55,13 @@ def active_jobs(events: DataFrame, as_of: Column | None = None) -> DataFrame:
 
 
 def job_timeline(events: DataFrame) -> DataFrame:
-    """Created, started and completed stamps with wait, run and total seconds."""
+    """Created, started and completed stamps with wait, run and total seconds.
+
+    Where the log carries ``error``, the first terminal row's is given too.
+    """
     status = F.col("status")
-    end = F.struct("ts", "event_id", "status")
+    more = [c for c in ("error",) if c in events.columns]
+    end = F.struct("ts", "event_id", "status", *more)
     firsts = events.groupBy("job_id").agg(
         F.min("ts").alias("created_at"),
         F.min(F.when(status == "running", F.col("ts"))).alias("started_at"),
@@ -57,6 +73,7 @@ def job_timeline(events: DataFrame) -> DataFrame:
         "started_at",
         F.col("__end.ts").alias("completed_at"),
         F.col("__end.status").alias("final_status"),
+        *[F.col(f"__end.{c}").alias(c) for c in more],
     )
 
     return (
@@ -99,7 +116,11 @@ def concurrency(
     end: str = "end_ts",
     unit: str = "HOUR",
 ) -> DataFrame:
-    """Active count after every start and end; at equal times ends come before starts."""
+    """Active count after every start and end; at equal times ends come before starts.
+
+    An interval without an end stays active: it has no end edge. One without a start is
+    taken to have begun before all others.
+    """
     keys = [c for c in intervals.columns if c not in (start, end)]
     edges = intervals.select(
         *keys,
@@ -109,7 +130,7 @@ def concurrency(
                 F.struct(F.col(end).alias("at"), F.lit(-1).alias("delta")),
             )
         ),
-    )
+    ).filter((F.col("delta") == 1) | F.col("at").isNotNull())
     order = [F.col("at"), F.col("delta"), *[F.col(c) for c in keys if c != worker]]
     return running_sum(
         edges, [worker], time_bucket("at", unit), order, {"active": F.col("delta").cast("bigint")}

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import written
+
 
 def latency_summary(samples: DataFrame, by: Sequence[str] = ("name",), ms: str = "ms") -> DataFrame:
     """Mean, population deviation, min, max and count; all 0 for no samples."""
@@ -33,9 +35,9 @@ def latency_percentiles(
 ) -> DataFrame:
     """Percentiles per group with linear interpolation: (by, p, value).
 
-    The exact form never holds a group. A mergeable sketch brackets each point
-    (its rank error is at most count/accuracy), one pass counts what lies below
-    the bracket, and only the values inside it are ranked.
+    The exact form never holds a group. A mergeable sketch brackets each point, one
+    pass counts what lies below the bracket, and only the values inside it are
+    shuffled and ranked.
     """
     samples = samples.select(by, ms).filter(F.col(ms).isNotNull())
     if approximate:
@@ -45,21 +47,28 @@ def latency_percentiles(
             by, F.get(F.array(*[F.lit(float(p)) for p in points]), F.col("i")).alias("p"), "value"
         )
 
-    # The sketch may be off by count/accuracy ranks; twice that leaves room to spare
-    # once a group is large. A small group is bracketed by its own extremes.
-    slack = 2.0 / accuracy
-    small = F.col("n") <= 10 * accuracy
-    marks = [max(0.0, p - slack) for p in points] + [min(1.0, p + slack) for p in points]
-
-    def bracket(i: int, p: float) -> Column:
-        lo, hi = F.get("m", F.lit(i)), F.get("m", F.lit(i + len(points)))
-        return F.struct(
-            F.lit(float(p)).alias("p"),
-            F.when(small | F.lit(p <= slack), F.col("lowest")).otherwise(lo).alias("lo"),
-            F.when(small | F.lit(p >= 1 - slack), F.col("highest")).otherwise(hi).alias("hi"),
-        )
-
-    brackets = (
+    # A sketch's rank error is at most count/accuracy. Of the half-widths below a group
+    # takes the narrowest that exceeds that error by two ranks, so its bracket is sure
+    # to hold both neighbours of the point; the widest are the group's own extremes.
+    widths = [w for w in (2.0 / accuracy, 0.001, 0.01, 0.1) if w >= 2.0 / accuracy]
+    marks = sorted(
+        {min(1.0, max(0.0, float(p) + side * w)) for p in points for w in widths for side in (-1, 1)}
+    )
+    error = F.col("n") / accuracy + 2
+
+    def bracket(p: float) -> Column:
+        low, high = F.col("lowest"), F.col("highest")
+        for w in reversed(widths):
+            wide = F.col("n") * w >= error
+            if p - w > 0:
+                low = F.when(wide, F.get("m", F.lit(marks.index(p - w)))).otherwise(low)
+            if p + w < 1:
+                high = F.when(wide, F.get("m", F.lit(marks.index(p + w)))).otherwise(high)
+        return F.struct(F.lit(p).alias("p"), low.alias("lo"), high.alias("hi"))
+
+    # One row per group and point. Written, so that Spark knows its size: small, it is
+    # broadcast and the samples meet it where they lie; otherwise they are shuffled by group.
+    brackets = written(
         samples.groupBy(by)
         .agg(
             F.percentile_approx(ms, marks, accuracy).alias("m"),
@@ -67,26 +76,24 @@ def latency_percentiles(
             F.max(ms).alias("highest"),
             F.count("*").alias("n"),
         )
-        .select(by, "n", F.inline(F.array(*[bracket(i, p) for i, p in enumerate(points)])))
-        .withColumn("at", F.col("p") * (F.col("n") - 1))
+        .select(by, "n", F.inline(F.array(*[bracket(float(p)) for p in points])))
+        .select(
+            F.col(by).alias("__by"), "p", "lo", "hi", (F.col("p") * (F.col("n") - 1)).alias("at")
+        ),
+        "brackets",
     )
-    # Counts per value shrink the samples before they meet the brackets.
     placed = (
-        samples.groupBy(by, ms)
-        .agg(F.count("*").alias("c"))
-        .join(brackets, by)
+        samples.join(brackets, F.col(by).eqNullSafe(F.col("__by")))
         .filter(F.col(ms) <= F.col("hi"))
-        .select(
-            by, "p", "at", "c", F.when(F.col(ms) >= F.col("lo"), F.col(ms)).alias("value")
-        )
+        .select(by, "p", "at", F.when(F.col(ms) >= F.col("lo"), F.col(ms)).alias("value"))
         .groupBy(by, "p", "at", "value")
-        .agg(F.sum("c").alias("c"))
+        .agg(F.count("*").alias("c"))
     )
     # The null value carries all that lies below the bracket and sorts first.
     upto = Window.partitionBy(by, "p").orderBy(F.asc_nulls_first("value"))
     ranked = placed.withColumn("seen", F.sum("c").over(upto))
     low, high = F.floor("at"), F.ceil("at")
-    holds = lambda rank: (F.col("seen") > rank) & (F.col("seen") - F.col("c") <= rank)
+    holds = lambda rank: (F.col("seen") > rank) & (F.col("seen") - F.col("c") <= rank)
     return (
         ranked.groupBy(by, "p", "at")
         .agg(
@@ -96,13 +103,10 @@ def latency_percentiles(
         .select(
             by,
             "p",
-            F.when(
-                F.col("__low").isNotNull() & F.col("__high").isNotNull(),
+            (
                 F.col("__low")
-                + (F.col("at") - F.floor("at")) * (F.col("__high") - F.col("__low")),
-            )
-            .otherwise(F.raise_error(F.lit("percentile outside its bracket")).cast("double"))
-            .alias("value"),
+                + (F.col("at") - F.floor("at")) * (F.col("__high") - F.col("__low"))
+            ).alias("value"),
         )
     )
 

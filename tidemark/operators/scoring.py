@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..plans.scratch import written
 
 # Fixed values: (temperature, max_new_tokens) by task, and for any other task.
 TASK_DEFAULTS = {"mcq": (0.0, 4), "mt": (0.0, 200), "ssg": (0.7, 100)}
@@ -96,63 +97,75 @@ def perplexity(
     )
 
 
+#: Bigrams whose log probability is broadcast: about 2 MB, whatever the corpus.
+FREQUENT_BIGRAMS = 20_000
+
+
 def bigram_perplexity(
     docs: DataFrame, key: str, text: str, tokenizer: tx.Tokenizer = tx.tokenize
 ) -> DataFrame:
     """Perplexity of each text under the add-one bigram model of all the texts.
 
-    One pass makes (token, next token) counts per text; the last token of a text is
-    marked as an end and a text without tokens keeps a marker row. Counting per text
-    first means that a frequent bigram sends one row per text, not one per
-    occurrence. Pair counts and the join share that shuffle, word counts and the
-    vocabulary size share the one of the pair counts; so conditions stand inside the
-    sums: a filter would be pushed below a shuffle and make it another one.
+    One pass makes (token, next token) counts per text, kept as a table that the counts
+    and the scores both read; the last token of a text is marked as an end, which only
+    the word counts need, and a text without tokens keeps a marker row. Only pairs meet
+    the model. The most frequent ones, which nearly every text holds, find their
+    log probability in a bounded broadcast; the others are joined by pair.
     """
     tokens = docs.select(key, tokenizer(F.col(text)).alias("tokens"))
-    bigram = ["w1", "w2", "kind"]
-    follows, ends, nothing = 0, 1, 2
-    per_text = (
+    bigram = ["w1", "w2"]
+    per_text = written(
         tokens.select(
             key,
             F.inline_outer(
                 F.zip_with(
                     "tokens",
                     F.slice("tokens", F.lit(2), F.greatest(F.size("tokens"), F.lit(0))),
-                    lambda a, b: F.struct(
-                        a.alias("a"), b.alias("b"), F.when(b.isNull(), ends).otherwise(follows).alias("k")
-                    ),
+                    lambda a, b: F.struct(a.alias("w1"), b.alias("w2")),
                 )
             ),
         )
-        .select(
-            key,
-            F.coalesce("a", F.lit("")).alias("w1"),
-            F.coalesce("b", F.lit("")).alias("w2"),
-            F.coalesce("k", F.lit(nothing)).alias("kind"),
-        )
         .groupBy(key, *bigram)
-        .agg(F.count("*").alias("c"))
+        .agg(F.count("*").alias("c")),
+        "bigrams",
     )
-    pair_counts = per_text.groupBy(*bigram).agg(F.sum("c").alias("pair_count"))
-    word_counts = pair_counts.groupBy("w1").agg(
-        F.sum(F.when(F.col("kind") != nothing, F.col("pair_count"))).alias("word_count")
+    pairs = per_text.filter(F.col("w2").isNotNull())
+    pair_counts = pairs.groupBy(*bigram).agg(F.sum("c").alias("pair_count"))
+    word_counts = written(
+        per_text.filter(F.col("w1").isNotNull()).groupBy("w1").agg(F.sum("c").alias("word_count")),
+        "words",
     )
-    distinct_words = word_counts.agg(F.count("word_count")).scalar()
-    model = pair_counts.join(word_counts, "w1").select(
-        *bigram,
-        F.ln((F.col("pair_count") + 1) / (F.col("word_count") + distinct_words)).alias("logp"),
+    distinct_words = word_counts.count()
+    model = written(
+        pair_counts.join(word_counts, "w1").select(
+            *bigram,
+            "pair_count",
+            F.ln((F.col("pair_count") + 1) / (F.col("word_count") + F.lit(distinct_words))).alias(
+                "logp"
+            ),
+        ),
+        "bigram-model",
     )
-    is_pair = F.col("kind") == follows
-    return (
-        per_text.join(model, bigram)
+    frequent = (
+        model.orderBy(F.desc("pair_count"), *bigram)
+        .limit(FREQUENT_BIGRAMS)
+        .select(*bigram, F.col("logp").alias("known"))
+    )
+    looked_up = pairs.join(F.broadcast(frequent), bigram, "left")
+    rare = looked_up.filter(F.col("known").isNull()).drop("known").join(model, bigram)
+    scored = (
+        looked_up.filter(F.col("known").isNotNull())
+        .select(key, "c", F.col("known").alias("logp"))
+        .unionByName(rare.select(key, "c", "logp"))
         .groupBy(key)
-        .agg(
-            F.coalesce(F.sum(F.when(is_pair, F.col("c"))), F.lit(0)).alias("scored"),
-            F.sum(F.when(is_pair, F.col("c") * F.col("logp"))).alias("__logp"),
-        )
+        .agg(F.sum("c").alias("scored"), F.sum(F.col("c") * F.col("logp")).alias("__logp"))
+    )
+    return (
+        docs.select(key)
+        .join(scored, key, "left")
         .select(
             key,
-            "scored",
+            F.coalesce("scored", F.lit(0)).alias("scored"),
             F.when(F.col("scored") > 0, F.exp(-F.col("__logp") / F.col("scored")))
             .otherwise(F.lit(float("inf")))
             .alias("bigram_ppl"),

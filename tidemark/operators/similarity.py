@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, norm
+from ..functions.vectors import NORM_FLOOR, cosine, norm
 from .inference import embed_column
 from .ngrams import explode_sentences
 from ..plans.ordered import previous_row
@@ -111,9 +113,38 @@ def text_diversity(
 
 
 def text_coherence(df: DataFrame, doc: str, text: str, embed: Embed = embed_column) -> DataFrame:
-    """``coherence`` of the sentences of each text; a text without sentences scores 0.0."""
+    """``coherence`` of the sentences of each text; a text without sentences scores 0.0.
+
+    The sentences of a text come out of one row, one after the other, so each vector
+    meets the one before it in the task that made it: the model runs once and only
+    sums per document move. ``embed`` must keep rows in their order.
+    """
     sentences = explode_sentences(df, doc, text)
-    scored = coherence(embed(sentences, "sentence", "vec"), doc, "pos", "vec")
+    vectors = embed(sentences.select(doc, "pos", "sentence"), "sentence", "vec")
+    kind = vectors.schema[doc].dataType.simpleString()
+
+    def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_pos, last = None, None
+        for batch in batches:
+            sums, counts = [], []
+            for at, vec in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                vec = None if vec is None else np.asarray(vec, float)
+                if at and at - 1 != last_pos:
+                    raise ValueError("the embedding changed the order of rows")
+                sums.append(_cosine(last, vec) if at else None)
+                counts.append(1)
+                last_pos, last = at, vec
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.float64())],
+                names=[doc, "n", "cos"],
+            )
+
+    scored = (
+        vectors.select(doc, "pos", "vec")
+        .mapInArrow(pair_up, f"`{doc}` {kind}, n bigint, cos double")
+        .groupBy(doc)
+        .agg(F.sum("n").alias("members"), F.avg("cos").alias("coherence"))
+    )
     return (
         df.select(doc)
         .join(scored, doc, "left")
@@ -123,3 +154,11 @@ def text_coherence(df: DataFrame, doc: str, text: str, embed: Embed = embed_colu
             F.coalesce("coherence", F.lit(0.0)).alias("coherence"),
         )
     )
+
+
+def _cosine(a: np.ndarray | None, b: np.ndarray | None) -> float | None:
+    """As ``functions.vectors.cosine``: null for a missing vector."""
+    if a is None or b is None:
+        return None
+    length = [max(float(np.sqrt(v @ v)), NORM_FLOOR) for v in (a, b)]
+    return float(a @ b) / (length[0] * length[1])

@@ -6,13 +6,16 @@ window inside (key, bucket) and add what the earlier buckets contribute. The
 carried part works on one pre-aggregated row per (key, bucket), so the only
 window that spans a whole key sees buckets, not rows.
 
-``bucket`` must grow with ``order`` (or shrink, with ``descending=True``), and
-the ``by`` columns must not be null. Results equal the plain window exactly.
+``bucket`` must grow with ``order`` (or shrink, with ``descending=True``). Null keys are a
+key of their own and null order values come where the window puts them, so a bucket may be
+null too; every carried join is null-safe and keeps all rows. Results equal the plain
+window exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -31,6 +34,18 @@ def spread_by(df: DataFrame, *columns: str | Column) -> DataFrame:
     return df.repartition(number, *columns)
 
 
+def join_carried(rows: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on ``keys`` in which nulls are equal; keeps each row of ``rows`` once.
+
+    ``carried`` has one row per combination of the keys.
+    """
+    aside = carried.withColumnsRenamed({k: f"__of_{k}" for k in keys})
+    same = reduce(
+        lambda a, b: a & b, (rows[k].eqNullSafe(aside[f"__of_{k}"]) for k in keys)
+    )
+    return rows.join(aside, same, "left").drop(*[f"__of_{k}" for k in keys])
+
+
 def running_sums(
     df: DataFrame,
     by: Sequence[str],
@@ -73,7 +88,7 @@ def running_sums(
             _BUCKET,
             *[F.sum(name).over(earlier).alias(f"__before_{name}") for name in mine],
         )
-        rows = rows.join(carried, [*by, *within, _BUCKET])
+        rows = join_carried(rows, carried, [*by, *within, _BUCKET])
     return rows.select(
         *df.columns,
         *[
@@ -134,7 +149,7 @@ def previous_row(
         _BUCKET,
         F.lag("__last").over(Window.partitionBy(*by).orderBy(_BUCKET)).alias("__carried"),
     )
-    return local.join(carried, [*by, _BUCKET]).select(
+    return join_carried(local, carried, [*by, _BUCKET]).select(
         *df.columns,
         *[
             F.when(F.col("__at") == 1, F.col("__carried")[name])
@@ -160,8 +175,7 @@ def complete_groups(
             continue
         if held is not None:
             batch = pd.concat([held, batch], ignore_index=True)
-        last = (batch[list(keys)] == batch[list(keys)].iloc[-1]).all(axis=1)
-        cut = len(batch) - int(last.iloc[::-1].cumprod().sum())
+        cut = group_bounds(batch, keys)[-1][0]
         if cut:
             yield batch.iloc[:cut].reset_index(drop=True)
         held = batch.iloc[cut:]
@@ -170,7 +184,9 @@ def complete_groups(
 
 
 def group_bounds(frame: pd.DataFrame, keys: Sequence[str]) -> list[tuple[int, int]]:
-    """Start and end row of each run of equal ``keys`` in a sorted frame."""
+    """Start and end row of each run of equal ``keys`` in a sorted frame; nulls are equal."""
     columns = frame[list(keys)]
-    starts = [0, *((columns != columns.shift()).any(axis=1).to_numpy().nonzero()[0][1:])]
+    before = columns.shift()
+    changed = (columns != before) & ~(columns.isna() & before.isna())
+    starts = sorted({0, *changed.any(axis=1).to_numpy().nonzero()[0].tolist()})
     return list(zip(starts, [*starts[1:], len(frame)]))

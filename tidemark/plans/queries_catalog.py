@@ -31,7 +31,9 @@ _LEGACY = "filename LIKE '%.pt' AND (tier <> 'L1' OR starts_with(filename, 'ckpt
         f"""
 SELECT job_id, tier, filename, 0 AS epoch, CASE WHEN has_sidecar THEN step ELSE 0 END AS step,
   CASE WHEN has_sidecar THEN framework ELSE 'pytorch' END AS framework, ts,
-  CASE tier WHEN 'L1' THEN 'L1 (local)' ELSE 'L2 (S3)' END AS source, has_sidecar
+  CASE tier WHEN 'L1' THEN 'L1 (local)' ELSE 'L2 (S3)' END AS source, has_sidecar,
+  concat('checkpoints/', job_id, '/', filename) AS path,
+  CASE WHEN has_sidecar THEN concat('{{"epoch":0,"step":', step, ',"framework":"', framework, '"}}') END AS metadata
 FROM ckpt WHERE has_sidecar OR ({_LEGACY})""",
     ),
 )
@@ -194,9 +196,11 @@ def current_records(spark, sf_dir):
     over(
         "ckpt",
         """
-SELECT job_id, 'running' AS status, last_checkpoint, last_step, local, s3, created_at, updated_at FROM (
+SELECT job_id, 'running' AS status, last_checkpoint, last_epoch, last_step, current_machine, local, s3, created_at, updated_at FROM (
   SELECT job_id, arg_max(concat('ckpt_0_', step), (ts, step, filename)) AS last_checkpoint,
+    CAST(arg_max(step % 3, (ts, step, filename)) AS INT) AS last_epoch,
     arg_max(step, (ts, step, filename)) AS last_step,
+    arg_max(concat('machine', step % 4), (ts, step, filename)) AS current_machine,
     arg_max(concat('checkpoints/', job_id, '/', filename), (ts, step, filename)) FILTER (tier = 'L1') AS local,
     arg_max(concat('checkpoints/', job_id, '/', filename), (ts, step, filename)) FILTER (tier = 'L2') AS s3,
     min(ts) AS created_at, max(ts) AS updated_at
@@ -204,11 +208,16 @@ SELECT job_id, 'running' AS status, last_checkpoint, last_step, local, s3, creat
     ),
 )
 def job_metadata(spark, sf_dir):
-    return ck.job_metadata(_files(spark, sf_dir)).select(
+    files = _files(spark, sf_dir).withColumns(
+        {"epoch": F.col("step") % 3, "machine": F.concat(F.lit("machine"), F.col("step") % 4)}
+    )
+    return ck.job_metadata(files).select(
         "job_id",
         "status",
         "last_checkpoint",
+        "last_epoch",
         "last_step",
+        "current_machine",
         F.col("checkpoint_paths.local").alias("local"),
         F.col("checkpoint_paths.s3").alias("s3"),
         "created_at",
@@ -226,7 +235,7 @@ SELECT job_id, tier, filename, step, ts, bytes, CASE WHEN rn <= 5 THEN 'keep' EL
     ),
 )
 def retention(spark, sf_dir):
-    return ck.retention(_files(spark, sf_dir))
+    return ck.retention(_files(spark, sf_dir), unit="DAY")
 
 
 @query(

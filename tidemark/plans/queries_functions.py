@@ -10,6 +10,7 @@ from ..functions import remote
 from ..operators import inference, scoring, similarity
 from . import views
 from .fixture_sql import over
+from .queries_text import TOKENS
 from .registry import query
 
 
@@ -79,10 +80,21 @@ def capture_outcomes(spark, sf_dir):
     return remote.capture_outcomes(rows, _count_or_fail, "user_id", _join_counts).drop("traceback")
 
 
-@query("embed_column")
+@query(
+    "embed_column",
+    f"""
+WITH t AS (SELECT doc_id, unnest({TOKENS}) AS token FROM documents),
+p AS (SELECT doc_id, CAST(concat('0x', substr(md5(token), 1, 8)) AS BIGINT) % 384 AS place FROM t),
+c AS (SELECT doc_id, place, count(*) AS n FROM p GROUP BY doc_id, place)
+SELECT doc_id, CAST(place AS INT) AS place,
+  round(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS FLOAT)::DOUBLE, 5) AS weight FROM c""",
+)
 def embed_column(spark, sf_dir):
     docs = views.texts(spark, sf_dir).select("doc_id", "text")
-    return inference.embed_column(docs).drop("text")
+    vectors = inference.embed_column(docs).select("doc_id", F.posexplode("embedding").alias("place", "x"))
+    return vectors.filter("x <> 0").select(
+        "doc_id", "place", F.round(F.col("x").cast("double"), 5).alias("weight")
+    )
 
 
 @query(

@@ -9,20 +9,38 @@ from . import views
 from .fixture_sql import over
 from .registry import query
 
-_CURRENT = """
-SELECT job_id, arg_max(status, (ts, event_id)) AS status, max(ts) AS updated_at FROM job_event GROUP BY job_id"""
+_LOG = """
+SELECT *, CASE WHEN status = 'failed' THEN concat('error ', event_id) END AS error,
+  CASE WHEN status = 'running' THEN concat('partition_', event_id) END AS partition_id FROM job_event"""
+
+_CURRENT = f"""
+SELECT job_id, arg_max(status, (ts, event_id)) AS status, min(ts) AS created_at,
+  min(ts) FILTER (status = 'running') AS started_at,
+  max(ts) FILTER (status IN ('completed', 'failed', 'timeout', 'cancelled')) AS ended_at,
+  max(ts) AS updated_at, arg_max(error, (ts, event_id)) FILTER (error IS NOT NULL) AS error,
+  arg_max(partition_id, (ts, event_id)) FILTER (partition_id IS NOT NULL) AS partition_id
+FROM ({_LOG}) GROUP BY job_id"""
+
+
+def _log(spark, sf_dir):
+    """The status log with what failed and running rows say besides."""
+    text = lambda word: F.concat(F.lit(word), F.col("event_id"))
+    return views.job_event(spark, sf_dir).withColumns(
+        {
+            "error": F.when(F.col("status") == "failed", text("error ")),
+            "partition_id": F.when(F.col("status") == "running", text("partition_")),
+        }
+    )
 
 
 @query("current_status", over("job_event", _CURRENT))
 def current_status(spark, sf_dir):
-    return jobs.current_status(views.job_event(spark, sf_dir))
+    return jobs.current_status(_log(spark, sf_dir))
 
 
 @query("list_jobs", over("job_event", f"SELECT * FROM ({_CURRENT}) WHERE status IN ('failed', 'paused')"))
 def list_jobs(spark, sf_dir):
-    return jobs.list_jobs(
-        views.job_event(spark, sf_dir), F.col("status").isin("failed", "paused")
-    )
+    return jobs.list_jobs(_log(spark, sf_dir), F.col("status").isin("failed", "paused"))
 
 
 @query(
@@ -55,11 +73,12 @@ def active_jobs_as_of(spark, sf_dir):
     "job_timeline",
     over(
         "job_event",
-        """
+        f"""
 WITH f AS (SELECT job_id, min(ts) AS created_at, min(ts) FILTER (status = 'running') AS started_at,
   min(ts) FILTER (status IN ('completed', 'failed', 'timeout', 'cancelled')) AS completed_at,
-  arg_min(status, (ts, event_id)) FILTER (status IN ('completed', 'failed', 'timeout', 'cancelled')) AS final_status
-  FROM job_event GROUP BY job_id)
+  arg_min(status, (ts, event_id)) FILTER (status IN ('completed', 'failed', 'timeout', 'cancelled')) AS final_status,
+  arg_min(struct_pack(e := error), (ts, event_id)) FILTER (status IN ('completed', 'failed', 'timeout', 'cancelled')).e AS error
+  FROM ({_LOG}) GROUP BY job_id)
 SELECT *, CAST(trunc(epoch_us(started_at - created_at) / 1e6) AS BIGINT) AS wait_s,
   CAST(trunc((epoch_us(completed_at) - epoch_us(started_at)) / 1e6) AS BIGINT) AS run_s,
   CAST(trunc((epoch_us(completed_at) - epoch_us(created_at)) / 1e6) AS BIGINT) AS total_s FROM f""".replace(
@@ -68,7 +87,7 @@ SELECT *, CAST(trunc(epoch_us(started_at - created_at) / 1e6) AS BIGINT) AS wait
     ),
 )
 def job_timeline(spark, sf_dir):
-    return jobs.job_timeline(views.job_event(spark, sf_dir))
+    return jobs.job_timeline(_log(spark, sf_dir))
 
 
 @query(
@@ -148,15 +167,21 @@ _KEPT = f"SELECT job_id FROM ({_CURRENT}) WHERE status = 'failed'"
 @query(
     "delete_jobs",
     over(
-        "job_event ckpt",
+        "job_event ckpt artifact_l1",
         f"""
 SELECT 'events' AS kind, job_id, count(*) AS n FROM job_event WHERE job_id NOT IN ({_KEPT}) GROUP BY job_id
-UNION ALL SELECT 'checkpoints', job_id, count(*) FROM ckpt WHERE job_id NOT IN ({_KEPT}) GROUP BY job_id""",
+UNION ALL SELECT 'checkpoints', job_id, count(*) FROM ckpt WHERE job_id NOT IN ({_KEPT}) GROUP BY job_id
+UNION ALL SELECT 'artifacts', job_id, count(*) FROM (SELECT saved_at % 500 AS job_id FROM artifact_l1)
+WHERE job_id NOT IN ({_KEPT}) GROUP BY job_id""",
     ),
 )
 def delete_jobs(spark, sf_dir):
-    events, ckpt = jobs.delete_jobs(
-        _doomed(spark, sf_dir), views.job_event(spark, sf_dir), views.ckpt(spark, sf_dir)
+    artifacts = views.artifact_l1(spark, sf_dir).select((F.col("saved_at") % 500).alias("job_id"))
+    events, ckpt, artifacts = jobs.delete_jobs(
+        _doomed(spark, sf_dir),
+        views.job_event(spark, sf_dir),
+        views.ckpt(spark, sf_dir),
+        artifacts,
     )
 
     def per_job(df, kind):
@@ -164,4 +189,8 @@ def delete_jobs(spark, sf_dir):
             F.lit(kind).alias("kind"), "job_id", "n"
         )
 
-    return per_job(events, "events").unionByName(per_job(ckpt, "checkpoints"))
+    return (
+        per_job(events, "events")
+        .unionByName(per_job(ckpt, "checkpoints"))
+        .unionByName(per_job(artifacts, "artifacts"))
+    )

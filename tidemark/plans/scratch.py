@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 
 
+@cache
+def _session_folder(application: str) -> str:
+    folder = tempfile.mkdtemp(prefix=f"{application}-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new path below the shared checkpoint folder named by the session.
 
-    Only a session without that setting (tests, a laptop) falls back to a local
-    temporary folder.
+    Only a local session without that setting (tests, a laptop) falls back to a temporary
+    folder, one for the whole session and removed with it; on a cluster it is an error.
     """
     root = spark.conf.get(_SETTING, None)
     if not root:
-        root = tempfile.mkdtemp(prefix="run-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"{_SETTING} must name a folder that all nodes share")
+        root = _session_folder(spark.sparkContext.applicationId)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

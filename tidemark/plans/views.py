@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import time_bucket
+from ..session import SPREAD
 from .ordered import previous_row, row_rank
 
 
@@ -14,14 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, dealt out to all cores when they come in fewer files than cores.
+    """The documents, dealt out to as many tasks as the session asks for, if it does.
 
-    Reading text costs many times what moving it does, and a file of one row group
-    is read by one task. A large table has files enough and is left where it lies.
+    A file of one row group is read by one task, and a local session over one file has no
+    others. A cluster leaves ``SPREAD`` unset: its table has files enough and stays where
+    it lies.
     """
     docs = table(spark, sf_dir, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
+    spread = spark.conf.get(SPREAD, None)
+    return docs.repartition(int(spread)) if spread else docs
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

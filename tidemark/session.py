@@ -8,6 +8,9 @@ from pyspark.sql import SparkSession
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Number of tasks that local sessions deal texts out to.
+SPREAD = "spark.tidemark.spread"
+
 
 def local_session(app: str = "tidemark", cores: int | str = 8, partitions: int = 8) -> SparkSession:
     """A local session for tests and the bench; cluster jobs bring their own."""
@@ -24,6 +27,7 @@ def local_session(app: str = "tidemark", cores: int | str = 8, partitions: int =
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.python.unix.domain.socket.enabled", "true")
         .config("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+        .config(SPREAD, str(partitions))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.artifacts import base_name
 
+# Column titles of a result file.
 RESULT_COLUMNS = {
     "name": "Test Name",
     "mean_ms": "Mean (ms)",
@@ -21,32 +22,54 @@ _RESULT_SCHEMA = (
 )
 
 
+_ARTIFACT_COLUMNS = ["name", "content", "saved_at", "job_id"]
+
+
+def _spread_artifacts(rows: DataFrame, spread: int) -> DataFrame:
+    """By job and a hash of the name: a busy job has ``spread`` tasks, a small one few files."""
+    return rows.repartition("job_id", F.pmod(F.xxhash64("name"), F.lit(spread)))
+
+
 def write_artifacts(artifacts: DataFrame, path: str, spread: int = 32) -> None:
     """Appends (job_id, name, content, saved_at), one folder per job, base names only.
 
-    Rows are spread by job and a hash of the name, so a busy job is written by up
-    to ``spread`` tasks while a small one still gets few files.
+    Job ids are text: an id that looks like a number keeps its zeros. ``spread`` bounds the
+    tasks that write one job.
     """
     rows = artifacts.select(
-        "job_id", base_name("name").alias("name"), F.col("content").cast("binary"), "saved_at"
+        F.col("job_id").cast("string").alias("job_id"),
+        base_name("name").alias("name"),
+        F.col("content").cast("binary").alias("content"),
+        "saved_at",
     )
-    part = F.pmod(F.xxhash64("name"), F.lit(spread))
-    rows.repartition("job_id", part).write.mode("append").partitionBy("job_id").parquet(path)
+    _spread_artifacts(rows, spread).write.mode("append").partitionBy("job_id").parquet(path)
 
 
-def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """The current content of each (job, name): a later save replaces an earlier one."""
-    rows = spark.read.parquet(path)
-    newest = rows.groupBy("job_id", "name").agg(F.max("saved_at").alias("saved_at"))
-    return rows.join(newest, ["job_id", "name", "saved_at"]).dropDuplicates(["job_id", "name"])
+def read_artifacts(spark: SparkSession, path: str, saved_at: str = "bigint") -> DataFrame:
+    """The current content of each (job, name): a later save replaces an earlier one.
+
+    Of saves at the same time the greater content wins, as in ``load_artifacts``. The
+    schema is given, as the folder names of jobs would be read as numbers otherwise;
+    ``saved_at`` is the type the artifacts were written with.
+    """
+    schema = f"name string, content binary, saved_at {saved_at}, job_id string"
+    rows = spark.read.schema(schema).parquet(path)
+    key = ["job_id", "name"]
+    newest = rows.groupBy(*key).agg(F.max("saved_at").alias("saved_at"))
+    return (
+        rows.join(newest, [*key, "saved_at"], "left_semi")
+        .groupBy(*key, "saved_at")
+        .agg(F.max("content").alias("content"))
+        .select(*_ARTIFACT_COLUMNS)
+    )
 
 
-def compact_artifacts(spark: SparkSession, path: str, target: str) -> None:
+def compact_artifacts(
+    spark: SparkSession, path: str, target: str, saved_at: str = "bigint", spread: int = 32
+) -> None:
     """Writes the current contents to ``target``, replacing the partitions they touch."""
-    part = F.pmod(F.xxhash64("name"), F.lit(32))
     (
-        read_artifacts(spark, path)
-        .repartition("job_id", part)
+        _spread_artifacts(read_artifacts(spark, path, saved_at), spread)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("job_id")
@@ -54,6 +77,20 @@ def compact_artifacts(spark: SparkSession, path: str, target: str) -> None:
     )
 
 
+def delete_artifacts(
+    spark: SparkSession, path: str, doomed: DataFrame, target: str, saved_at: str = "bigint"
+) -> None:
+    """Writes the artifacts of all but the ``doomed`` jobs to ``target``, partition by partition."""
+    rows = read_artifacts(spark, path, saved_at)
+    ids = doomed.select(F.col("job_id").cast("string").alias("job_id")).distinct()
+    (
+        _spread_artifacts(rows.join(ids, "job_id", "left_anti"), 32)
+        .write.mode("overwrite")
+        .partitionBy("job_id")
+        .parquet(target)
+    )
+
+
 def write_results_csv(results: DataFrame, path: str) -> None:
     """A header and one row per benchmark."""
     named = results.select(*[F.col(c).alias(title) for c, title in RESULT_COLUMNS.items()])
