@@ -125,6 +125,23 @@ def test_artifacts(spark, folder):
     assert tables.read_artifacts(spark, folder + "-compact").count() == 3
 
 
+def test_job_ids_that_look_like_numbers(spark, folder):
+    rows = [("007", "a", "one", 1), ("7", "a", "two", 1), ("1e3", "a", "three", 1), ("7", "a", "three", 1)]
+    saved = spark.createDataFrame(rows, "job_id string, name string, content string, saved_at bigint")
+    tables.write_artifacts(saved, folder)
+    got = {r["job_id"]: bytes(r["content"]) for r in tables.read_artifacts(spark, folder).collect()}
+    assert got == {"007": b"one", "7": b"two", "1e3": b"three"}
+    tables.delete_artifacts(spark, folder, saved.filter("job_id = '7'"), folder + "-rest")
+    left = tables.read_artifacts(spark, folder + "-rest").collect()
+    assert {r["job_id"] for r in left} == {"007", "1e3"}
+
+
+def test_paths_as_the_store_names_them():
+    assert src.as_store_uri("s3a://b/k") == "s3://b/k"
+    assert src.as_store_uri("file:/tmp/x") == src.as_store_uri("/tmp/x") == "file:///tmp/x"
+    assert src.as_store_uri("hdfs://h/x") == "hdfs://h/x"
+
+
 def test_csv_round_trip(spark, folder):
     rows = [("create", 0.65, 0.16, 0.18, 1.14, 100)]
     schema = "name string, mean_ms double, stddev_ms double, min_ms double, max_ms double, iterations bigint"

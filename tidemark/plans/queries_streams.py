@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import remote
+from ..functions.times import micros
 from ..operators import latency as lt
 from ..operators.checkpoints import save_record
 from ..sources import control as ctl
@@ -13,10 +14,11 @@ from ..streaming import dedupe, expiry, runs, stateful
 from . import views
 from .fixture_sql import over
 from .queries_functions import _count_or_fail, _join_counts
+from .queries_catalog import _CADENCE
 from .queries_leases import _QUOTA
 from .queries_report import _STATS, _rounded
 from .registry import query
-from .scratch import scratch_dir
+from .scratch import scratch_dir, written
 
 _SUPPLIER_SAVES = """SELECT s_nationkey AS job_id, s_suppkey AS step, CASE s_suppkey % 3 WHEN 0 THEN 'pytorch' WHEN 1 THEN 'sklearn' ELSE 'xgboost' END AS framework, s_acctbal AS balance FROM supplier"""
 
@@ -152,26 +154,68 @@ def _cents(batch):
     return batch.select("event_type", F.round(F.col("value") * 100).cast("bigint").alias("cents"))
 
 
+class PauseAfter:
+    """A control that asks for a pause once so many batches are saved."""
+
+    def __init__(self, batches):
+        self.left = batches
+
+    def pause_requested(self):
+        self.left -= 1
+        return self.left < 0
+
+    def mark(self, status):
+        pass
+
+
+def _staged(spark, df, purpose, parts=4):
+    """A derived table written file by file in the order of time, read as a stream of them."""
+    path = scratch_dir(spark, purpose)
+    stored = written(df, purpose)
+    at = micros("ts")
+    bounds = stored.select(at.alias("at")).approxQuantile("at", [i / parts for i in range(1, parts)], 0)
+    low = None
+    for high in [*bounds, None]:
+        part = stored if low is None else stored.filter(at > low)
+        part = part if high is None else part.filter(at <= high)
+        part.coalesce(1).write.mode("append").parquet(path)
+        low = high
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query(
     "resumable_run",
     """
-SELECT event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents
-FROM events GROUP BY event_type""",
+SELECT 'paused' AS first_status, 2 AS first_batches, 4 AS batches, event_type, count(*) AS n,
+  CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY event_type""",
 )
 def resumable_run(spark, sf_dir):
+    """Four batches, left after two, taken up again, and started once more with nothing left."""
     path = scratch_dir(spark, "run")
-    source = views.stream(spark, sf_dir, "events")
+    source = _staged(spark, views.table(spark, sf_dir, "events"), "events")
+    first = runs.resumable_run(source, path, _cents, PauseAfter(2))
     runs.resumable_run(source, path, _cents)
-    runs.resumable_run(source, path, _cents)  # nothing is left, nothing is done twice
+    last = runs.resumable_run(source, path, _cents)
     done = runs.output(spark, path)
-    return done.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
+    totals = done.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
+    return totals.select(
+        F.lit(first.status).alias("first_status"),
+        F.lit(first.checkpoint["batches"]).cast("int").alias("first_batches"),
+        F.lit(last.checkpoint["batches"]).cast("int").alias("batches"),
+        "*",
+    )
 
 
-@query("last_checkpoint_info", "SELECT count(*) AS rows_done FROM events")
+@query(
+    "last_checkpoint_info",
+    "SELECT CAST(3 AS BIGINT) AS batch_id, CAST(4 AS BIGINT) AS batches, count(*) AS rows_done FROM events",
+)
 def last_checkpoint_info(spark, sf_dir):
     path = scratch_dir(spark, "run")
-    runs.resumable_run(views.stream(spark, sf_dir, "events"), path, _cents)
-    return runs.last_checkpoint_info(spark, path).select("rows_done")
+    source = _staged(spark, views.table(spark, sf_dir, "events"), "events")
+    runs.resumable_run(source, path, _cents)
+    last = runs.last_checkpoint_info(spark, path)
+    return last.select(F.col("last.batch_id").cast("bigint").alias("batch_id"), "batches", "rows_done")
 
 
 @query(
@@ -221,20 +265,13 @@ def expire_stream(spark, sf_dir):
     return runs.run_to_table(expiry.expire_stream(leases), scratch_dir(spark, "expiry"))
 
 
-def _staged(spark, df, purpose):
-    """A derived table written out once, so that it can be read as a stream."""
-    path = scratch_dir(spark, purpose)
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
-
-
 @query(
     "checkpoint_cadence_stream",
-    over("step_log", "SELECT job_id, event_id, step, step % 10 = 0 AS saved FROM step_log"),
+    over("step_log", "WITH steps AS MATERIALIZED (SELECT * FROM step_log)," + _CADENCE[6:], True),
 )
 def checkpoint_cadence_stream(spark, sf_dir):
     log = _staged(spark, views.step_log(spark, sf_dir), "steps")
-    saved = stateful.checkpoint_cadence_stream(log, 10)
+    saved = stateful.checkpoint_cadence_stream(log, 10, 86400)
     return runs.run_to_table(
         saved.select("job_id", "event_id", "step", "saved"), scratch_dir(spark, "cadence")
     )

@@ -22,18 +22,26 @@ class Expire(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.open = handle.getListState("open", _STATE)
+        self.early = handle.getListState("early", "lease_id bigint, at_ms bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        """A release before its lease's end closes it, whichever of the two comes first."""
         frame = pd.concat(list(rows), ignore_index=True)
         created = frame[frame["op"] == "create"]
-        released = set(frame.loc[frame["op"] == "release", "lease_id"])
-        if released:
-            held = [row for row in self.open.get() if row[0] not in released]
-            created = created[~created["lease_id"].isin(released)]
-            if held:
-                self.open.put(held)
-            else:
-                self.open.clear()
+        releases = frame[frame["op"] == "release"]
+        if len(releases) or (len(created) and self.early.exists()):
+            at: dict[int, int] = {}
+            known = [*self.early.get(), *zip(releases["lease_id"], releases["event_ms"])]
+            for lease_id, ms in known:
+                at[int(lease_id)] = min(int(ms), at.get(int(lease_id), int(ms)))
+            rows_held = list(self.open.get())
+            held = [r for r in rows_held if at.get(r[0], r[3]) >= r[3]]
+            seen = {r[0] for r in rows_held} | set(created["lease_id"].tolist())
+            ends = created["lease_id"].map(at).fillna(created["end_ms"])
+            created = created[ends >= created["end_ms"]]
+            self.open.put(held) if held else self.open.clear()
+            waiting = [(i, ms) for i, ms in at.items() if i not in seen]
+            self.early.put(waiting) if waiting else self.early.clear()
         if len(created):
             added = created[_COLUMNS].copy()
             added["expired_at"] = added["expired_at"].dt.to_pydatetime()
@@ -62,8 +70,10 @@ def expire_stream(leases: DataFrame, shards: int = 64, delay: str = "0 seconds")
     """(lease_id, device_id, owner, expired_at) once the watermark of the starts passes an end.
 
     Leases are spread over shards by their id, never by device or owner, so no
-    shard is hot. An optional ``op`` column (``create``/``release``) closes a lease
-    early. A lease that ends after the last start seen stays open.
+    shard is hot; ``shards`` bounds the tasks of the stream. An optional ``op`` column
+    (``create``/``release``, a release's time being its ``start_ts``) closes a lease early: a
+    release before the end counts even if it arrives before its lease, one at or after
+    the end does not. A lease that ends after the last start seen stays open.
     """
     use_rocksdb_state(leases.sparkSession)
     op = F.col("op") if "op" in leases.columns else F.lit("create")
@@ -77,6 +87,7 @@ def expire_stream(leases: DataFrame, shards: int = 64, delay: str = "0 seconds")
             "owner",
             op.alias("op"),
             end_ms.alias("end_ms"),
+            F.call_function("div", micros("start_ts"), F.lit(1000)).alias("event_ms"),
             F.col("end_ts").alias("expired_at"),
             as_utc("start_ts").alias("event_time"),
         )

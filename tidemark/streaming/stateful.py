@@ -23,7 +23,7 @@ class _Cadence(StatefulProcessor):
         self.columns, self.tie = list(columns), tie
 
     def init(self, handle) -> None:
-        self.clock = handle.getValueState("clock", "last bigint")
+        self.clock = handle.getValueState("clock", "last bigint, step bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows), ignore_index=True).sort_values(["step", "at_micros", self.tie])
@@ -31,10 +31,12 @@ class _Cadence(StatefulProcessor):
         flags = np.zeros(len(t), dtype=bool)
         if self.every_steps:
             flags = (step > 0) & (step % self.every_steps == 0)
-        last = self.clock.get()[0] if self.clock.exists() else int(t[0])
+        last, before = self.clock.get() if self.clock.exists() else (int(t[0]), None)
+        if before is not None and int(step[0]) <= before:
+            raise ValueError(f"{key}: step {step[0]} arrived after step {before}")
         never = np.iinfo(np.int64).max // 4
         saved, last = walk(t, flags, self.wait or never, last)
-        self.clock.update((int(last),))
+        self.clock.update((int(last), int(step[-1])))
         yield frame[self.columns].assign(saved=saved)
 
     def close(self) -> None:
@@ -48,7 +50,10 @@ def checkpoint_cadence_stream(
     key: str = "job_id",
     tie: str = "event_id",
 ) -> DataFrame:
-    """Adds ``saved``; a job's rows must arrive in step order from batch to batch."""
+    """Adds ``saved``; a job's rows must arrive in step order from batch to batch.
+
+    The last step is kept in state, and a row that comes too late ends the stream.
+    """
     use_rocksdb_state(log.sparkSession)
     rows = log.withColumn("at_micros", micros("ts"))
     out = T.StructType([*log.schema.fields, T.StructField("saved", T.BooleanType())])
@@ -59,29 +64,37 @@ def checkpoint_cadence_stream(
 
 
 class _Quota(StatefulProcessor):
+    """Usage and last time of a key, and its live buffers, each under its own id."""
+
     def __init__(self, order: Sequence[str]):
         self.order = list(order)
 
     def init(self, handle) -> None:
-        self.usage = handle.getValueState("usage", "usage bigint")
-        self.live = handle.getListState("live", "buffer_id string, size bigint")
+        self.usage = handle.getValueState("usage", "usage bigint, at bigint")
+        self.live = handle.getMapState("live", "buffer_id string", "sizes array<bigint>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows), ignore_index=True).sort_values(self.order)
-        ledger = Ledger(self.usage.get()[0] if self.usage.exists() else 0)
-        for buffer_id, size in self.live.get():
-            ledger.live[buffer_id].append(size)
+        usage, before = self.usage.get() if self.usage.exists() else (0, None)
+        if before is not None and int(frame["at_micros"].iloc[0]) < before:
+            raise ValueError(f"{key}: an operation arrived after a later one")
+        ledger = Ledger(usage)
+        touched = [b for b in frame["buffer_id"].unique() if b is not None]
+        for buffer_id in touched:
+            if self.live.containsKey((buffer_id,)):
+                ledger.live[buffer_id] = list(self.live.getValue((buffer_id,))[0])
+        held_before = set(ledger.live)
         limits = [None if v < 0 else v for v in frame["limit_or_minus"].tolist()]
         ok, usage = ledger.apply_all(
             zip(frame["op"], frame["buffer_id"], frame["size"].tolist(), limits)
         )
-        held = [(b, size) for b, sizes in ledger.live.items() for size in sizes]
-        self.usage.update((ledger.usage,))
-        if held:
-            self.live.put(held)
-        else:
-            self.live.clear()
-        yield frame.drop(columns="limit_or_minus").assign(ok=ok, usage=usage)
+        self.usage.update((ledger.usage, int(frame["at_micros"].iloc[-1])))
+        for buffer_id in touched:
+            if ledger.live.get(buffer_id):
+                self.live.updateValue((buffer_id,), (ledger.live[buffer_id],))
+            elif buffer_id in held_before:
+                self.live.removeKey((buffer_id,))
+        yield frame.drop(columns=["limit_or_minus", "at_micros"]).assign(ok=ok, usage=usage)
 
     def close(self) -> None:
         pass
@@ -92,8 +105,9 @@ def quota_stream(
 ) -> DataFrame:
     """(key, order, op, buffer_id, size, ok, usage) per operation.
 
-    A key's operations must arrive in order from batch to batch. Buffer ids travel
-    as text: pandas would turn a nullable whole number into a float.
+    A key's operations must arrive in order from batch to batch; one that is earlier
+    than what came before ends the stream. Operations without a buffer id match nothing.
+    Buffer ids travel as text: pandas would turn a nullable whole number into a float.
     """
     use_rocksdb_state(ops.sparkSession)
     rows = ops.select(
@@ -103,7 +117,8 @@ def quota_stream(
         F.col("buffer_id").cast("string").alias("buffer_id"),
         F.coalesce("size", F.lit(0)).cast("bigint").alias("size"),
         F.coalesce("limit_bytes", F.lit(-1)).cast("bigint").alias("limit_or_minus"),
+        micros(order[0]).alias("at_micros"),
     )
-    out = T.StructType([*rows.schema.fields[:-1], *VERDICT])
+    out = T.StructType([*rows.schema.fields[:-2], *VERDICT])
     folded = rows.groupBy(key).transformWithStateInPandas(_Quota(order), out, "append", "None")
     return folded.withColumn("buffer_id", F.col("buffer_id").cast(ops.schema["buffer_id"].dataType))
