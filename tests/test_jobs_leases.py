@@ -1,5 +1,6 @@
 import datetime
 import random
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,8 +149,8 @@ def test_quota_edges(spark):
         (1, "track", 1, 60), (1, "track", 2, 40), (1, "track", 3, 1), (1, "release", 3, 0), (1, "release", 2, 0),
         (1, "release", 2, 0), (1, "track", 3, 40), (2, "track", 4, 5, None), (2, "release", None, 0, None),
     )
-    for parallel_from in (0, 1_000_000):
-        got = [(r["ok"], r["usage"]) for r in quota.quota_fold(df, parallel_from=parallel_from).orderBy("event_id").collect()]
+    for unit in ("HOUR", "DAY"):
+        got = [(r["ok"], r["usage"]) for r in quota.quota_fold(df, unit=unit).orderBy("event_id").collect()]
         assert got == [(True, 60), (True, 100), (False, 100), (False, 100), (True, 60), (False, 60), (True, 100), (False, 0), (False, 0)]
 
 
@@ -165,9 +166,10 @@ def test_quota_in_parallel_equals_in_order(spark, limit):
         else:
             rows.append((key, "release", rng.choice([None, rng.randint(1, next_id + 1)]), 0))
     df = ops(spark, *rows, limit=limit).repartition(6)
-    a = {r["event_id"]: (r["ok"], r["usage"]) for r in quota.quota_fold(df, parallel_from=0).collect()}
-    b = {r["event_id"]: (r["ok"], r["usage"]) for r in quota.quota_fold(df).collect()}
-    assert len(a) == 600 and a == b
+    got = [(r["ok"], r["usage"]) for r in quota.quota_fold(df).orderBy("event_id").collect()]
+    ledgers = defaultdict(quota.Ledger)
+    want = [(ledgers[k].apply(op, b, size, limit), ledgers[k].usage) for k, op, b, size in rows]
+    assert got == want
 
 
 def events(spark, *rows):

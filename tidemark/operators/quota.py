@@ -6,12 +6,13 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.times import time_bucket
 from ..plans.ordered import running_sum, spread_by
+from ..plans.scratch import written
 
 VERDICT = [T.StructField("ok", T.BooleanType()), T.StructField("usage", T.LongType())]
 
@@ -47,80 +48,62 @@ class Ledger:
         return ok, usage
 
 
-def _parallel_usage(ops: DataFrame, key: str, order: Sequence[str], unit: str) -> DataFrame:
-    """Verdict and usage as if every allocation fitted, and per key whether that is so.
+def _matched(ops: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """Verdict and change of usage as if every allocation fitted, in one shuffle.
 
     With all allocations accepted, a release counts if it is the first one after its
-    buffer was tracked, and usage is a running sum. Real usage is never above it: if
-    the sum stays within the limit for the whole key, it is the answer. Keys that
-    track a buffer twice, lack a limit or go over it are left to the ordered read.
+    buffer was tracked. Rows are told as odd where that is not enough: a buffer tracked
+    twice, an allocation without size or limit. Without a buffer id nothing can match;
+    such rows stand alone, so that they never meet in one group.
     """
     at = F.struct(*order)
-    is_track = F.col("op") == "track"
-    # Without a buffer id nothing can match; such rows must not meet in one group.
-    named = ops.filter(F.col("buffer_id").isNotNull())
-    nameless = ops.filter(F.col("buffer_id").isNull()).select(
-        "*", F.lit(False).alias("ok"), F.lit(0).cast("bigint").alias("__delta"), is_track.alias("__odd")
-    )
-    buffer = [key, "buffer_id"]
+    is_track, named = F.col("op") == "track", F.col("buffer_id").isNotNull()
+    alone = F.when(~named, F.xxhash64(*order))
+    buffer = Window.partitionBy(key, "buffer_id", "__alone")
     tracked = (
-        named.filter(is_track)
-        .groupBy(*buffer)
-        .agg(
-            F.min(at).alias("__tracked"),
-            F.max("size").alias("__held"),
-            F.count("*").alias("__tracks"),
-        )
+        ops.withColumn("__alone", alone)
+        .withColumn("__tracked", F.min(F.when(is_track, at)).over(buffer))
+        .withColumn("__held", F.max(F.when(is_track, F.col("size"))).over(buffer))
+        .withColumn("__tracks", F.count_if(is_track).over(buffer))
     )
-    known = named.join(tracked, buffer, "left")
-    freed = (
-        known.filter(~is_track & (at > F.col("__tracked")))
-        .groupBy(*buffer)
-        .agg(F.min(at).alias("__freed"))
+    late = ~is_track & (at > F.col("__tracked"))
+    freed = tracked.withColumn("__freed", F.min(F.when(late, at)).over(buffer))
+    ok = named & F.coalesce(is_track | (at == F.col("__freed")), F.lit(False))
+    delta = (
+        F.when(~named, F.lit(0))
+        .when(is_track, F.col("size"))
+        .when(F.col("ok"), -F.col("__held"))
+        .otherwise(F.lit(0))
     )
-    counts = F.coalesce(is_track | (at == F.col("__freed")), F.lit(False))
-    delta = F.when(is_track, F.col("size")).when(F.col("ok"), -F.col("__held")).otherwise(F.lit(0))
     odd = (
         (F.col("__tracks") > 1)
         | F.col("__delta").isNull()
-        | (is_track & F.col("limit_bytes").isNull())
+        | (is_track & (F.col("limit_bytes").isNull() | ~named))
     )
-    matched = (
-        known.join(freed, buffer, "left")
-        .withColumn("ok", counts)
+    return (
+        freed.withColumn("ok", ok)
         .withColumn("__delta", delta.cast("bigint"))
-        .withColumn("__odd", odd)
+        .withColumn("__odd", F.coalesce(odd, F.lit(True)))
         .select(*ops.columns, "ok", "__delta", "__odd")
     )
-    rows = matched.unionByName(nameless).withColumn("__odd", F.coalesce("__odd", F.lit(True)))
-    return running_sum(
-        rows,
-        [key],
-        time_bucket(order[0], unit),
-        [F.col(c) for c in order],
-        {"usage": F.coalesce("__delta", F.lit(0))},
-    )
 
 
 def quota_fold(
-    ops: DataFrame,
-    key: str = "key",
-    order: Sequence[str] = ("ts", "event_id"),
-    unit: str = "HOUR",
-    parallel_from: int = 1_000_000,
+    ops: DataFrame, key: str = "key", order: Sequence[str] = ("ts", "event_id"), unit: str = "HOUR"
 ) -> DataFrame:
     """Adds ``ok`` (accepted, or released) and ``usage`` after each operation.
 
-    A verdict depends on all earlier ones of its key, so a key is read in order by
-    one task, as a stream of batches that holds the live buffers of the key and
-    never its log. Keys of more than ``parallel_from`` rows are first summed in
-    parallel; only those that do reach their limit join the ordered read. ``order``
-    starts with a TIMESTAMP_NTZ and is total within a key. ``ops`` is read several
-    times, so it should be a table rather than a long plan.
+    First all keys are summed in parallel, as if every allocation fitted. Real usage is
+    never above that sum: where it stays within the limit for a whole key, it is the
+    answer. In a key that does reach its limit a verdict depends on all earlier ones, so
+    such a key is read in order by one task, as a stream of batches that holds its live
+    buffers and never its log. ``order`` starts with a TIMESTAMP_NTZ and is total within a
+    key. ``ops`` is read once; what is read again are tables in the shared folder. A null
+    key is a key of its own.
     """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, ledger = None, Ledger()
+        current, ledger = object(), Ledger()
         for batch in batches:
             ok, usage = [], []
             columns = [
@@ -137,17 +120,18 @@ def quota_fold(
             )
 
     out = T.StructType([*ops.schema.fields, *VERDICT])
-    # Without large keys these branches are empty, and adaptive execution drops them.
-    large = ops.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > parallel_from)
-    large_ops = ops.join(large, key, "left_semi").select(*ops.columns)
-    summed = _parallel_usage(large_ops, key, order, unit)
-    full = F.col("__odd") | ((F.col("op") == "track") & (F.col("usage") > F.col("limit_bytes")))
-    reached = summed.filter(full).select(key).distinct()
-    parallel = summed.join(reached, key, "left_anti").select(*ops.columns, "ok", "usage")
-    ordered = (
-        ops.join(large, key, "left_anti")
-        .select(*ops.columns)
-        .unionByName(large_ops.join(reached, key, "left_semi").select(*ops.columns))
+    summed = running_sum(
+        written(_matched(ops, key, order), "matched"),
+        [key],
+        time_bucket(order[0], unit),
+        [F.col(c) for c in order],
+        {"usage": F.coalesce("__delta", F.lit(0))},
     )
+    summed = written(summed, "usage")
+    full = F.col("__odd") | ((F.col("op") == "track") & (F.col("usage") > F.col("limit_bytes")))
+    reached = summed.filter(full).select(F.col(key).alias("__key")).distinct()
+    is_reached = F.col(key).eqNullSafe(F.col("__key"))
+    parallel = summed.join(reached, is_reached, "left_anti").select(*ops.columns, "ok", "usage")
+    ordered = summed.join(reached, is_reached, "left_semi").select(*ops.columns)
     folded = spread_by(ordered, key).sortWithinPartitions(key, *order).mapInArrow(fold, out)
     return parallel.unionByName(folded)

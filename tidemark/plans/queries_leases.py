@@ -204,7 +204,7 @@ def quota_fold_with_room(spark, sf_dir):
     """Ten times the limit and a low size mark: many keys are summed in parallel."""
     ops = views.buffer_op(spark, sf_dir).withColumn("limit_bytes", F.col("limit_bytes") * 10)
     ops = written(ops, "ops")
-    folded = quota.quota_fold(ops, unit="DAY", parallel_from=60)
+    folded = quota.quota_fold(ops, unit="DAY")
     return folded.select("event_id", "key", "ok", "usage")
 
 
