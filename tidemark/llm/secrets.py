@@ -3,8 +3,8 @@
 Three patterns give the base spans; their kind labels each value found. From a bounded
 sample of labelled values per kind (``sample_rows``, smallest hash first) a prefix tree is
 built and its statistically compatible states are merged, which yields one probabilistic
-automaton per kind. A model of character pairs, from a bounded sample of tokens that are
-no base match, stands for ordinary text. Every candidate of every text, a run of at least
+automaton per kind. A model of character pairs, from a bounded sample of the words of every
+sixteenth document, stands for ordinary text. Every candidate of every text, a run of at least
 ``min_chars`` credential characters outside the base spans, is scored by how much likelier
 per character its format is under the best automaton than as ordinary text; above
 ``margin`` it is a span of kind ``inferred``.
@@ -20,6 +20,7 @@ inferred. Repeated rows give repeated results. An empty table gives an empty res
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from math import inf, log, sqrt
 
@@ -43,7 +44,7 @@ _NAMES = (b"passw", b"secret", b"token", b"api")
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]+")
 _FOUND = (
     "doc_id bigint, spans array<struct<kind:string,start:int,end:int,value:string>>, "
-    "candidates array<struct<start:int,end:int,value:string>>"
+    "candidates array<struct<start:int,end:int,value:string>>, words array<string>"
 )
 _SPAN = pa.struct(
     [("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]
@@ -77,6 +78,11 @@ def candidates(text: str, spans: list[tuple], run: re.Pattern) -> list[tuple[int
     return found
 
 
+def ordinary_words(text: str) -> list[str]:
+    """Distinct ASCII words of 6 to 19 characters: too short to be candidates."""
+    return [w for w in set(text.split()) if 6 <= len(w) < 20 and w.isascii()]
+
+
 class Automaton:
     """A probabilistic automaton, from a prefix tree whose compatible states are merged."""
 
@@ -217,10 +223,11 @@ def find(docs: DataFrame, min_chars: int = 20) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         long_run = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % min_chars)
         for batch in batches:
-            spans, others = [], []
-            for text in batch.column(1).to_pylist():
+            spans, others, words = [], [], []
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 spans.append(base_spans(text))
                 others.append(candidates(text, spans[-1], long_run))
+                words.append(ordinary_words(text) if zlib.crc32(b"%d" % (doc_id or 0)) % 16 == 0 else [])
             yield pa.record_batch(
                 {
                     "doc_id": batch.column(0),
@@ -232,6 +239,7 @@ def find(docs: DataFrame, min_chars: int = 20) -> DataFrame:
                         [[dict(zip(("start", "end", "value"), s)) for s in x] for x in others],
                         pa.list_(_CANDIDATE),
                     ),
+                    "words": pa.array(words, pa.list_(pa.string())),
                 }
             )
 
@@ -252,8 +260,8 @@ def learn(found: DataFrame, sample_rows: int = 1000) -> Formats:
         kind: _sample(spans.filter(F.col("kind") == kind).select("value"), sample_rows)
         for kind in BASE
     }
-    tokens = found.select(F.explode("candidates").alias("s")).select("s.value")
-    return Formats(labelled, _sample(tokens, 5 * sample_rows))
+    words = found.select(F.explode("words").alias("value"))
+    return Formats(labelled, _sample(words, 20 * sample_rows))
 
 
 def scan(
@@ -280,6 +288,6 @@ def scan(
                 {"doc_id": batch.column(0), "spans": pa.array(out, pa.list_(_RESULT))}
             )
 
-    return found.mapInArrow(
+    return found.drop("words").mapInArrow(
         run, "doc_id bigint, spans array<struct<kind:string,start:int,end:int>>"
     )
