@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import time_bucket
-from tidemark.operators import checkpoints, jobs, latency
+from tidemark.operators import cadence, checkpoints, jobs, latency
 from tidemark.plans.ordered import group_bounds, previous_row, row_rank, running_sum
 
 AT = dt.datetime(2024, 1, 1)
@@ -121,3 +121,14 @@ def test_current_record_keeps_what_a_row_said(spark):
     got = jobs.current_status(log).first()
     assert (got["status"], got["error"], got["partition_id"]) == ("paused", "boom", "p1")
     assert jobs.job_timeline(log).first()["error"] == "boom"
+
+
+def test_cadence_survives_nulls(spark):
+    rows = [(j, i, i, AT + dt.timedelta(hours=i)) for j in (1, None) for i in range(40)]
+    rows += [(1, 100, None, AT), (None, 101, 5, None), (2, 102, None, None)]
+    log = spark.createDataFrame(rows, "job_id bigint, event_id bigint, step int, ts timestamp_ntz")
+    got = cadence.checkpoint_cadence(log, None, 36_000, block=8).collect()
+    assert len(got) == len(rows)
+    for job in (1, None):
+        mine = sorted(r["step"] for r in got if r["job_id"] == job and r["saved"])
+        assert mine == [10, 20, 30]

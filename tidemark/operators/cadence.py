@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.times import micros
-from ..plans.ordered import complete_groups, group_bounds, spread_by
+from ..plans.ordered import complete_groups, group_bounds, join_carried, spread_by
 
 
 def next_by_time(t: np.ndarray, wait: int) -> np.ndarray:
@@ -33,10 +33,14 @@ def walk(t: np.ndarray, by_step: np.ndarray, wait: int, last: int) -> tuple[np.n
     """Save flags of one block whose last earlier save was at ``last``, and the new last."""
     saved = np.zeros(len(t), dtype=bool)
     step_rows = np.flatnonzero(by_step)
+    rising = len(t) < 2 or bool((np.diff(t) >= 0).all())
     at = 0
     while at < len(t):
-        due = np.flatnonzero(t[at:] >= last + wait)
-        by_time = at + due[0] if len(due) else len(t)
+        if rising:
+            by_time = max(at, int(np.searchsorted(t, last + wait, side="left")))
+        else:
+            due = np.flatnonzero(t[at:] >= last + wait)
+            by_time = at + due[0] if len(due) else len(t)
         nth = np.searchsorted(step_rows, at)
         row = min(by_time, step_rows[nth] if nth < len(step_rows) else len(t))
         if row == len(t):
@@ -83,20 +87,23 @@ def checkpoint_cadence(
 ) -> DataFrame:
     """Adds ``saved`` to a step log (key, step, ts, tie).
 
-    The clock starts at the job's first row. ``None`` switches a rule off.
+    The clock starts at the job's first row. ``None`` switches a rule off. A row without
+    step or time is not saved and does not move the clock; a null job is a job.
     """
     by_step = F.lit(False)
     if every_steps:
         by_step = (F.col("step") > 0) & (F.col("step") % every_steps == 0)
+    by_step = F.coalesce(by_step, F.lit(False))
     if not every_seconds:
         return log.withColumn("saved", by_step)
 
     wait = every_seconds * 1_000_000
     rows = log.withColumns(
         {
-            "__t": micros("ts"),
+            "__t": F.coalesce(micros("ts"), F.lit(0)),
             "__by_step": by_step,
-            "__block": F.floor(F.col("step") / block),
+            "__block": F.coalesce(F.floor(F.col("step") / block), F.lit(-1)),
+            "__timed": F.col("ts").isNotNull() & F.col("step").isNotNull(),
         }
     )
     columns = log.columns
@@ -128,15 +135,16 @@ def checkpoint_cadence(
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         job = blk = last = out = None
-        settled = False
+        settled = started = False
         for batch in batches:
             entries = []
             for k, b, first, upto, result in zip(
                 batch[key], batch["__block"], batch["__first"], batch["__upto"], batch["__out"]
             ):
-                if (k, b) != (job, blk):
-                    last = first if k != job else out
-                    job, blk, out, settled = k, b, last, False
+                same_job = started and (k == job or (pd.isna(k) and pd.isna(job)))
+                if not same_job or b != blk:
+                    last = out if same_job else first
+                    job, blk, out, settled, started = k, b, last, False, True
                     entries.append((k, b, last))
                 if not settled and (pd.isna(upto) or last <= upto):
                     out, settled = result, True
@@ -146,16 +154,18 @@ def checkpoint_cadence(
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in complete_groups(batches, block_key):
-            t, flags = frame["__t"].to_numpy(), frame["__by_step"].to_numpy()
-            last = frame["__last"].to_numpy()
-            saved = [
-                walk(t[a:b], flags[a:b], wait, int(last[a]))[0]
-                for a, b in group_bounds(frame, block_key)
-            ]
-            yield frame[columns].assign(saved=np.concatenate(saved))
+            saved = np.zeros(len(frame), dtype=bool)
+            timed = frame[frame["__timed"]]
+            places = np.flatnonzero(frame["__timed"].to_numpy())
+            t, flags = timed["__t"].to_numpy(), timed["__by_step"].to_numpy()
+            last = timed["__last"].to_numpy()
+            for a, b in group_bounds(timed, block_key) if len(timed) else ():
+                saved[places[a:b]] = walk(t[a:b], flags[a:b], wait, int(last[a]))[0]
+            yield frame[columns].assign(saved=saved)
 
     in_order = [*block_key, "step", "__t", tie]
-    steps = rows.select(*dict.fromkeys([key, "step", tie]), "__t", "__by_step", "__block")
+    timed_rows = rows.filter("__timed")
+    steps = timed_rows.select(*dict.fromkeys([key, "step", tie]), "__t", "__by_step", "__block")
     functions_of_blocks = (
         spread_by(steps, *block_key).sortWithinPartitions(*in_order).mapInPandas(functions, function_schema)
     )
@@ -166,7 +176,7 @@ def checkpoint_cadence(
     )
     saved_schema = T.StructType([*log.schema.fields, T.StructField("saved", T.BooleanType())])
     return (
-        spread_by(rows.join(clocks, block_key), *block_key)
+        spread_by(join_carried(rows, clocks, block_key), *block_key)
         .sortWithinPartitions(*in_order)
         .mapInPandas(decide, saved_schema)
     )
