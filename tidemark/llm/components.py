@@ -17,6 +17,21 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["sum"]
 
 
+def near_labels(links: DataFrame) -> DataFrame:
+    """``links(a, b)`` as (node, component), two steps only.
+
+    Nodes of one label are connected; connected nodes may have different labels. Enough
+    to leave out pairs that need no further link, at the price of one sum and one join.
+    """
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = written(
+        both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")),
+        "labels",
+    )
+    again = low.select(F.col("a").alias("low"), F.col("low").alias("lower"))
+    return low.join(again, "low").select(F.col("a").alias("node"), F.col("lower").alias("component"))
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """``links(a, b)`` as (node, component): the smallest node each one can reach.
 
@@ -35,9 +50,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
             edges.select(F.col("m").alias("u"), F.col("u").alias("v"))
         )
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        tied = (
-            both.filter("v > u").join(lowest, "u").select(F.col("v").alias("u"), "m").distinct()
-        )
+        tied = both.filter("v > u").join(lowest, "u").select(F.col("v").alias("u"), "m")
         lowest = tied.groupBy("u").agg(F.min("m").alias("low"))
         again = tied.join(lowest, "u")
         edges = written(

@@ -12,8 +12,9 @@ similarity of their sets is at least ``num / den``.
 * The boundary between the two is the size at which the estimated cost, subsets
   enumerated against lists scanned, is smallest. Near it, small sets are listed as well,
   so that pairs across the boundary are found.
-* 256 parity bits per set give a lower bound of the difference of two sets; pairs that
-  cannot link go before their sets are compared. All others are compared exactly.
+* Parity bits of a set, about one for each n-gram, give a lower bound of the difference of
+  two sets; pairs that cannot link go before their sets are compared. All others are
+  compared exactly.
 
 Groups of near copies are not expanded into pairs. A first round compares each set with
 one leader per list, the set whose shared n-grams come first in its order. After that
@@ -43,10 +44,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import written
-from .components import components
+from .bloom import filter_bits, filter_of, positions, test_bits
+from .components import components, near_labels
 
-#: Rows of (bigint, bigint, binary) that may be broadcast: at most about 32 MB.
-BROADCAST_ROWS = 500_000
+#: Documents to compare that may be broadcast (id, signature, partners): about 32 MB.
+BROADCAST_ROWS = 300_000
+
+#: Members compared with one leader by one task.
+PER_TASK = 100
 
 #: Frequent n-grams known by count: 2 MB. More of them only order lists less well.
 FREQUENT = 1 << 17
@@ -57,7 +62,7 @@ _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x9
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
@@ -84,6 +89,11 @@ def shingles(text: bytes, n: int, words: WordHashes) -> np.ndarray:
     return out[np.concatenate(([True], out[1:] != out[:-1]))] if len(out) > 1 else out
 
 
+def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return den * common >= num * (len(a) + len(b) - common)
+
+
 def needed(size: int, num: int, den: int) -> int:
     """The least overlap of a set with any partner it links with: ceil(size * num / den)."""
     return -(-size * num // den)
@@ -122,9 +132,23 @@ def subset_keys(members: list[int], most: int, num: int, den: int) -> list[int]:
     return keys
 
 
-def parity_bits(members: np.ndarray) -> list[int]:
-    odd = np.bincount((members >> 20) & 255, minlength=256) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+def parity_bits(members: np.ndarray) -> tuple[bytes, list[int]]:
+    """Which bits an odd number of members fall on: in all, and folded to 256 bits."""
+    bits = 256
+    while bits < 1.2 * len(members) and bits < 1 << 15:
+        bits *= 2
+    odd = (np.bincount((members >> 20) & (bits - 1), minlength=bits) & 1).astype(np.uint8)
+    folded = np.bitwise_xor.reduce(odd.reshape(-1, 256), axis=0)
+    return np.packbits(odd).tobytes(), np.packbits(folded).view(np.int64).tolist()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """How many members two sets differ in at least; the longer bits are folded."""
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) > len(b):
+        a = np.bitwise_xor.reduce(np.frombuffer(a, np.uint8).reshape(-1, len(b)), axis=0).tobytes()
+    return (int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count()
 
 
 #: Sizes whose numbers of sets are counted one by one, for the boundary.
@@ -195,7 +219,7 @@ def _statistics(docs: DataFrame, n: int, at_once: int = 1 << 21, listed: int = 1
 
 _PREPARED = (
     "doc_id bigint, size int, sig binary, first boolean, scan array<bigint>, "
-    "subsets array<bigint>, b0 bigint, b1 bigint, b2 bigint, b3 bigint"
+    "subsets array<bigint>, parity binary, b0 bigint, b1 bigint, b2 bigint, b3 bigint"
 )
 
 
@@ -209,12 +233,12 @@ def _prepare(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         frequent, often = shared.value
         words, seen = WordHashes(), set()
         for batch in batches:
-            columns: list[list] = [[] for _ in range(10)]
+            columns: list[list] = [[] for _ in range(11)]
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 members = shingles(text, n, words)
                 size = len(members)
                 sig = xxhash.xxh3_128_digest(members.tobytes()) if size else None
-                row = [doc_id, size, sig, False, *[None] * 6]
+                row = [doc_id, size, sig, False, *[None] * 7]
                 if sig is not None and doc_id is not None and sig not in seen:
                     seen.add(sig)
                     scan, subsets = [], []
@@ -224,11 +248,12 @@ def _prepare(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                         ].tolist()
                     if size <= most:
                         subsets = subset_keys(members.tolist(), most, num, den)
-                    row = [doc_id, size, sig, True, scan, subsets, *parity_bits(members)]
+                    parity, folded = parity_bits(members)
+                    row = [doc_id, size, sig, True, scan, subsets, parity, *folded]
                 for column, value in zip(columns, row):
                     column.append(value)
             kinds = [pa.int64(), pa.int32(), pa.binary(), pa.bool_()]
-            kinds += [pa.list_(pa.int64())] * 2 + [pa.int64()] * 4
+            kinds += [pa.list_(pa.int64())] * 2 + [pa.binary()] + [pa.int64()] * 4
             names = [c.split()[0] for c in _PREPARED.split(", ")]
             yield pa.record_batch(
                 [pa.array(c, k) for c, k in zip(columns, kinds)], names=names
@@ -251,64 +276,153 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _close_enough(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that the parity bits leave, each with the number of its leader's pairs."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            columns = (c.to_pylist() for c in batch.columns[2:])
+            for of_a, size_a, of_b, size_b in zip(*columns):
+                most = (size_a + size_b) * (den - num)
+                kept.append(least_difference(of_a, of_b) * (num + den) <= most)
+            ids = pa.record_batch(batch.columns[:2], names=["a", "b"])
+            yield ids.filter(pa.array(kept, pa.bool_()))
+
+    def of(side: str) -> DataFrame:
+        return nodes.select(
+            F.col("node").alias(side), F.col("parity").alias(f"of_{side}"), F.col("size").alias(f"size_{side}")
+        )
+
+    close = (
+        pairs.join(of("b"), "b")
+        .join(of("a"), "a")
+        .select("a", "b", "of_a", "size_a", "of_b", "size_b")
+        .mapInArrow(look, "a bigint, b bigint")
+    )
+    close = written(close, "pairs")
+    return close.join(close.groupBy("a").agg(F.count("*").alias("pairs")), "a")
+
+
 def _verified(
     pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int
 ) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets do link. Sets are made again, of these nodes only."""
-    pairs = written(pairs, "pairs")
-    wanted = (
-        pairs.select(F.col("a").alias("node"))
-        .union(pairs.select(F.col("b").alias("node")))
+    """The pairs (a, b) of nodes whose sets do link.
+
+    Sets are made again from the texts, of these nodes only, and go straight to where the
+    leader ``a`` of the pair is; a leader of many pairs is given to several tasks.
+    """
+    counted = _close_enough(pairs, nodes, num, den)
+    shares = F.ceil(F.col("pairs") / PER_TASK).cast("int")
+    members = counted.select("a", F.pmod(F.xxhash64("b"), shares).cast("int").alias("share"), "b")
+    leaders = (
+        counted.select("a", shares.alias("shares"))
         .distinct()
+        .select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    )
+    where = F.struct("a", "share", "b")
+    wanted = (
+        members.select(F.col("b").alias("node"), where.alias("where"))
+        .unionByName(
+            leaders.withColumn("b", F.lit(None).cast("bigint")).select(
+                F.col("a").alias("node"), where.alias("where")
+            )
+        )
+        .groupBy("node")
+        .agg(F.collect_list("where").alias("where"))
         .join(nodes.select("node", "pick", "sig"), "node")
-        .select("node", F.col("pick").alias("doc_id"), "sig")
+        .select(F.col("pick").alias("doc_id"), "sig", "where")
     )
     wanted = written(wanted, "wanted")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in batches:
-            ids, members = [], []
-            for node, sig, text in zip(*(c.to_pylist() for c in batch.columns)):
+            places, sets = [], []
+            for sig, where, text in zip(*(c.to_pylist() for c in batch.columns)):
                 found = shingles(text, n, words).tobytes()
                 if xxhash.xxh3_128_digest(found) == sig:
-                    ids.append(node)
-                    members.append(found)
-            yield pa.record_batch(
-                {"node": pa.array(ids, pa.int64()), "members": pa.array(members, pa.binary())}
-            )
-
-    sets = (
-        docs.join(_bounded(wanted), "doc_id")
-        .select("node", "sig", "text")
-        .mapInArrow(make, "node bigint, members binary")
-    )
-    sets = written(sets, "members")
+                    places += [(w["a"], w["share"], w["b"]) for w in where]
+                    sets += [found] * len(where)
+            kinds = (("a", pa.int64()), ("share", pa.int32()), ("b", pa.int64()))
+            columns = {
+                name: pa.array([p[i] for p in places], kind)
+                for i, (name, kind) in enumerate(kinds)
+            }
+            yield pa.record_batch({**columns, "members": pa.array(sets, pa.binary())})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A leader comes before its members; rows that repeat its doc_id are leaders too."""
+        place, leaders = None, []
         for batch in batches:
-            kept = ([], [])
-            for a, b, of_a, of_b in zip(*(c.to_pylist() for c in batch.columns)):
-                of_a, of_b = np.frombuffer(of_a, np.int64), np.frombuffer(of_b, np.int64)
-                common = len(np.intersect1d(of_a, of_b, assume_unique=True))
-                if den * common >= num * (len(of_a) + len(of_b) - common):
+            kept: tuple[list, list] = ([], [])
+            for a, share, b, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                found = np.frombuffer(raw, np.int64)
+                if place != (a, share):
+                    place, leaders = (a, share), []
+                if b is None:
+                    leaders.append(found)
+                elif any(linked(leader, found, num, den) for leader in leaders):
                     kept[0].append(a)
                     kept[1].append(b)
             yield pa.record_batch(
                 {"a": pa.array(kept[0], pa.int64()), "b": pa.array(kept[1], pa.int64())}
             )
 
-    of_b = sets.select(F.col("node").alias("b"), F.col("members").alias("of_b"))
-    of_a = sets.select(F.col("node").alias("a"), F.col("members").alias("of_a"))
+    sets = (
+        docs.join(_bounded(wanted), "doc_id")
+        .select("sig", "where", "text")
+        .mapInArrow(make, "a bigint, share int, b bigint, members binary")
+    )
     return written(
-        pairs.join(of_b, "b")
-        .join(of_a, "a")
-        .select("a", "b", "of_a", "of_b")
+        sets.repartition("a", "share")
+        .sortWithinPartitions("a", "share", F.asc_nulls_first("b"))
         .mapInArrow(compare, "a bigint, b bigint"),
         "verified",
     )
 
 
+def _shared_lists(nodes: DataFrame) -> DataFrame:
+    """(token, node, size, pos) of the lists that more than one node may be in.
+
+    One count per token is shuffled, no list. Tokens of several nodes fill a Bloom filter,
+    and what passes it is listed; a token that passes by chance has a list of one.
+    """
+    tokens = nodes.select(F.explode(F.concat("scan", "subsets")).alias("token"))
+    several = written(
+        tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token"), "tokens"
+    )
+    bits = filter_bits(several.count())
+    shared = nodes.sparkSession.sparkContext.broadcast(filter_of(several, bits))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        for batch in batches:
+            ids, sizes = (batch.column(i).to_numpy() for i in (0, 1))
+            for column, placed in ((batch.column(2), True), (batch.column(3), False)):
+                tokens = column.flatten().to_numpy()
+                ends = np.cumsum(column.value_lengths().to_numpy())
+                at = np.flatnonzero(
+                    test_bits(words, positions(tokens.view(np.uint64), bits))
+                    if len(tokens)
+                    else np.zeros(0, bool)
+                )
+                row = np.searchsorted(ends, at, "right")
+                starts = np.concatenate(([0], ends))[row]
+                yield pa.record_batch(
+                    {
+                        "token": pa.array(tokens[at]),
+                        "node": pa.array(ids[row]),
+                        "size": pa.array(sizes[row]),
+                        "pos": pa.array((at - starts if placed else 0 * at).astype(np.int32)),
+                    }
+                )
+
+    return nodes.select("node", "size", "scan", "subsets").mapInArrow(
+        listed, "token bigint, node bigint, size int, pos int"
+    )
+
+
 def _overlap_possible(left: str, right: str, num: int, den: int) -> Column:
     """Whether sizes and positions leave room for a link."""
     size = F.col(f"{left}size") + F.col(f"{right}size")
@@ -332,6 +446,9 @@ def _side(df: DataFrame, side: str) -> DataFrame:
     return df.select(*[F.col(c).alias(side + c) for c in df.columns])
 
 
+_BITS = ("b0", "b1", "b2", "b3")
+
+
 def near_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, n_shingles and component_id."""
     rows = docs.select(
@@ -352,21 +469,11 @@ def near_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     nodes = written(
         prepared.filter("first")
         .join(reps, (prepared["sig"] == reps["sig"]) & (F.col("doc_id") == F.col("pick")))
-        .select("node", "pick", reps["sig"], "size", "scan", "subsets", "b0", "b1", "b2", "b3"),
+        .select("node", "pick", reps["sig"], "size", "scan", "subsets", "parity", *_BITS),
         "ngram-nodes",
     )
-    listed = nodes.select("node", "size", F.posexplode("scan").alias("pos", "token")).union(
-        nodes.select("node", "size", F.lit(0).alias("pos"), F.explode("subsets").alias("token"))
-    )
-    shared = written(
-        listed.groupBy("token")
-        .agg(F.min("node").alias("low"), F.max("node").alias("high"))
-        .filter("low < high")
-        .select("token"),
-        "tokens",
-    )
-    lists = written(listed.join(_bounded(shared), "token"), "lists")
-    bits = nodes.select("node", "size", "b0", "b1", "b2", "b3")
+    lists = written(_shared_lists(nodes), "lists")
+    bits = nodes.select("node", "size", *_BITS)
 
     band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(den / num)))
     banded = lists.withColumn("band", band)
@@ -388,7 +495,7 @@ def near_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
         .select(F.col("y_node").alias("a"), F.col("x_node").alias("b"))
     )
     links = _verified(stars, nodes, rows, n, num, den)
-    known = components(links)
+    known = near_labels(links)
 
     mixed = lists.join(known, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
