@@ -206,11 +206,10 @@ def _statistics(docs: DataFrame, n: int, at_once: int = 1 << 21, listed: int = 1
         "ngram-counts",
     )
     frequent = (
-        counted.filter("kind = 0").orderBy(F.col("count").desc(), "key").limit(FREQUENT).collect()
+        counted.filter("kind = 0").orderBy(F.col("count").desc(), "key").limit(FREQUENT).toArrow()
     )
     rest = {(r["kind"], r["key"]): r["count"] for r in counted.filter("kind > 0").collect()}
-    keys = np.array([r["key"] for r in frequent], np.int64)
-    counts = np.array([r["count"] for r in frequent], np.int64)
+    keys, counts = (frequent.column(c).to_numpy() for c in ("key", "count"))
     order = np.argsort(keys)
     sizes = {k: c for (kind, k), c in rest.items() if kind == 1 and c}
     list_length = rest.get((2, 0), 1) / max(1, rest.get((2, 1), 1))
