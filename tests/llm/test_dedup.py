@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from odd import LINE, empty, exact_groups, near_classes, odd, odd_rows, table_rows
 
@@ -156,6 +157,68 @@ def test_passages(spark):
     assert substring_dedup.drop_repeats(empty(spark)).collect() == []
 
 
+def spans_by_doc(docs) -> dict:
+    """doc_id -> spans (start, stop), those that touch as one."""
+    out: dict = {}
+    for r in sorted(substring_dedup.repeated_spans(docs).collect()):
+        mine = out.setdefault(r["doc_id"], [])
+        if mine and mine[-1][1] == r["start"]:
+            mine[-1][1] = r["stop"]
+        else:
+            mine.append([r["start"], r["stop"]])
+    return out
+
+
+@pytest.mark.parametrize("n", [64, 128, 256])
+def test_clean_documents_have_no_passages(spark, n):
+    """Any five words (110 bytes) are in two documents, any six in one: chunks come again,
+    from one document after the other, but no passage does."""
+    draw = np.random.default_rng(5)
+    texts = []
+    for _ in range(n // 64):
+        state, steps = np.arange(64), [[] for _ in range(64)]
+        for _ in range(60):
+            words = ["".join(draw.choice(list("abcdefghijklmnop "), 22)) for _ in range(2)]
+            bit = (state >> 5) ^ draw.integers(0, 2, 32)[state & 31]
+            state = (state << 1 | bit) & 63
+            for mine, x in zip(steps, bit):
+                mine.append(words[x])
+        texts += map("".join, steps)
+    held: dict = {}
+    for i, text in enumerate(texts):
+        for j in range(len(text) - 119):
+            held.setdefault(text[j : j + 120], set()).add(i)
+    # The first words do not tell all documents apart yet.
+    clean = set(range(n)) - {i for h in held.values() if len(h) > 1 for i in h}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert len(clean) > n / 2 and not clean & set(spans_by_doc(docs))
+
+
+def test_spans_are_held_by_one_other_document(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    texts = {r[0]: (r[1] or "").encode() for r in table_rows(spark, SMALL)}
+    got = spans_by_doc(docs)
+    assert got
+    for doc_id, spans in got.items():
+        for start, stop in spans:
+            assert stop - start >= 120
+            for piece in (texts[doc_id][start : start + 120], texts[doc_id][stop - 120 : stop]):
+                assert any(piece in t for i, t in texts.items() if i != doc_id)
+
+
+def test_windows_cover_runs():
+    draw = np.random.default_rng(7)
+    for _ in range(300):
+        bounds = np.cumsum(draw.integers(1, 200, draw.integers(2, 15)))
+        got = substring_dedup.windows(bounds, 120).tolist()
+        assert all(b - a >= 120 for a, b in got)
+        for i in range(len(bounds)):
+            for j in range(i + 1, len(bounds)):
+                if bounds[j] - bounds[i] >= 120:
+                    inside = [w for w in got if bounds[i] <= w[0] and w[1] <= bounds[j]]
+                    assert substring_dedup.merged([[*w, 0] for w in sorted(inside)]) == [[bounds[i], bounds[j], 0]]
+
+
 def test_chunks_cover_texts_and_resist_shifts():
     texts = [r[1].encode() for r in odd_rows() if r[1]] * 2
     for number, bounds in substring_dedup.chunked(texts):

@@ -4,17 +4,21 @@ A gear rolling hash over the last 32 bytes proposes cuts; a proposal holds if no
 the ``least`` bytes before it, and stretches without cuts are cut every ``most`` bytes.
 Cuts depend on nearby content only, so after an insertion the same chunks come again.
 
-Chunks are deduplicated by digest in two steps. First 64-bit hashes, with the smallest and
+Repeats are found in two steps. First 64-bit hashes of chunks, with the smallest and
 largest doc_id of each, are summed up; those of two documents or more fill one Bloom
-filter of bounded size. A second pass lets through only chunks that the filter suspects
-and that lie in a run of suspects of ``min_run`` bytes; they alone are grouped by their
-128-bit digest, which settles whether and where a chunk came first. What is reported are
-runs of consecutive chunks known from other documents, of at least ``min_run`` bytes in
-all: single chunks may agree by chance, a passage does not.
+filter of bounded size. A second pass lets through only runs of chunks that the filter
+suspects, of ``min_run`` bytes or more. Each chunk of such a run may be known from another
+document by chance; a passage counts only if one other document holds it together. So
+windows of consecutive chunks that just reach ``min_run`` bytes are grouped by the
+128-bit digest of their bytes over all documents, which settles whether and where a window
+came first. A chunk of a shared passage always lies in such a window: the shortest that
+ends with it, or else the shortest from the passage's start. What is reported is the union
+of the windows that two documents hold.
 
 Defined results. Null and empty texts have no chunks, nor have rows with a null doc_id.
-The document of smallest doc_id keeps a chunk; repeats within one document, or in rows
-that repeat its doc_id, do not count. Texts of any length are read whole. Offsets are bytes
+The document of smallest doc_id keeps a window, and a byte goes if it lies in any window
+that an earlier document keeps; repeats within one document, or in rows that repeat its
+doc_id, do not count. Texts of any length are read whole. Offsets are bytes
 of UTF-8; what ``drop_repeats`` cuts out is narrowed to whole characters. An empty table
 gives an empty result.
 """
@@ -137,6 +141,53 @@ def runs(sizes: list[int], marked: list[bool], min_run: int) -> list[tuple[int,
     return found
 
 
+def windows(bounds: np.ndarray, min_run: int) -> np.ndarray:
+    """(start, stop) of the shortest windows of whole chunks, by their start and by their end.
+
+    ``bounds`` are those of a run of chunks; both kinds together cover each part of it
+    that comes to ``min_run`` bytes.
+    """
+    after = np.searchsorted(bounds, bounds + min_run)
+    before = np.searchsorted(bounds, bounds - min_run, "right") - 1
+    has_after, has_before = after < len(bounds), before >= 0
+    pairs = np.concatenate(
+        (
+            np.stack((bounds[has_after], bounds[after[has_after]]), 1),
+            np.stack((bounds[before[has_before]], bounds[has_before]), 1),
+        )
+    )
+    return np.unique(pairs, axis=0)
+
+
+def merged(spans: list[list[int]]) -> list[list[int]]:
+    """Spans (start, stop, first_doc) in order of start; those that touch become one."""
+    out: list[list[int]] = []
+    for start, stop, first in spans:
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], stop)
+            out[-1][2] = min(out[-1][2], first)
+        else:
+            out.append([start, stop, first])
+    return out
+
+
+def without(spans: list[list[int]], others: list[list[int]]) -> list[list[int]]:
+    """What ``others`` leave of ``spans``; both in order and free of overlaps."""
+    out, k = [], 0
+    for start, stop, first in spans:
+        while k < len(others) and others[k][1] <= start:
+            k += 1
+        j = k
+        while j < len(others) and others[j][0] < stop:
+            if others[j][0] > start:
+                out.append([start, others[j][0], first])
+            start = max(start, others[j][1])
+            j += 1
+        if start < stop:
+            out.append([start, stop, first])
+    return out
+
+
 _SPANS = "doc_id bigint, start int, stop int, first_doc bigint"
 
 
@@ -145,6 +196,7 @@ def repeated_spans(docs: DataFrame, min_run: int = 120) -> DataFrame:
 
     Spans next to each other are told apart by whether this document is the one that keeps
     them (``first_doc`` is its own id) or not (the smallest id among those that do).
+    Together they come to ``min_run`` bytes at least.
     """
     rows = docs.filter(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
@@ -166,66 +218,58 @@ def repeated_spans(docs: DataFrame, min_run: int = 120) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_pylist()
             texts = batch.column(1).to_pylist()
-            digests, owners, numbers, starts, stops = [], [], [], [], []
+            digests, owners, starts, stops = [], [], [], []
             for number, bounds in chunked(texts):
                 text = texts[number]
                 maybe = test_bits(words, positions(_hashes(text, bounds), bits))
                 if not maybe.any():
                     continue
-                sizes = np.diff(bounds).tolist()
-                for a, b in runs(sizes, maybe.tolist(), min_run):
-                    for i in range(a, b):
-                        digests.append(xxhash.xxh3_128_digest(text[bounds[i] : bounds[i + 1]]))
+                bounds = np.array(bounds)
+                for a, b in runs(np.diff(bounds).tolist(), maybe.tolist(), min_run):
+                    for start, stop in windows(bounds[a : b + 1], min_run).tolist():
+                        digests.append(xxhash.xxh3_128_digest(text[start:stop]))
                         owners.append(ids[number])
-                        numbers.append(i)
-                        starts.append(bounds[i])
-                        stops.append(bounds[i + 1])
+                        starts.append(start)
+                        stops.append(stop)
             yield pa.record_batch(
                 {
                     "digest": pa.array(digests, pa.binary()),
                     "doc_id": pa.array(owners, pa.int64()),
-                    "number": pa.array(numbers, pa.int32()),
                     "start": pa.array(starts, pa.int32()),
                     "stop": pa.array(stops, pa.int32()),
                 }
             )
 
-    chunks = written(
-        rows.mapInArrow(suspect, "digest binary, doc_id bigint, number int, start int, stop int"),
-        "chunks",
+    held_windows = written(
+        rows.mapInArrow(suspect, "digest binary, doc_id bigint, start int, stop int"), "windows"
     )
     firsts = (
-        chunks.groupBy("digest")
+        held_windows.groupBy("digest")
         .agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
         .filter("first_doc < last_doc")
         .select("digest", "first_doc")
     )
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come ordered by document and number; a run ends where a number is missing."""
-        held: list[tuple] = []
+        """Rows come ordered by document and start; a stretch ends where no window goes on."""
+        doc, end, held = None, 0, []
         for batch in batches:
             out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and row[:2] == held[-1][:2]:
-                    continue
-                if held and (row[0] != held[-1][0] or row[1] != held[-1][1] + 1):
-                    out += spans(held)
+            for doc_id, start, stop, first in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and (doc_id != doc or start > end):
+                    out += spans(doc, held)
                     held = []
-                held.append(row)
+                end = max(end, stop) if held else stop
+                doc = doc_id
+                held.append([start, stop, first])
             yield batch_of(out)
-        yield batch_of(spans(held))
-
-    def spans(held: list[tuple]) -> list[tuple]:
-        if not held or held[-1][3] - held[0][2] < min_run:
-            return []
-        out: list[list] = []
-        for doc_id, _, start, stop, first in held:
-            if out and (out[-1][3] == doc_id) == (first == doc_id):
-                out[-1][2], out[-1][3] = stop, min(out[-1][3], first)
-            else:
-                out.append([doc_id, start, stop, first])
-        return out
+        if held:
+            yield batch_of(spans(doc, held))
+
+    def spans(doc: int, held: list[list[int]]) -> list[tuple]:
+        lost = merged([s for s in held if s[2] < doc])
+        own = without(merged([s for s in held if s[2] == doc]), lost)
+        return [(doc, *s) for s in sorted(lost + own)]
 
     def batch_of(out: list) -> pa.RecordBatch:
         names = ("doc_id", "start", "stop", "first_doc")
@@ -235,10 +279,10 @@ def repeated_spans(docs: DataFrame, min_run: int = 120) -> DataFrame:
         )
 
     return (
-        chunks.join(firsts, "digest")
-        .select("doc_id", "number", "start", "stop", "first_doc")
+        held_windows.join(firsts, "digest")
+        .select("doc_id", "start", "stop", "first_doc")
         .repartition("doc_id")
-        .sortWithinPartitions("doc_id", "number")
+        .sortWithinPartitions("doc_id", "start", "stop")
         .mapInArrow(joined, _SPANS)
     )
 
