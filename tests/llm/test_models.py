@@ -140,6 +140,22 @@ def test_formats_are_inferred(spark):
     assert all(found[i][0][0] == "assign" for i, _ in rows[:300])
 
 
+def test_ordinary_text_is_counted_over_all_documents(spark):
+    """Every word of every document, whatever its id and however many words there are."""
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    words = ["".join(w) for w in letters[np.random.default_rng(3).integers(0, 26, (30_000, 8))]]
+    texts = [" ".join(words[i::28]) + " short é-not-ascii" for i in range(28)]
+    want = secrets.pair_counts(words)
+    assert want[ord("a")] == sum(w[0] == "a" for w in words) and want[1 << 7] == 0
+    for ids in (range(28), range(1000, 1028), [None] * 28):
+        docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id bigint, text string").repartition(5)
+        found = secrets.find(docs)
+        assert found.filter("pairs IS NULL").count() == 28
+        model = secrets.learn(found).ordinary
+        assert np.array_equal(model.log, secrets.Ordinary(want).log)
+    assert secrets.scan(docs).count() == 28
+
+
 def test_automaton_merges_states():
     values = ["ab" * n for n in range(1, 9) for _ in range(2 ** (10 - n))]
     automaton = secrets.Automaton(values)

@@ -3,8 +3,8 @@
 Three patterns give the base spans; their kind labels each value found. From a bounded
 sample of labelled values per kind (``sample_rows``, smallest hash first) a prefix tree is
 built and its statistically compatible states are merged, which yields one probabilistic
-automaton per kind. A model of character pairs, from a bounded sample of the words of every
-sixteenth document, stands for ordinary text. Every candidate of every text, a run of at least
+automaton per kind. A model of character pairs, counted over the words of all documents,
+stands for ordinary text: each task sums one table of 128 x 128 counts. Every candidate of every text, a run of at least
 ``min_chars`` credential characters outside the base spans, is scored by how much likelier
 per character its format is under the best automaton than as ordinary text; above
 ``margin`` it is a span of kind ``inferred``.
@@ -20,7 +20,6 @@ inferred. Repeated rows give repeated results. An empty table gives an empty res
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from math import inf, log, sqrt
 
@@ -42,14 +41,18 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 _NAMES = (b"passw", b"secret", b"token", b"api")
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]+")
+#: Words counted at once.
+_AT_ONCE = 100_000
 _FOUND = (
     "doc_id bigint, spans array<struct<kind:string,start:int,end:int,value:string>>, "
-    "candidates array<struct<start:int,end:int,value:string>>, words array<string>"
+    "candidates array<struct<start:int,end:int,value:string>>, "
+    "pairs array<struct<pair:int,n:bigint>>"
 )
 _SPAN = pa.struct(
     [("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]
 )
 _CANDIDATE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())])
+_PAIR = pa.struct([("pair", pa.int32()), ("n", pa.int64())])
 _RESULT = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
 
@@ -79,8 +82,19 @@ def candidates(text: str, spans: list[tuple], run: re.Pattern) -> list[tuple[int
 
 
 def ordinary_words(text: str) -> list[str]:
-    """Distinct ASCII words of 6 to 19 characters: too short to be candidates."""
-    return [w for w in set(text.split()) if 6 <= len(w) < 20 and w.isascii()]
+    """ASCII words of 6 to 19 characters: too short to be candidates."""
+    return [w for w in text.split() if 6 <= len(w) < 20 and w.isascii()]
+
+
+def pair_counts(words: list[str]) -> np.ndarray:
+    """How often each pair of characters comes up; 0 starts a word and 1 ends it."""
+    if not words:
+        return np.zeros(128 * 128, np.int64)
+    joined = "\x00" + "\x01\x00".join(words) + "\x01"
+    codes = np.frombuffer(joined.encode("ascii"), np.uint8).astype(np.int32)
+    counts = np.bincount(codes[:-1] << 7 | codes[1:], minlength=128 * 128)
+    counts[1 << 7] -= len(words) - 1  # from one word to the next
+    return counts
 
 
 class Automaton:
@@ -194,11 +208,8 @@ class Automaton:
 class Ordinary:
     """Character pairs of ordinary tokens, smoothed."""
 
-    def __init__(self, values: list[str]) -> None:
-        counts = np.full((128, 128), 0.05)
-        for value in values:
-            codes = np.frombuffer(f"\x00{value}\x01".encode("ascii"), np.uint8)
-            np.add.at(counts, (codes[:-1], codes[1:]), 1)
+    def __init__(self, pairs: np.ndarray) -> None:
+        counts = pairs.reshape(128, 128) + 0.05
         self.log = np.log(counts / counts.sum(1, keepdims=True))
 
     def log_likelihood(self, value: str) -> float:
@@ -207,7 +218,7 @@ class Ordinary:
 
 
 class Formats:
-    def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]) -> None:
+    def __init__(self, labelled: dict[str, list[str]], ordinary: np.ndarray) -> None:
         self.automata = [Automaton(values) for values in labelled.values() if values]
         self.ordinary = Ordinary(ordinary)
 
@@ -218,30 +229,41 @@ class Formats:
 
 
 def find(docs: DataFrame, min_chars: int = 20) -> DataFrame:
-    """Base spans and candidates of each document."""
+    """Base spans and candidates of each document; last in a task its ``pairs``, null elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         long_run = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % min_chars)
+        pairs = np.zeros(128 * 128, np.int64)
         for batch in batches:
             spans, others, words = [], [], []
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for text in batch.column(1).to_pylist():
                 spans.append(base_spans(text))
                 others.append(candidates(text, spans[-1], long_run))
-                words.append(ordinary_words(text) if zlib.crc32(b"%d" % (doc_id or 0)) % 16 == 0 else [])
-            yield pa.record_batch(
-                {
-                    "doc_id": batch.column(0),
-                    "spans": pa.array(
-                        [[dict(zip(("kind", "start", "end", "value"), s)) for s in x] for x in spans],
-                        pa.list_(_SPAN),
-                    ),
-                    "candidates": pa.array(
-                        [[dict(zip(("start", "end", "value"), s)) for s in x] for x in others],
-                        pa.list_(_CANDIDATE),
-                    ),
-                    "words": pa.array(words, pa.list_(pa.string())),
-                }
-            )
+                words += ordinary_words(text)
+                if len(words) > _AT_ONCE:
+                    pairs += pair_counts(words)
+                    words = []
+            pairs += pair_counts(words)
+            yield rows(batch.column(0), spans, others, [None] * len(batch))
+        if pairs.any():
+            seen = [{"pair": p, "n": pairs[p]} for p in np.flatnonzero(pairs).tolist()]
+            yield rows(pa.array([None], pa.int64()), [[]], [[]], [seen])
+
+    def rows(ids: pa.Array, spans: list, others: list, pairs: list) -> pa.RecordBatch:
+        return pa.record_batch(
+            {
+                "doc_id": ids,
+                "spans": pa.array(
+                    [[dict(zip(("kind", "start", "end", "value"), s)) for s in x] for x in spans],
+                    pa.list_(_SPAN),
+                ),
+                "candidates": pa.array(
+                    [[dict(zip(("start", "end", "value"), s)) for s in x] for x in others],
+                    pa.list_(_CANDIDATE),
+                ),
+                "pairs": pa.array(pairs, pa.list_(_PAIR)),
+            }
+        )
 
     text = F.coalesce("text", F.lit(""))
     return docs.select(F.col("doc_id").cast("bigint"), text).mapInArrow(run, _FOUND)
@@ -260,8 +282,16 @@ def learn(found: DataFrame, sample_rows: int = 1000) -> Formats:
         kind: _sample(spans.filter(F.col("kind") == kind).select("value"), sample_rows)
         for kind in BASE
     }
-    words = found.select(F.explode("words").alias("value"))
-    return Formats(labelled, _sample(words, 20 * sample_rows))
+    return Formats(labelled, ordinary_pairs(found))
+
+
+def ordinary_pairs(found: DataFrame) -> np.ndarray:
+    """The sum of the tasks' tables: 16,384 rows come to the driver at most."""
+    seen = found.select(F.explode("pairs").alias("p")).groupBy("p.pair").agg(F.sum("p.n").alias("n"))
+    total = np.zeros(128 * 128, np.int64)
+    for row in seen.collect():
+        total[row["pair"]] = row["n"]
+    return total
 
 
 def scan(
@@ -288,6 +318,6 @@ def scan(
                 {"doc_id": batch.column(0), "spans": pa.array(out, pa.list_(_RESULT))}
             )
 
-    return found.drop("words").mapInArrow(
+    return found.filter("pairs IS NULL").drop("pairs").mapInArrow(
         run, "doc_id bigint, spans array<struct<kind:string,start:int,end:int>>"
     )
