@@ -1,5 +1,6 @@
 import datetime
 import time
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import remote
 from tidemark.operators import cadence, quota
 from tidemark.operators import leases as ls
-from tidemark.plans import views
+from tidemark.plans import queries_streams, views
 from tidemark.sources import tables
 from tidemark.sources.control import Control
 from tidemark.streaming import dedupe, expiry, runs, stateful
@@ -146,6 +147,25 @@ def test_pause_resume_equals_one_straight_run(spark, folder):
     assert a == b and len(a) == 1000
 
 
+@pytest.mark.parametrize("kind", ["nulls", "one time", "empty"])
+def test_staged_tables_keep_all_rows_in_batches_of_folders(spark, folder, kind, monkeypatch):
+    ts = {"nulls": "CASE WHEN id % 3 > 0 THEN timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id) END",
+          "one time": "timestamp_ntz'2024-01-01'", "empty": "timestamp_ntz'2024-01-01'"}[kind]
+    df = spark.range(0, 0 if kind == "empty" else 600, 1, 6).selectExpr("id", f"{ts} AS ts")
+    monkeypatch.setattr(queries_streams, "scratch_dir", lambda spark, purpose: f"{folder}/{purpose}")
+    source = queries_streams._staged(spark, df, "staged")
+    files = [len(list(part.glob("*.parquet"))) for part in Path(f"{folder}/staged").iterdir()]
+    assert len(files) == 4 and len(set(files)) == 1 and (kind == "empty" or files[0] > 1)
+    seen = []
+    runs.resumable_run(source, f"{folder}/run", lambda batch: seen.append(
+        batch.agg(F.min("ts"), F.max("ts")).first()) or batch)
+    last = runs.last_checkpoint_info(spark, f"{folder}/run").first()
+    assert (last["batches"], last["rows_done"]) == (4, df.count())
+    assert sorted(runs.output(spark, f"{folder}/run").collect(), key=lambda r: r["id"]) == df.orderBy("id").collect()
+    times = [t for bounds in seen for t in bounds if t is not None]
+    assert times == sorted(times)
+
+
 def test_crash_inside_a_batch_is_replayed_once(spark, folder):
     events = views.table(spark, SF_DIR, "events").select("event_id")
     source = staged(spark, folder, events, 3, "event_id")
