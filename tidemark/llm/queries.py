@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, line_dedup, mixing, neighbours, ngram_join, secrets, substring_dedup, token_counts, toxicity
+from . import (
+    byte_bpe,
+    decontamination,
+    exact_dedup,
+    line_dedup,
+    mixing,
+    neighbours,
+    ngram_join,
+    secrets,
+    substring_dedup,
+    token_counts,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -262,3 +274,60 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumn(
         "predicted", (F.col("score") >= 0.7).cast("int")
     )
+
+
+@query(
+    "op11_decontamination",
+    r"""
+    WITH w AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+      FROM documents
+    ), i AS (
+      SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+      FROM benchmark
+    ), k AS (
+      SELECT DISTINCT item_id, least(10, len(words)) AS size,
+             unnest([array_to_string(words[p:p + 9], ' ')
+                     FOR p IN range(1, greatest(1, len(words) - 9) + 1)]) AS win
+      FROM i WHERE len(words) > 0
+    ), z AS (
+      SELECT DISTINCT size FROM k
+    ), g AS (
+      SELECT doc_id, size, unnest(range(1, len(words) - size + 2)) AS p,
+             unnest([array_to_string(words[p:p + size - 1], ' ')
+                     FOR p IN range(1, len(words) - size + 2)]) AS win
+      FROM w, z WHERE len(words) >= size
+    ), o AS (
+      SELECT DISTINCT doc_id, p, g.size, item_id FROM g JOIN k USING (size, win)
+    ), h AS (
+      SELECT doc_id, count(DISTINCT q) AS n_hit
+      FROM (SELECT doc_id, unnest(range(p, p + size)) AS q FROM o) GROUP BY doc_id
+    ), m AS (
+      SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM o) GROUP BY doc_id
+    )
+    SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit,
+           coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+           n_hit IS NOT NULL AS contaminated
+    FROM w LEFT JOIN h USING (doc_id) LEFT JOIN m USING (doc_id)
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = decontamination.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    n_hit = F.aggregate(
+        "spans", F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["start"]
+    )
+    return checked.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
