@@ -118,14 +118,12 @@ def found_shingles(docs: DataFrame, shingles: DataFrame, block: int = 1 << 19) -
 
     def one_pass(number: int) -> DataFrame:
         first = [F.lit(0).cast("bigint")] if number == 0 else []
-        # explode_outer: a plain explode would add a filter that computes all hashes twice
-        placed = cut.select(
-            "doc_id",
-            "tag",
-            "words",
-            F.posexplode_outer(F.concat(F.array(*first).cast("array<bigint>"), *at_each)).alias(
-                "place", "hash"
-            ),
+        hashed = cut.select(
+            "*", F.concat(F.array(*first).cast("array<bigint>"), *at_each).alias("hashes")
+        )
+        # not a plain explode, which adds a filter that computes all hashes again
+        placed = hashed.select(
+            "doc_id", "tag", "words", F.posexplode_outer("hashes").alias("place", "hash")
         )
         mine = hashes.filter(F.pmod("hash", F.lit(blocks)) == number)
         if first:

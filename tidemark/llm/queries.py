@@ -12,10 +12,12 @@ from . import (
     byte_bpe,
     decontamination,
     exact_dedup,
+    lexical_search,
     line_dedup,
     mixing,
     neighbours,
     ngram_join,
+    periodic_runs,
     secrets,
     substring_dedup,
     token_counts,
@@ -331,3 +333,92 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+@query(
+    "op12_lexical_search",
+    r"""
+    WITH t AS (
+      SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+      FROM documents
+    ), p AS (
+      SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term
+    ), d AS (
+      SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY doc_id
+    ), a AS (
+      SELECT count(*) AS docs, sum(n)::BIGINT AS len FROM d
+    ), f AS (
+      SELECT term, count(*) AS df FROM p GROUP BY term
+    ), q AS (
+      SELECT item_id, term, count(*) AS r
+      FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+      GROUP BY item_id, term
+    ), s AS (
+      SELECT item_id, doc_id, CAST(sum(
+               r * CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT)
+               * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // len)))
+             ) AS BIGINT) AS score
+      FROM q JOIN f USING (term) JOIN p USING (term) JOIN d USING (doc_id), a
+      GROUP BY item_id, doc_id
+    ), k AS (
+      SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)
+        AS INTEGER) AS rank
+      FROM s WHERE score > 0
+    )
+    SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20
+    )
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): of each tenth document by checksum, the words from some place on repeat."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    cut = docs.select(
+        "doc_id",
+        "text",
+        h.alias("h"),
+        g.alias("g"),
+        F.when(h % 10 == 0, F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")).alias("words"),
+    )
+    n = F.size("words")
+    a = F.col("g") % n
+    placed = cut.withColumns({"a": a, "p": 1 + F.floor((n - a) / (3 + F.col("g") % 8))})
+    source = lambda i: F.when(i < F.col("a"), i).otherwise(
+        F.col("a") + (i - F.col("a")) % F.col("p")
+    )
+    changed = F.transform("words", lambda _, i: F.get("words", source(i).cast("int")))
+    return placed.select(
+        "doc_id",
+        F.when((F.col("h") % 10 == 0) & (n > 0), F.array_join(changed, " "))
+        .otherwise(F.col("text"))
+        .alias("text"),
+    )
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_periods(table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat(
+        F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")
+    )
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "strongest.start",
+        "strongest.length",
+        "strongest.period",
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias(
+            "runs_sha256"
+        ),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
