@@ -107,8 +107,8 @@ def test_bands(spark, pct, band):
     assert row["band"] == band
 
 
-@pytest.mark.parametrize("unit", ["HOUR", "DAY"])
-def test_conflicts_against_all_pairs(spark, unit):
+@pytest.mark.parametrize("ranges", [1, 5, 40])
+def test_conflicts_against_all_pairs(spark, ranges):
     rng = random.Random(3)
     rows = [(i, rng.randint(0, 1), f"u{rng.randint(0, 2)}", 50 * rng.randint(1, 2), rng.randint(0, 90_000), rng.randint(-5, 9000)) for i in range(150)]
     rows += [(900, 9, "x", 50, 0, 10), (901, 9, "y", 50, 10, 10)]  # touching
@@ -118,15 +118,15 @@ def test_conflicts_against_all_pairs(spark, unit):
         for j, d2, o2, f2, s2, n2 in rows:
             if n > 0 and n2 > 0 and (d, f) == (d2, f2) and (s, i) < (s2, j) and s2 < s + n:
                 want.setdefault(j, []).append((i, o != o2))
-    got = {r["lease_id"]: r for r in ls.lock_conflicts(df, unit).collect()}
+    got = {r["lease_id"]: r for r in ls.lock_conflicts(df, ranges).collect()}
     assert set(got) == set(want)
     for j, held in want.items():
         others = sum(x for _, x in held)
         assert (got[j]["held_by_other"], got[j]["held_by_same"]) == (others, len(held) - others)
         assert got[j]["kind"] == ("denied" if others else "exists")
-    listed = {(r["held_id"], r["lease_id"]) for r in ls.lock_conflict_pairs(df, unit).collect()}
+    listed = {(r["held_id"], r["lease_id"]) for r in ls.lock_conflict_pairs(df).collect()}
     assert listed == {(i, j) for j, held in want.items() for i, _ in held}
-    assert ls.lock_conflict_pairs(df, unit).count() == len(listed)
+    assert ls.lock_conflict_pairs(df).count() == len(listed)
 
 
 def test_release(spark):
@@ -149,8 +149,8 @@ def test_quota_edges(spark):
         (1, "track", 1, 60), (1, "track", 2, 40), (1, "track", 3, 1), (1, "release", 3, 0), (1, "release", 2, 0),
         (1, "release", 2, 0), (1, "track", 3, 40), (2, "track", 4, 5, None), (2, "release", None, 0, None),
     )
-    for unit in ("HOUR", "DAY"):
-        got = [(r["ok"], r["usage"]) for r in quota.quota_fold(df, unit=unit).orderBy("event_id").collect()]
+    for ranges in (1, 7):
+        got = [(r["ok"], r["usage"]) for r in quota.quota_fold(df, ranges=ranges).orderBy("event_id").collect()]
         assert got == [(True, 60), (True, 100), (False, 100), (False, 100), (True, 60), (False, 60), (True, 100), (False, 0), (False, 0)]
 
 

@@ -12,8 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.times import time_bucket
-from ..plans.ordered import row_rank, running_sum
+from ..plans.ordered import ranged_rank, ranged_sums
 
 FILE_KEY = ["job_id", "tier", "filename"]
 
@@ -274,16 +273,16 @@ def retention(
     files: DataFrame,
     keep_last: int = 5,
     by: Sequence[str] = ("job_id", "tier"),
-    unit: str = "HOUR",
+    ranges: int | None = None,
 ) -> DataFrame:
     """Adds ``action``: ``keep`` for the newest ``keep_last`` of each group, else ``remove``.
 
-    Files are ranked inside time buckets of their group, whatever its size, and what newer
-    buckets hold is added from one count per bucket. Null jobs or tiers are groups too;
+    Files are ranked inside sorted ranges, whatever the size of a group, and what earlier
+    ranges hold is added from one count per range. Null jobs or tiers are groups too;
     files without a time come last.
     """
     order = [F.desc(c) for c in ("ts", "step", "filename")]
-    ranked = row_rank(files, list(by), time_bucket("ts", unit), order, "__rank", True)
+    ranked = ranged_rank(files, list(by), order, "__rank", ranges)
     kept = F.col("__rank") <= keep_last
     return ranked.withColumn("action", F.when(kept, "keep").otherwise("remove")).drop("__rank")
 
@@ -293,16 +292,14 @@ def cache_eviction(
     now: Column,
     cap_bytes: int = 10 * 1024**3,
     ttl_seconds: int = 86400,
-    unit: str = "HOUR",
+    ranges: int | None = None,
 ) -> DataFrame:
     """Adds ``reason`` (``ttl``, ``size`` or null) over a job's cached files.
 
     Newest first until the cap is passed; a file older than the TTL goes anyway.
     """
     order = [F.desc("ts"), F.desc("step"), F.desc("filename")]
-    filled = running_sum(
-        files, ["job_id"], time_bucket("ts", unit), order, {"cached_bytes": F.col("bytes")}, True
-    )
+    filled = ranged_sums(files, ["job_id"], order, {"cached_bytes": (F.col("bytes"), ())}, ranges)
     stale = F.timestamp_add("SECOND", F.lit(ttl_seconds), "ts") < now
     return filled.withColumn(
         "reason", F.when(stale, "ttl").when(F.col("cached_bytes") > cap_bytes, "size")

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.times import time_bucket, whole_seconds
-from ..plans.ordered import previous_row, running_sum
+from ..functions.times import whole_seconds
+from ..plans.ordered import ranged_previous, ranged_sums
 
 # States of a job, and the states that may come before each of them
 # (running is a start or a resume).
@@ -114,7 +114,7 @@ def concurrency(
     worker: str,
     start: str = "start_ts",
     end: str = "end_ts",
-    unit: str = "HOUR",
+    ranges: int | None = None,
 ) -> DataFrame:
     """Active count after every start and end; at equal times ends come before starts.
 
@@ -132,9 +132,7 @@ def concurrency(
         ),
     ).filter((F.col("delta") == 1) | F.col("at").isNotNull())
     order = [F.col("at"), F.col("delta"), *[F.col(c) for c in keys if c != worker]]
-    return running_sum(
-        edges, [worker], time_bucket("at", unit), order, {"active": F.col("delta").cast("bigint")}
-    )
+    return ranged_sums(edges, [worker], order, {"active": (F.col("delta"), ())}, ranges)
 
 
 def concurrency_cap(
@@ -143,10 +141,10 @@ def concurrency_cap(
     cap: int = 5,
     start: str = "start_ts",
     end: str = "end_ts",
-    unit: str = "HOUR",
+    ranges: int | None = None,
 ) -> DataFrame:
     """Per worker: the highest active count and how many starts went over the cap."""
-    counted = concurrency(intervals, worker, start, end, unit)
+    counted = concurrency(intervals, worker, start, end, ranges)
     return counted.groupBy(worker).agg(
         F.max("active").alias("max_active"),
         F.count_if((F.col("delta") == 1) & (F.col("active") > cap)).alias("breaches"),
@@ -154,15 +152,14 @@ def concurrency_cap(
 
 
 def illegal_transitions(
-    events: DataFrame, order: Sequence[str] = ("ts", "event_id"), unit: str = "HOUR"
+    events: DataFrame, order: Sequence[str] = ("ts", "event_id"), ranges: int | None = None
 ) -> DataFrame:
     """Status rows that may not follow the status before them.
 
     A status without a rule may follow anything; one with a rule may not come first.
     """
-    seen = previous_row(
-        events, ["job_id"], time_bucket(order[0], unit), list(order), {"previous": F.col("status")}
-    )
+    by_time = [F.col(c) for c in order]
+    seen = ranged_previous(events, ["job_id"], by_time, {"previous": F.col("status")}, ranges)
     bad = F.lit(False)
     for action, before in ALLOWED_BEFORE.items():
         bad = bad | (

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import time_bucket, whole_seconds
-from ..plans.ordered import row_rank, running_sum, running_sums
+from ..plans.ordered import ranged_rank, ranged_sums
 
 # Fixed value: a whole device in per-mille.
 WHOLE = 1000
@@ -65,26 +65,24 @@ def usage_edges(leases: DataFrame) -> DataFrame:
     )
 
 
-def device_usage(leases: DataFrame, unit: str = "HOUR") -> DataFrame:
+def device_usage(leases: DataFrame, ranges: int | None = None) -> DataFrame:
     """Per-mille in use on its device after every edge; ends come before starts.
 
-    Devices are few and a log is long, so the running sum is cut into time buckets.
+    Devices are few and a log is long, so the running sum is cut into ranges of the log.
     """
     order = [F.col("at"), F.signum("delta_pm"), F.col("lease_id")]
-    return running_sum(
-        usage_edges(leases),
-        ["device_id"],
-        time_bucket("at", unit),
-        order,
-        {"used_pm": F.col("delta_pm").cast("bigint")},
+    return ranged_sums(
+        usage_edges(leases), ["device_id"], order, {"used_pm": (F.col("delta_pm"), ())}, ranges
     )
 
 
-def capacity_timeline(leases: DataFrame, devices: DataFrame, unit: str = "HOUR") -> DataFrame:
+def capacity_timeline(
+    leases: DataFrame, devices: DataFrame, ranges: int | None = None
+) -> DataFrame:
     """Available per-mille, bytes and percent after every start and end of a lease."""
     free = WHOLE - F.col("used_pm")
     return (
-        device_usage(leases, unit)
+        device_usage(leases, ranges)
         .join(devices.select("device_id", "total_bytes"), "device_id")
         .select(
             "device_id",
@@ -125,12 +123,13 @@ def device_stats(leases: DataFrame, devices: DataFrame, at: Column) -> DataFrame
     )
 
 
-def overcommit_audit(leases: DataFrame, unit: str = "HOUR") -> DataFrame:
+def overcommit_audit(leases: DataFrame, ranges: int | None = None) -> DataFrame:
     """Starts after which more than the whole device was given away."""
-    return device_usage(leases, unit).filter((F.col("delta_pm") > 0) & (F.col("used_pm") > WHOLE))
+    used = device_usage(leases, ranges)
+    return used.filter((F.col("delta_pm") > 0) & (F.col("used_pm") > WHOLE))
 
 
-def lock_conflicts(leases: DataFrame, unit: str = "HOUR") -> DataFrame:
+def lock_conflicts(leases: DataFrame, ranges: int | None = None) -> DataFrame:
     """Leases that started while the same (device, fraction) was held.
 
     ``held_by_other`` and ``held_by_same`` count the earlier leases still active at
@@ -150,13 +149,12 @@ def lock_conflicts(leases: DataFrame, unit: str = "HOUR") -> DataFrame:
             )
         ),
     )
-    step = F.col("delta").cast("bigint")
-    held = running_sums(
+    held = ranged_sums(
         edges,
         lock,
-        time_bucket("at", unit),
         [F.col("at"), F.col("delta"), F.col("lease_id")],
-        {"__all": (step, ()), "__own": (step, ["owner"])},
+        {"__all": (F.col("delta"), ()), "__own": (F.col("delta"), ["owner"])},
+        ranges,
     )
     other = F.col("__all") - F.col("__own")
     return (
@@ -235,15 +233,10 @@ def availability_band(stats: DataFrame) -> DataFrame:
     )
 
 
-def assign_ids(leases: DataFrame, unit: str = "HOUR") -> DataFrame:
+def assign_ids(leases: DataFrame, ranges: int | None = None) -> DataFrame:
     """Adds partition_id, numbered from 1 within each device by start."""
-    numbered = row_rank(
-        leases,
-        ["device_id"],
-        time_bucket("start_ts", unit),
-        [F.col("start_ts"), F.col("lease_id")],
-        "number",
-    )
+    by_start = [F.col("start_ts"), F.col("lease_id")]
+    numbered = ranged_rank(leases, ["device_id"], by_start, "number", ranges)
     return numbered.withColumn(
         "partition_id", F.format_string("partition_%04d", F.col("number"))
     )

@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.times import time_bucket
-from ..plans.ordered import running_sum, spread_by
+from ..plans.ordered import ranged_sums, spread_by
 from ..plans.scratch import written
 
 VERDICT = [T.StructField("ok", T.BooleanType()), T.StructField("usage", T.LongType())]
@@ -89,7 +88,7 @@ def _matched(ops: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 
 
 def quota_fold(
-    ops: DataFrame, key: str = "key", order: Sequence[str] = ("ts", "event_id"), unit: str = "HOUR"
+    ops: DataFrame, key: str = "key", order: Sequence[str] = ("ts", "event_id"), ranges: int | None = None
 ) -> DataFrame:
     """Adds ``ok`` (accepted, or released) and ``usage`` after each operation.
 
@@ -120,13 +119,9 @@ def quota_fold(
             )
 
     out = T.StructType([*ops.schema.fields, *VERDICT])
-    summed = running_sum(
-        written(_matched(ops, key, order), "matched"),
-        [key],
-        time_bucket(order[0], unit),
-        [F.col(c) for c in order],
-        {"usage": F.coalesce("__delta", F.lit(0))},
-    )
+    matched = written(_matched(ops, key, order), "matched")
+    change = F.coalesce("__delta", F.lit(0))
+    summed = ranged_sums(matched, [key], [F.col(c) for c in order], {"usage": (change, ())}, ranges)
     summed = written(summed, "usage")
     full = F.col("__odd") | ((F.col("op") == "track") & (F.col("usage") > F.col("limit_bytes")))
     reached = summed.filter(full).select(F.col(key).alias("__key")).distinct()

@@ -1,15 +1,22 @@
 """Ordered computations that survive a hot key.
 
-``Window.partitionBy(key)`` puts all rows of a key into one task. The functions
-here cut each key into ordered buckets (an hour, a block of steps ...), run the
-window inside (key, bucket) and add what the earlier buckets contribute. The
-carried part works on one pre-aggregated row per (key, bucket), so the only
-window that spans a whole key sees buckets, not rows.
-
-``bucket`` must grow with ``order`` (or shrink, with ``descending=True``). Null keys are a
-key of their own and null order values come where the window puts them, so a bucket may be
-null too; every carried join is null-safe and keeps all rows. Results equal the plain
-window exactly.
+``Window.partitionBy(key)`` puts all rows of a key into one task. The functions here cut
+each key into ordered pieces, run the window inside (key, piece) and add what the earlier
+pieces contribute. The carried part works on one pre-aggregated row per (key, piece), so
+the only window that spans a whole key sees pieces, not rows.
+
+``ranged_sums``, ``ranged_rank`` and ``ranged_previous`` take the pieces from the data: the
+rows are sorted into ranges of equal size by (key, order), wherever their times lie, so a
+key whose rows all bear one time is spread like any other. The sorted rows are a table in
+the shared folder; ranges drawn from a sample must not be drawn twice.
+
+``running_sum``, ``running_sums``, ``row_rank`` and ``previous_row`` take a ``bucket`` that the
+caller names (a block of positions, an hour), which must grow with ``order`` (or shrink, with
+``descending=True``): right where no bucket can be large, and one shuffle less.
+
+Null keys are a key of their own and null order values come where the window puts them, so
+a bucket may be null too; every carried join is null-safe and keeps all rows. Results equal
+the plain window exactly.
 """
 
 from __future__ import annotations
@@ -21,7 +28,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 _BUCKET = "__bucket"
+_ROW, _RANGE = "__row", "__range"
 
 
 def spread_by(df: DataFrame, *columns: str | Column) -> DataFrame:
@@ -160,6 +170,106 @@ def previous_row(
     )
 
 
+def sorted_ranges(
+    df: DataFrame, by: Sequence[str], order: Sequence[Column], ranges: int | None = None
+) -> DataFrame:
+    """The rows sorted by (by, order), dealt into ``ranges`` parts of about equal size.
+
+    ``__row`` grows in that order and ``__range`` is the part. Without a number there are as
+    many ranges as the session has shuffle partitions. ``order`` must be total within a key.
+    """
+    number = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(number, *by, *order).sortWithinPartitions(*by, *order)
+    # the upper bits of the id are the number of the part
+    stored = written(placed.withColumn(_ROW, F.monotonically_increasing_id()), "ranges")
+    return stored.withColumn(_RANGE, F.shiftright(_ROW, 33))
+
+
+def ranged_sums(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[Column],
+    sums: Mapping[str, tuple[Column, Sequence[str]]],
+    ranges: int | None = None,
+) -> DataFrame:
+    """Adds ``sum(value) over (partition by by + within order by order rows unbounded preceding)``
+    for each ``name: (value, within)``.
+
+    What earlier ranges hold enters the window of a range as one row before all others, one
+    for each (by, within) that comes again: there is no join, and rows move by (by, range).
+    """
+    rows = sorted_ranges(df, by, order, ranges)
+    parts = [rows.select("*", *[v.cast("bigint").alias(name) for name, (v, _) in sums.items()])]
+    for within in dict.fromkeys(tuple(w) for _, w in sums.values()):
+        mine = [name for name, (_, w) in sums.items() if tuple(w) == within]
+        totals = rows.groupBy(*by, *within, _RANGE).agg(
+            *[F.sum(sums[name][0].cast("bigint")).alias(name) for name in mine]
+        )
+        earlier = (
+            Window.partitionBy(*by, *within).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+        )
+        carried = totals.select(
+            *by, *within, _RANGE, *[F.sum(name).over(earlier).alias(name) for name in mine]
+        ).filter(F.coalesce(*mine).isNotNull())
+        parts.append(carried.withColumn(_ROW, F.lit(-1).cast("bigint")))
+    all_rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    summed = all_rows.select(
+        *df.columns,
+        _ROW,
+        *[
+            F.sum(name)
+            .over(Window.partitionBy(*by, _RANGE, *within).orderBy(_ROW).rowsBetween(*upto))
+            .alias(name)
+            for name, (_, within) in sums.items()
+        ],
+    )
+    return summed.filter(F.col(_ROW) >= 0).drop(_ROW)
+
+
+def ranged_rank(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[Column],
+    name: str,
+    ranges: int | None = None,
+) -> DataFrame:
+    """Adds ``row_number() over (partition by by order by order)``."""
+    return ranged_sums(df, by, order, {name: (F.lit(1), ())}, ranges)
+
+
+def ranged_previous(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[Column],
+    values: Mapping[str, Column],
+    ranges: int | None = None,
+) -> DataFrame:
+    """Adds ``lag(value) over (partition by by order by order)``."""
+    rows = sorted_ranges(df, by, order, ranges).withColumns(
+        {f"__of_{name}": v for name, v in values.items()}
+    )
+    held = F.struct(*[f"__of_{name}" for name in values])
+    lasts = rows.groupBy(*by, _RANGE).agg(F.max_by(held, _ROW).alias("__last"))
+    earlier = F.lag("__last").over(Window.partitionBy(*by).orderBy(_RANGE))
+    carried = (
+        lasts.select(*by, _RANGE, earlier.alias("__last"))
+        .filter(F.col("__last").isNotNull())
+        .select(*by, _RANGE, F.lit(-1).cast("bigint").alias(_ROW), "__last.*")
+    )
+    inside = Window.partitionBy(*by, _RANGE).orderBy(_ROW)
+    return (
+        rows.unionByName(carried, allowMissingColumns=True)
+        .select(
+            *df.columns,
+            _ROW,
+            *[F.lag(f"__of_{name}").over(inside).alias(name) for name in values],
+        )
+        .filter(F.col(_ROW) >= 0)
+        .drop(_ROW)
+    )
+
+
 def complete_groups(
     batches: Iterator[pd.DataFrame], keys: Sequence[str]
 ) -> Iterator[pd.DataFrame]:

@@ -235,7 +235,7 @@ SELECT job_id, tier, filename, step, ts, bytes, CASE WHEN rn <= 5 THEN 'keep' EL
     ),
 )
 def retention(spark, sf_dir):
-    return ck.retention(_files(spark, sf_dir), unit="DAY")
+    return ck.retention(_files(spark, sf_dir))
 
 
 @query(
@@ -253,7 +253,7 @@ FROM (SELECT *, sum(bytes) OVER (PARTITION BY job_id ORDER BY ts DESC, step DESC
 def cache_eviction(spark, sf_dir):
     local = _files(spark, sf_dir).filter(F.col("tier") == "L1").drop("tier")
     now = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
-    return ck.cache_eviction(local, now, 100_000, 864_000, unit="DAY")
+    return ck.cache_eviction(local, now, 100_000, 864_000)
 
 
 _CADENCE = """

@@ -140,7 +140,7 @@ WHERE (status = 'running' AND coalesce(previous NOT IN ('pending', 'paused'), tr
     ),
 )
 def illegal_transitions(spark, sf_dir):
-    return jobs.illegal_transitions(views.job_event(spark, sf_dir), unit="DAY")
+    return jobs.illegal_transitions(views.job_event(spark, sf_dir))
 
 
 @query(

@@ -140,7 +140,7 @@ FROM ({_PAIRS}) GROUP BY lease_id, device_id, fraction_pm, owner, start_ts""",
     ),
 )
 def lock_conflicts(spark, sf_dir):
-    return ls.lock_conflicts(views.lease(spark, sf_dir), unit="DAY")
+    return ls.lock_conflicts(views.lease(spark, sf_dir))
 
 
 @query(
@@ -204,7 +204,7 @@ def quota_fold_with_room(spark, sf_dir):
     """Ten times the limit and a low size mark: many keys are summed in parallel."""
     ops = views.buffer_op(spark, sf_dir).withColumn("limit_bytes", F.col("limit_bytes") * 10)
     ops = written(ops, "ops")
-    folded = quota.quota_fold(ops, unit="DAY")
+    folded = quota.quota_fold(ops)
     return folded.select("event_id", "key", "ok", "usage")
 
 
