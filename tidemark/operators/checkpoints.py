@@ -281,8 +281,8 @@ def retention(
     ranges hold is added from one count per range. Null jobs or tiers are groups too;
     files without a time come last.
     """
-    order = [F.desc(c) for c in ("ts", "step", "filename")]
-    ranked = ranged_rank(files, list(by), order, "__rank", ranges)
+    order = [F.col(c) for c in ("ts", "step", "filename")]
+    ranked = ranged_rank(files, list(by), order, "__rank", ranges, descending=True)
     kept = F.col("__rank") <= keep_last
     return ranked.withColumn("action", F.when(kept, "keep").otherwise("remove")).drop("__rank")
 
@@ -298,8 +298,10 @@ def cache_eviction(
 
     Newest first until the cap is passed; a file older than the TTL goes anyway.
     """
-    order = [F.desc("ts"), F.desc("step"), F.desc("filename")]
-    filled = ranged_sums(files, ["job_id"], order, {"cached_bytes": (F.col("bytes"), ())}, ranges)
+    order = [F.col("ts"), F.col("step"), F.col("filename")]
+    filled = ranged_sums(
+        files, ["job_id"], order, {"cached_bytes": (F.col("bytes"), ())}, ranges, descending=True
+    )
     stale = F.timestamp_add("SECOND", F.lit(ttl_seconds), "ts") < now
     return filled.withColumn(
         "reason", F.when(stale, "ttl").when(F.col("cached_bytes") > cap_bytes, "size")

@@ -5,14 +5,13 @@ each key into ordered pieces, run the window inside (key, piece) and add what th
 pieces contribute. The carried part works on one pre-aggregated row per (key, piece), so
 the only window that spans a whole key sees pieces, not rows.
 
-``ranged_sums``, ``ranged_rank`` and ``ranged_previous`` take the pieces from the data: the
-rows are sorted into ranges of equal size by (key, order), wherever their times lie, so a
-key whose rows all bear one time is spread like any other. The sorted rows are a table in
-the shared folder; ranges drawn from a sample must not be drawn twice.
+``ranged_sums``, ``ranged_rank`` and ``ranged_previous`` take the pieces from the data: ranges
+of about equal size in the order of (key, order), with bounds from a sample, wherever the
+times lie. A key whose rows all bear one time is spread like any other.
 
 ``running_sum``, ``running_sums``, ``row_rank`` and ``previous_row`` take a ``bucket`` that the
 caller names (a block of positions, an hour), which must grow with ``order`` (or shrink, with
-``descending=True``): right where no bucket can be large, and one shuffle less.
+``descending=True``): right where no bucket can be large.
 
 Null keys are a key of their own and null order values come where the window puts them, so
 a bucket may be null too; every carried join is null-safe and keeps all rows. Results equal
@@ -28,10 +27,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import written
-
 _BUCKET = "__bucket"
-_ROW, _RANGE = "__row", "__range"
+_RANGE, _OWN = "__range", "__of_rows"
+
+#: Rows drawn for each range.
+_SAMPLED = 32
 
 
 def spread_by(df: DataFrame, *columns: str | Column) -> DataFrame:
@@ -170,19 +170,44 @@ def previous_row(
     )
 
 
-def sorted_ranges(
+def ranged(
     df: DataFrame, by: Sequence[str], order: Sequence[Column], ranges: int | None = None
 ) -> DataFrame:
-    """The rows sorted by (by, order), dealt into ``ranges`` parts of about equal size.
+    """Adds ``__range``: the rows, in the order of (by, order), in about equal parts.
 
-    ``__row`` grows in that order and ``__range`` is the part. Without a number there are as
-    many ranges as the session has shuffle partitions. ``order`` must be total within a key.
+    The bounds are taken from the rows with the smallest hashes, ``_SAMPLED`` for a range:
+    a subquery of bounded size that comes out alike however often it runs. A row finds its
+    range by binary search. Without a number there are as many ranges as the session has
+    shuffle partitions.
     """
     number = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(number, *by, *order).sortWithinPartitions(*by, *order)
-    # the upper bits of the id are the number of the part
-    stored = written(placed.withColumn(_ROW, F.monotonically_increasing_id()), "ranges")
-    return stored.withColumn(_RANGE, F.shiftright(_ROW, 33))
+    steps = [1 << i for i in range(max(1, number).bit_length() - 1, -1, -1)]
+    place = F.struct(
+        *[F.col(c).alias(f"k{i}") for i, c in enumerate(by)],
+        *[c.alias(f"o{i}") for i, c in enumerate(order)],
+    )
+    drawn = df.select(place.alias("at")).orderBy(F.xxhash64("at")).limit(_SAMPLED * number)
+    every = F.array_sort(F.collect_list("at"))
+    cuts = F.transform(
+        F.sequence(F.lit(1), F.lit(number)),
+        lambda i: F.get("every", F.floor(i * F.size("every") / number).cast("int")),
+    )
+    bounds = drawn.agg(every.alias("every")).select(F.filter(cuts, lambda c: c.isNotNull()))
+    found = F.aggregate(
+        F.array(*[F.lit(s) for s in steps]),
+        F.lit(0),
+        lambda at, step: F.when(
+            F.get("__bounds", at + step - 1) <= F.col("__place"), at + step
+        ).otherwise(at),
+    )
+    placed = df.select("*", bounds.scalar().alias("__bounds"), place.alias("__place"))
+    return placed.withColumn(_RANGE, found).drop("__bounds", "__place")
+
+
+def _carried_first(order: Sequence[Column], descending: bool) -> list[Column]:
+    """What earlier ranges left comes before the rows themselves."""
+    own = [c.desc() if descending else c.asc() for c in order]
+    return [F.col(_OWN).asc_nulls_first(), *own]
 
 
 def ranged_sums(
@@ -191,40 +216,41 @@ def ranged_sums(
     order: Sequence[Column],
     sums: Mapping[str, tuple[Column, Sequence[str]]],
     ranges: int | None = None,
+    descending: bool = False,
 ) -> DataFrame:
     """Adds ``sum(value) over (partition by by + within order by order rows unbounded preceding)``
-    for each ``name: (value, within)``.
+    for each ``name: (value, within)``; ``order`` must be total within a key.
 
     What earlier ranges hold enters the window of a range as one row before all others, one
-    for each (by, within) that comes again: there is no join, and rows move by (by, range).
+    for each (by, within) that comes again: there is no join, and rows move once, by
+    (by, range).
     """
-    rows = sorted_ranges(df, by, order, ranges)
-    parts = [rows.select("*", *[v.cast("bigint").alias(name) for name, (v, _) in sums.items()])]
+    rows = ranged(df, by, order, ranges)
+    turn = F.col(_RANGE).desc() if descending else F.col(_RANGE).asc()
+    values = {name: v.cast("bigint") for name, (v, _) in sums.items()}
+    parts = [rows.select("*", F.lit(True).alias(_OWN), *[v.alias(n) for n, v in values.items()])]
     for within in dict.fromkeys(tuple(w) for _, w in sums.values()):
         mine = [name for name, (_, w) in sums.items() if tuple(w) == within]
-        totals = rows.groupBy(*by, *within, _RANGE).agg(
-            *[F.sum(sums[name][0].cast("bigint")).alias(name) for name in mine]
-        )
+        totals = rows.groupBy(*by, *within, _RANGE).agg(*[F.sum(values[n]).alias(n) for n in mine])
         earlier = (
-            Window.partitionBy(*by, *within).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+            Window.partitionBy(*by, *within).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
         )
-        carried = totals.select(
-            *by, *within, _RANGE, *[F.sum(name).over(earlier).alias(name) for name in mine]
-        ).filter(F.coalesce(*mine).isNotNull())
-        parts.append(carried.withColumn(_ROW, F.lit(-1).cast("bigint")))
+        carried = totals.select(*by, *within, _RANGE, *[F.sum(n).over(earlier).alias(n) for n in mine])
+        parts.append(carried.filter(F.coalesce(*mine).isNotNull()))
     all_rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     upto = (Window.unboundedPreceding, Window.currentRow)
+    first = _carried_first(order, descending)
     summed = all_rows.select(
         *df.columns,
-        _ROW,
+        _OWN,
         *[
             F.sum(name)
-            .over(Window.partitionBy(*by, _RANGE, *within).orderBy(_ROW).rowsBetween(*upto))
+            .over(Window.partitionBy(*by, _RANGE, *within).orderBy(*first).rowsBetween(*upto))
             .alias(name)
             for name, (_, within) in sums.items()
         ],
     )
-    return summed.filter(F.col(_ROW) >= 0).drop(_ROW)
+    return summed.filter(_OWN).drop(_OWN)
 
 
 def ranged_rank(
@@ -233,9 +259,10 @@ def ranged_rank(
     order: Sequence[Column],
     name: str,
     ranges: int | None = None,
+    descending: bool = False,
 ) -> DataFrame:
     """Adds ``row_number() over (partition by by order by order)``."""
-    return ranged_sums(df, by, order, {name: (F.lit(1), ())}, ranges)
+    return ranged_sums(df, by, order, {name: (F.lit(1), ())}, ranges, descending)
 
 
 def ranged_previous(
@@ -246,28 +273,21 @@ def ranged_previous(
     ranges: int | None = None,
 ) -> DataFrame:
     """Adds ``lag(value) over (partition by by order by order)``."""
-    rows = sorted_ranges(df, by, order, ranges).withColumns(
-        {f"__of_{name}": v for name, v in values.items()}
+    rows = ranged(df, by, order, ranges).select(
+        "*", F.lit(True).alias(_OWN), *[v.alias(f"__of_{name}") for name, v in values.items()]
     )
     held = F.struct(*[f"__of_{name}" for name in values])
-    lasts = rows.groupBy(*by, _RANGE).agg(F.max_by(held, _ROW).alias("__last"))
+    lasts = rows.groupBy(*by, _RANGE).agg(F.max_by(held, F.struct(*order)).alias("__last"))
     earlier = F.lag("__last").over(Window.partitionBy(*by).orderBy(_RANGE))
     carried = (
         lasts.select(*by, _RANGE, earlier.alias("__last"))
         .filter(F.col("__last").isNotNull())
-        .select(*by, _RANGE, F.lit(-1).cast("bigint").alias(_ROW), "__last.*")
-    )
-    inside = Window.partitionBy(*by, _RANGE).orderBy(_ROW)
-    return (
-        rows.unionByName(carried, allowMissingColumns=True)
-        .select(
-            *df.columns,
-            _ROW,
-            *[F.lag(f"__of_{name}").over(inside).alias(name) for name in values],
-        )
-        .filter(F.col(_ROW) >= 0)
-        .drop(_ROW)
+        .select(*by, _RANGE, "__last.*")
     )
+    inside = Window.partitionBy(*by, _RANGE).orderBy(*_carried_first(order, False))
+    before = [F.lag(f"__of_{name}").over(inside).alias(name) for name in values]
+    with_carried = rows.unionByName(carried, allowMissingColumns=True)
+    return with_carried.select(*df.columns, _OWN, *before).filter(_OWN).drop(_OWN)
 
 
 def complete_groups(
