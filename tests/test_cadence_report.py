@@ -2,6 +2,7 @@ import datetime
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +59,36 @@ def test_first_row_never_saves_by_time_and_a_save_resets(spark):
     assert got == {0: False, 1: True, 2: False, 3: True, 4: False}
 
 
+def test_cadence_as_a_tree(spark):
+    """One job of many blocks, several rounds of composition, times that also go back."""
+    rng = random.Random(4)
+    for back in (0, 40):
+        at, rows = 0, []
+        for step in range(1200):
+            at += rng.choice([0, 1, 1, 2, 30])
+            rows.append((1, step, max(0, at - rng.randint(0, back))))
+        df = log(spark, rows)
+        for n, s, fan_in in ((None, 25, 2), (None, 500, 3), (None, 25, 64), (97, 60, 2)):
+            got = decided(cadence.checkpoint_cadence(df, n, s, block=8, fan_in=fan_in))
+            assert got == brute(rows, n, s), (back, n, s, fan_in)
+
+
+def test_composed_clocks():
+    rng = random.Random(2)
+    for _ in range(300):
+        times = np.array(sorted(rng.randint(0, 200) for _ in range(30)))
+        flags = np.array([rng.random() < 0.03 for _ in times])
+        wait = rng.randint(1, 60)
+        parts = [cadence.clock_function(times[i : i + 10], flags[i : i + 10], wait) for i in (0, 10, 20)]
+        left = cadence.composed(cadence.composed(parts[0], parts[1], 250), parts[2], 250)
+        right = cadence.composed(parts[0], cadence.composed(parts[1], parts[2], 250), 250)
+        for last in range(-70, 200, 7):
+            want = cadence.walk(times, flags, wait, last)[1]
+            assert cadence.apply_clock(left, last) == cadence.apply_clock(right, last) == want
+        short = cadence.composed(parts[0], parts[1], int(times[0]))
+        assert len(short) <= len(cadence.composed(parts[0], parts[1], 250))
+
+
 def quantile(values, p):
     values = sorted(values)
     at = p * (len(values) - 1)
