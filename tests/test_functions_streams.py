@@ -1,4 +1,5 @@
 import datetime
+import json
 import time
 from pathlib import Path
 
@@ -73,13 +74,22 @@ def fail_on_three(frame):
     return {"n": len(frame)}
 
 
+def fail_on_three_in_frames(frames):
+    return {"n": sum(fail_on_three(frame)["n"] for frame in frames)}
+
+
+def first_frame_only(frames):
+    return len(next(frames)) > 0
+
+
 def join_counts(parts):
     return {"n": sum(p["n"] for p in parts)}
 
 
 @pytest.mark.parametrize("merge", [None, join_counts])
 def test_outcomes_are_isolated(spark, skewed, folder, merge):
-    rows = remote.capture_outcomes(skewed, fail_on_three, "k", merge)
+    func = fail_on_three if merge else fail_on_three_in_frames
+    rows = remote.capture_outcomes(skewed, func, "k", merge)
     got = {r["k"]: r for r in rows.collect()}
     assert got[3]["status"] == "failed" and got[3]["error"] == "KeyError: 'three'" and "fail_on_three" in got[3]["traceback"]
     assert got[0]["result"] == '{"n": 10000}' and got[0]["error"] is None
@@ -89,6 +99,16 @@ def test_outcomes_are_isolated(spark, skewed, folder, merge):
     assert tables.read_job_results(spark, folder).count() == len(got) - 1
 
 
+def test_outcome_of_a_key_in_many_frames(spark):
+    """A key larger than a frame: one outcome row, whether its frames are read or left."""
+    rows = spark.range(35_000).select(F.when(F.col("id") % 7 == 0, None).otherwise(F.lit(1)).alias("k"), "id")
+    seen = remote.capture_outcomes(rows, lambda frames: [len(f) for f in frames], "k").collect()
+    sizes = {r["k"]: json.loads(r["result"]) for r in seen}
+    assert sum(sizes[1]) == 30_000 and len(sizes[1]) > 1 and sum(sizes[None]) == 5_000
+    left = remote.capture_outcomes(rows, first_frame_only, "k").collect()
+    assert [r["status"] for r in left] == ["completed"] * 2
+
+
 def test_async_handle(spark):
     done = remote.run_async(spark, lambda: spark.range(100).count())
     assert done.result(60) == 100 and done.status() == "completed" and not done.cancel()
@@ -189,7 +209,7 @@ def test_expiry_stream_over_batches_and_releases(spark, folder):
     freed = df.filter(F.col("lease_id").isin(gone)).withColumn("op", F.lit("release"))
     freed = freed.withColumn("start_ts", F.timestamp_add("SECOND", F.lit(60), "start_ts"))
     stream = staged(spark, folder, df.unionByName(freed), 4, "start_ts")
-    got = runs.run_to_table(expiry.expire_stream(stream, shards=4), f"{folder}/out").collect()
+    got = runs.run_to_table(expiry.expire_stream(stream), f"{folder}/out").collect()
     last = df.filter("duration_s > 0").agg(F.max("start_ts")).first()[0]
     want = ls.expirations(df, F.lit(last).cast("timestamp_ntz")).collect()
     assert {tuple(r) for r in got} == {tuple(r) for r in want if r["lease_id"] not in gone}
@@ -206,6 +226,21 @@ def test_cadence_stream_equals_batch(spark, folder, n, s):
     assert pick(out) == pick(want)
 
 
+def test_cadence_stream_survives_nulls(spark, folder):
+    """Rows without step or time, a whole batch of them too, and a step that comes again."""
+    at = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
+    rows = [(1, 7, 0, at(0)), (2, 7, None, at(1)), (3, 7, 1, None), (4, 8, None, None), (5, 7, 1, at(9)),
+            (6, 7, 1, at(30)), (7, 7, 2, at(45)), (8, 7, None, at(99)), (9, 7, 4, at(50))]
+    schema = "event_id bigint, job_id bigint, step int, ts timestamp_ntz"
+    for part in (rows[:3], rows[3:5], rows[5:6], rows[6:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        time.sleep(0.05)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    out = runs.run_to_table(stateful.checkpoint_cadence_stream(stream, 4, 1200), f"{folder}/out")
+    got = {r["event_id"]: r["saved"] for r in out.collect()}
+    assert got == {i: i in (6, 9) for i in range(1, 10)}
+
+
 def test_quota_stream_equals_batch(spark, folder):
     ops = views.buffer_op(spark, SF_DIR)
     stream = staged(spark, folder, ops, 3, "ts", "event_id")

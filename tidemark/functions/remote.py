@@ -170,34 +170,43 @@ _OUTCOME = [
 
 def capture_outcomes(
     df: DataFrame,
-    func: Callable[[Frame], Any],
+    func: Callable[[Any], Any],
     by: str | Sequence[str],
     merge: Callable[[list], Any] | None = None,
 ) -> DataFrame:
     """One outcome row per key: status, error, traceback, result (JSON).
 
-    An exception fails its own key and no other. ``merge`` takes the list of results
-    of a key's slices; without it ``func`` gets all frames of a key, which suits keys
-    of bounded size.
+    An exception fails its own key and no other. With ``merge``, ``func`` gets a frame that
+    is a slice of a key, and ``merge`` the list of results. Without it ``func`` gets an
+    iterator over the frames of its key, of which one at a time is in memory, and the
+    outcome is told once it returns; frames it leaves are passed over.
     """
     by = [by] if isinstance(by, str) else list(by)
     key_fields = [df.schema[c] for c in by]
     schema = T.StructType([*key_fields, *_OUTCOME])
 
-    def attempt(frame: Frame, work: Callable[[], Any]) -> Frame:
+    def attempt(key: Sequence[Any], work: Callable[[], Any]) -> Frame:
         try:
             found = ("completed", None, None, json.dumps(work(), default=str))
         except Exception as e:  # the outcome row carries it
             found = ("failed", f"{type(e).__name__}: {e}", tb.format_exc(), None)
-        row = {c: [frame[c].iloc[0]] for c in by}
+        row = {c: [None if pd.isna(v) else v] for c, v in zip(by, key)}
         row.update({f.name: [v] for f, v in zip(_OUTCOME, found)})
         return pd.DataFrame(row)
 
+    def key_of(frame: Frame) -> list[Any]:
+        return [frame[c].iloc[0] for c in by]
+
     def one(frame: Frame) -> Frame:
-        return attempt(frame, lambda: func(frame))
+        return attempt(key_of(frame), lambda: func(frame))
+
+    def stream(key: tuple[Any, ...], frames: Iterator[Frame]) -> Iterator[Frame]:
+        yield attempt(key, lambda: func(frames))
+        for _ in frames:
+            pass
 
     if merge is None:
-        return df.groupBy(*by).applyInPandas(one, schema)
+        return df.groupBy(*by).applyInPandas(stream, schema)
 
     def join(parts: Frame) -> Frame:
         failed = parts[parts["status"] == "failed"]
@@ -205,7 +214,7 @@ def capture_outcomes(
             return failed.sort_values("error").head(1)
         if len(parts) == 1:
             return parts
-        return attempt(parts, lambda: merge([json.loads(r) for r in parts["result"]]))
+        return attempt(key_of(parts), lambda: merge([json.loads(r) for r in parts["result"]]))
 
     return run(df, one, schema, by, join)
 

@@ -106,38 +106,33 @@ def bigram_perplexity(
 ) -> DataFrame:
     """Perplexity of each text under the add-one bigram model of all the texts.
 
-    One pass makes (token, next token) counts per text, kept as a table that the counts
-    and the scores both read; the last token of a text is marked as an end, which only
-    the word counts need, and a text without tokens keeps a marker row. Only pairs meet
-    the model. The most frequent ones, which nearly every text holds, find their
-    log probability in a bounded broadcast; the others are joined by pair.
+    Bigrams are counted where the texts lie; only sums per bigram are shuffled. The last
+    token of a text is marked as an end, which only the word counts need. Texts are then
+    scored in the map stage: the most frequent bigrams, which nearly every text holds, find
+    their log probability in a bounded broadcast, and each task sums them per text. Only
+    occurrences of the others are shuffled, to meet the model by bigram.
     """
-    tokens = docs.select(key, tokenizer(F.col(text)).alias("tokens"))
     bigram = ["w1", "w2"]
-    per_text = written(
-        tokens.select(
-            key,
-            F.inline_outer(
-                F.zip_with(
-                    "tokens",
-                    F.slice("tokens", F.lit(2), F.greatest(F.size("tokens"), F.lit(0))),
-                    lambda a, b: F.struct(a.alias("w1"), b.alias("w2")),
-                )
-            ),
-        )
-        .groupBy(key, *bigram)
-        .agg(F.count("*").alias("c")),
-        "bigrams",
+    pairs = docs.select(key, tokenizer(F.col(text)).alias("tokens")).select(
+        key,
+        F.inline_outer(
+            F.zip_with(
+                "tokens",
+                F.slice("tokens", F.lit(2), F.greatest(F.size("tokens"), F.lit(0))),
+                lambda a, b: F.struct(a.alias("w1"), b.alias("w2")),
+            )
+        ),
     )
-    pairs = per_text.filter(F.col("w2").isNotNull())
-    pair_counts = pairs.groupBy(*bigram).agg(F.sum("c").alias("pair_count"))
-    word_counts = written(
-        per_text.filter(F.col("w1").isNotNull()).groupBy("w1").agg(F.sum("c").alias("word_count")),
-        "words",
+    counts = written(
+        pairs.filter(F.col("w1").isNotNull()).groupBy(*bigram).agg(F.count("*").alias("pair_count")),
+        "bigrams",
     )
-    distinct_words = word_counts.count()
+    word_counts = counts.groupBy("w1").agg(F.sum("pair_count").alias("word_count"))
+    distinct_words = counts.agg(F.count_distinct("w1")).first()[0]
     model = written(
-        pair_counts.join(word_counts, "w1").select(
+        counts.filter(F.col("w2").isNotNull())
+        .join(word_counts, "w1")
+        .select(
             *bigram,
             "pair_count",
             F.ln((F.col("pair_count") + 1) / (F.col("word_count") + F.lit(distinct_words))).alias(
@@ -151,14 +146,20 @@ def bigram_perplexity(
         .limit(FREQUENT_BIGRAMS)
         .select(*bigram, F.col("logp").alias("known"))
     )
-    looked_up = pairs.join(F.broadcast(frequent), bigram, "left")
-    rare = looked_up.filter(F.col("known").isNull()).drop("known").join(model, bigram)
+    looked_up = pairs.filter(F.col("w2").isNotNull()).join(F.broadcast(frequent), bigram, "left")
+    rare = (
+        looked_up.filter(F.col("known").isNull())
+        .groupBy(*bigram, key)
+        .agg(F.count("*").alias("c"))
+        .join(model, bigram)
+    )
     scored = (
         looked_up.filter(F.col("known").isNotNull())
-        .select(key, "c", F.col("known").alias("logp"))
-        .unionByName(rare.select(key, "c", "logp"))
         .groupBy(key)
-        .agg(F.sum("c").alias("scored"), F.sum(F.col("c") * F.col("logp")).alias("__logp"))
+        .agg(F.count("*").alias("c"), F.sum("known").alias("__sum"))
+        .unionByName(rare.select(key, "c", (F.col("c") * F.col("logp")).alias("__sum")))
+        .groupBy(key)
+        .agg(F.sum("c").alias("scored"), F.sum("__sum").alias("__logp"))
     )
     return (
         docs.select(key)

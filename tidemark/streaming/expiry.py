@@ -12,77 +12,75 @@ from pyspark.sql.streaming import StatefulProcessor
 from ..functions.times import as_utc, micros
 from ..session import use_rocksdb_state
 
-_STATE = "lease_id bigint, device_id bigint, owner string, end_ms bigint, expired_at timestamp_ntz"
-_COLUMNS = ["lease_id", "device_id", "owner", "end_ms", "expired_at"]
+_OPEN = "device_id bigint, owner string, end_ms bigint, expired_at timestamp_ntz"
+_COLUMNS = ["lease_id", "device_id", "owner", "expired_at"]
 
 
 class Expire(StatefulProcessor):
-    """Holds the open leases of one shard and a timer at the earliest end."""
+    """One lease: what it holds until its end, its timer, and a release that came first."""
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", _STATE)
-        self.early = handle.getListState("early", "lease_id bigint, at_ms bigint")
+        self.open = handle.getListState("open", _OPEN)
+        self.early = handle.getValueState("early", "at_ms bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         """A release before its lease's end closes it, whichever of the two comes first."""
         frame = pd.concat(list(rows), ignore_index=True)
         created = frame[frame["op"] == "create"]
-        releases = frame[frame["op"] == "release"]
-        if len(releases) or (len(created) and self.early.exists()):
-            at: dict[int, int] = {}
-            known = [*self.early.get(), *zip(releases["lease_id"], releases["event_ms"])]
-            for lease_id, ms in known:
-                at[int(lease_id)] = min(int(ms), at.get(int(lease_id), int(ms)))
-            rows_held = list(self.open.get())
-            held = [r for r in rows_held if at.get(r[0], r[3]) >= r[3]]
-            seen = {r[0] for r in rows_held} | set(created["lease_id"].tolist())
-            ends = created["lease_id"].map(at).fillna(created["end_ms"])
-            created = created[ends >= created["end_ms"]]
-            self.open.put(held) if held else self.open.clear()
-            waiting = [(i, ms) for i, ms in at.items() if i not in seen]
-            self.early.put(waiting) if waiting else self.early.clear()
-        if len(created):
-            added = created[_COLUMNS].copy()
-            added["expired_at"] = added["expired_at"].dt.to_pydatetime()
-            self.open.appendList([tuple(r) for r in added.astype(object).itertuples(index=False)])
-            self.handle.registerTimer(int(created["end_ms"].min()))
+        releases = frame.loc[frame["op"] == "release", "event_ms"].tolist()
+        if self.early.exists():
+            releases.append(self.early.get()[0])
+        first = min(releases, default=None)
+        held = list(self.open.get())
+        for row in created.itertuples(index=False):
+            device = None if pd.isna(row.device_id) else int(row.device_id)
+            held.append((device, row.owner, int(row.end_ms), row.expired_at.to_pydatetime()))
+            self.handle.registerTimer(int(row.end_ms))
+        left = held if first is None else [r for r in held if first >= r[2]]
+        if left:
+            self.open.put(left)
+        else:
+            self.open.clear()
+        if first is not None and not held:
+            self.early.update((int(first),))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         held = list(self.open.get())
-        done = [row for row in held if row[3] <= now]
-        left = [row for row in held if row[3] > now]
+        left = [row for row in held if row[2] > now]
+        done = [(key[0], row[0], row[1], row[3]) for row in held if row[2] <= now]
         if left:
             self.open.put(left)
-            self.handle.registerTimer(min(row[3] for row in left))
-        elif held:
+        else:
             self.open.clear()
+            self.early.clear()
         if done:
-            yield pd.DataFrame(done, columns=_COLUMNS).drop(columns="end_ms")
+            yield pd.DataFrame(done, columns=_COLUMNS)
 
     def close(self) -> None:
         pass
 
 
-def expire_stream(leases: DataFrame, shards: int = 64, delay: str = "0 seconds") -> DataFrame:
+def expire_stream(leases: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """(lease_id, device_id, owner, expired_at) once the watermark of the starts passes an end.
 
-    Leases are spread over shards by their id, never by device or owner, so no
-    shard is hot; ``shards`` bounds the tasks of the stream. An optional ``op`` column
-    (``create``/``release``, a release's time being its ``start_ts``) closes a lease early: a
-    release before the end counts even if it arrives before its lease, one at or after
-    the end does not. A lease that ends after the last start seen stays open.
+    State and timer belong to one lease, so a timer touches nothing else and leases spread
+    over all tasks. An optional ``op`` column (``create``/``release``, a release's time being
+    its ``start_ts``) closes a lease early: a release before the end counts even if it arrives
+    before its lease, one at or after the end does not. A lease that ends after the last
+    start seen stays open. Rows without a lease id stand each for themselves.
     """
     use_rocksdb_state(leases.sparkSession)
     op = F.col("op") if "op" in leases.columns else F.lit("create")
     end_ms = F.call_function("div", micros("end_ts") + 999, F.lit(1000))
+    alone = F.when(F.col("lease_id").isNull(), F.xxhash64("device_id", "owner", "start_ts", "end_ts"))
     timed = (
         leases.filter(F.col("duration_s") > 0)
         .select(
-            F.pmod(F.xxhash64("lease_id"), F.lit(shards)).alias("shard"),
             "lease_id",
+            alone.alias("alone"),
             "device_id",
             "owner",
             op.alias("op"),
@@ -93,7 +91,7 @@ def expire_stream(leases: DataFrame, shards: int = 64, delay: str = "0 seconds")
         )
         .withWatermark("event_time", delay)
     )
-    return timed.groupBy("shard").transformWithStateInPandas(
+    return timed.groupBy("lease_id", "alone").transformWithStateInPandas(
         Expire(),
         "lease_id bigint, device_id bigint, owner string, expired_at timestamp_ntz",
         "append",

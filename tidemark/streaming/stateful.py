@@ -26,13 +26,19 @@ class _Cadence(StatefulProcessor):
         self.clock = handle.getValueState("clock", "last bigint, step bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows), ignore_index=True).sort_values(["step", "at_micros", self.tie])
-        t, step = frame["at_micros"].to_numpy(), frame["step"].to_numpy()
+        whole = pd.concat(list(rows), ignore_index=True)
+        known = whole["step"].notna() & whole["at_micros"].notna()
+        if not known.all():
+            yield whole.loc[~known, self.columns].assign(saved=False)
+        frame = whole[known].sort_values(["step", "at_micros", self.tie])
+        if not len(frame):
+            return
+        t, step = frame["at_micros"].astype("int64").to_numpy(), frame["step"].astype("int64").to_numpy()
         flags = np.zeros(len(t), dtype=bool)
         if self.every_steps:
             flags = (step > 0) & (step % self.every_steps == 0)
         last, before = self.clock.get() if self.clock.exists() else (int(t[0]), None)
-        if before is not None and int(step[0]) <= before:
+        if before is not None and int(step[0]) < before:
             raise ValueError(f"{key}: step {step[0]} arrived after step {before}")
         never = np.iinfo(np.int64).max // 4
         saved, last = walk(t, flags, self.wait or never, last)
@@ -52,7 +58,8 @@ def checkpoint_cadence_stream(
 ) -> DataFrame:
     """Adds ``saved``; a job's rows must arrive in step order from batch to batch.
 
-    The last step is kept in state, and a row that comes too late ends the stream.
+    The last step is kept in state, and a row of an earlier step ends the stream. As in the
+    batch form, a row without step or time is not saved and does not move the clock.
     """
     use_rocksdb_state(log.sparkSession)
     rows = log.withColumn("at_micros", micros("ts"))
