@@ -136,6 +136,44 @@ def test_job_ids_that_look_like_numbers(spark, folder):
     assert {r["job_id"] for r in left} == {"007", "1e3"}
 
 
+def test_delete_rows_in_place(spark, folder):
+    """Doomed keys go, folders without them keep their files, an emptied folder is gone."""
+    rows = spark.range(4000).select((F.col("id") % 40).alias("job_id"), F.col("id").alias("item"))
+    rows = rows.unionByName(rows.limit(3).withColumn("job_id", F.lit(None).cast("bigint")))
+    tables.write_by_key(rows, folder, parts=16, spread=2)
+    part = F.pmod(F.xxhash64("job_id"), F.lit(16)).cast("int")
+    owners = {r["part"]: set(r["jobs"]) for r in rows.groupBy(part.alias("part")).agg(F.collect_set("job_id").alias("jobs")).collect()}
+    whole = next(p for p, jobs in owners.items() if len(jobs) == 1)
+    some = next(p for p, jobs in owners.items() if len(jobs) > 2)
+    gone = owners[whole] | {min(owners[some])}
+    files = lambda: {f for f in spark.read.parquet(folder).inputFiles()}
+    of = lambda fs, p: {f for f in fs if f"part={p}/" in f}
+    before = files()
+    doomed = spark.createDataFrame([(j,) for j in gone] + [(None,), (999,)], "job_id bigint")
+    for _ in range(2):
+        tables.delete_rows(spark, folder, doomed, parts=16, spread=2)
+        left = tables.read_by_key(spark, folder)
+        assert left.filter(F.col("job_id").isin(list(gone))).count() == 0
+        assert left.count() == 4003 - 100 * len(gone)
+    after = files()
+    assert not of(after, whole)
+    hit = {whole, some, spark.range(1).select(F.pmod(F.xxhash64(F.lit(999).cast("bigint")), F.lit(16)).alias("p")).first()["p"]}
+    for p in set(owners) - hit:
+        assert of(after, p) == of(before, p)
+    with pytest.raises(ValueError, match="in place"):
+        tables.delete_artifacts(spark, folder, doomed, folder + "/")
+
+
+def test_replayed_batch_leaves_one_copy(spark, folder):
+    save = tables.split_sink(folder)
+    batch = spark.createDataFrame([(1, None), (2, "bad"), (3, None)], "id int, reason string")
+    save(batch, 0)
+    save(batch.limit(1), 1)
+    save(batch, 0)
+    got = spark.read.parquet(folder)
+    assert got.groupBy("kind").count().orderBy("kind").collect() == [("good", 3), ("quarantine", 1)]
+
+
 def test_paths_as_the_store_names_them():
     assert src.as_store_uri("s3a://b/k") == "s3://b/k"
     assert src.as_store_uri("file:/tmp/x") == src.as_store_uri("/tmp/x") == "file:///tmp/x"

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import jobs
+from ..sources import tables
 from . import views
 from .fixture_sql import over
 from .registry import query
+from .scratch import scratch_dir, written
 
 _LOG = """
 SELECT *, CASE WHEN status = 'failed' THEN concat('error ', event_id) END AS error,
@@ -169,28 +171,32 @@ _KEPT = f"SELECT job_id FROM ({_CURRENT}) WHERE status = 'failed'"
     over(
         "job_event ckpt artifact_l1",
         f"""
-SELECT 'events' AS kind, job_id, count(*) AS n FROM job_event WHERE job_id NOT IN ({_KEPT}) GROUP BY job_id
-UNION ALL SELECT 'checkpoints', job_id, count(*) FROM ckpt WHERE job_id NOT IN ({_KEPT}) GROUP BY job_id
-UNION ALL SELECT 'artifacts', job_id, count(*) FROM (SELECT saved_at % 500 AS job_id FROM artifact_l1)
-WHERE job_id NOT IN ({_KEPT}) GROUP BY job_id""",
+SELECT 'events' AS kind, job_id, CAST(event_id AS VARCHAR) AS item, status AS detail FROM job_event
+WHERE job_id NOT IN ({_KEPT})
+UNION ALL SELECT 'checkpoints', job_id, concat(tier, '/', filename), framework FROM ckpt
+WHERE job_id NOT IN ({_KEPT})
+UNION ALL SELECT 'artifacts', job_id, name, source FROM (
+  SELECT saved_at % 500 AS job_id, name, job_id AS source FROM artifact_l1)
+WHERE job_id NOT IN ({_KEPT})""",
     ),
 )
 def delete_jobs(spark, sf_dir):
-    artifacts = views.artifact_l1(spark, sf_dir).select((F.col("saved_at") % 500).alias("job_id"))
-    events, ckpt, artifacts = jobs.delete_jobs(
-        _doomed(spark, sf_dir),
-        views.job_event(spark, sf_dir),
-        views.ckpt(spark, sf_dir),
-        artifacts,
+    """Three tables are written, the doomed jobs are deleted from each, and what is left is read."""
+    events = views.job_event(spark, sf_dir).select(
+        "job_id", F.col("event_id").cast("string").alias("item"), F.col("status").alias("detail")
     )
-
-    def per_job(df, kind):
-        return df.groupBy("job_id").agg(F.count("*").alias("n")).select(
-            F.lit(kind).alias("kind"), "job_id", "n"
-        )
-
-    return (
-        per_job(events, "events")
-        .unionByName(per_job(ckpt, "checkpoints"))
-        .unionByName(per_job(artifacts, "artifacts"))
+    ckpt = views.ckpt(spark, sf_dir).select(
+        "job_id", F.concat_ws("/", "tier", "filename").alias("item"), F.col("framework").alias("detail")
+    )
+    artifacts = views.artifact_l1(spark, sf_dir).select(
+        (F.col("saved_at") % 500).alias("job_id"), F.col("name").alias("item"), F.col("job_id").alias("detail")
     )
+    doomed = written(_doomed(spark, sf_dir), "doomed")
+    left = []
+    for kind, rows in (("events", events), ("checkpoints", ckpt), ("artifacts", artifacts)):
+        path = scratch_dir(spark, kind)
+        tables.write_by_key(rows, path, parts=16, spread=2)
+        tables.delete_rows(spark, path, doomed, parts=16, spread=2)
+        kept = tables.read_by_key(spark, path)
+        left.append(kept.select(F.lit(kind).alias("kind"), "job_id", "item", "detail"))
+    return left[0].unionByName(left[1]).unionByName(left[2])

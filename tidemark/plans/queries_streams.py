@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import remote
 from ..functions.times import micros
+from ..operators import checkpoints as ck
 from ..operators import latency as lt
+from ..operators import leases as ls
 from ..operators.checkpoints import save_record
 from ..sources import control as ctl
 from ..sources import files, tables
@@ -295,3 +297,72 @@ def quota_stream(spark, sf_dir):
     ops = _staged(spark, views.buffer_op(spark, sf_dir), "ops")
     folded = stateful.quota_stream(ops).select("event_id", "key", "ok", "usage")
     return runs.run_to_table(folded, scratch_dir(spark, "quota"))
+
+
+@query(
+    "quarantine_stream",
+    over(
+        "lease device",
+        """
+SELECT lease_id, fraction_pm, CASE WHEN d.device_id IS NULL THEN 'device' WHEN NOT (fraction_pm BETWEEN 1 AND 1000)
+  THEN 'fraction' WHEN NOT duration_s > 0 THEN 'duration' END AS reason
+FROM (SELECT * REPLACE (lease_id % 9 AS device_id, CAST(fraction_pm * 2 AS INT) AS fraction_pm) FROM lease) l
+LEFT JOIN device d ON d.device_id = l.device_id""",
+    ),
+)
+def quarantine_stream(spark, sf_dir):
+    """Leases as a stream, validated; good rows and the others in tables of their own."""
+    asked = views.lease_of(views.stream(spark, sf_dir, "events")).withColumns(
+        {"device_id": F.col("lease_id") % 9, "fraction_pm": F.col("fraction_pm") * 2}
+    )
+    checked = ls.validate_leases(asked, views.device(spark, sf_dir))
+    path = scratch_dir(spark, "split")
+    tables.run_split_sink(checked, path)
+    tables.run_split_sink(checked, path)
+    good = tables.read_split(checked, path, "good")
+    return good.unionByName(tables.read_split(checked, path, "quarantine")).select(
+        "lease_id", "fraction_pm", "reason"
+    )
+
+
+@query(
+    "retain_files",
+    over(
+        "ckpt",
+        """
+SELECT CAST(job_id AS VARCHAR) AS job_id, tier, filename, step, CAST(bytes AS BIGINT) AS bytes,
+  concat('before ', total, ', removed ', 2 * gone) AS said
+FROM (SELECT job_id, tier, filename, step, CAST(length(framework) AS BIGINT) AS bytes, rn, count(*) OVER () AS total,
+  count(*) FILTER (rn > 5) OVER () AS gone
+  FROM (SELECT *, row_number() OVER (PARTITION BY job_id, tier ORDER BY ts DESC, step DESC, filename DESC) AS rn
+        FROM ckpt)) WHERE rn <= 5""",
+    ),
+)
+def retain_files(spark, sf_dir):
+    """Checkpoints as real files of two tiers: listed, all but five of each group removed, listed."""
+    path = scratch_dir(spark, "tiers")
+    name = F.concat_ws("/", "tier", "job_id", "filename")
+    saved = views.ckpt(spark, sf_dir).select(
+        name.alias("name"),
+        "framework",
+        F.lit(0).alias("epoch"),
+        "step",
+        F.col("job_id").cast("string").alias("job_id"),
+        micros("ts").cast("double").alias("created_at"),
+        F.create_map(F.lit("auto"), F.lit("true")).alias("extra"),
+    )
+    data = saved.select("name", F.col("framework").alias("content"))
+    sidecar = F.concat("name", F.lit(ck.SIDECAR_SUFFIX)).alias("name")
+    described = saved.select(sidecar, files.sidecar_text().alias("content"))
+    files.write_named_files(data.unionByName(described), path)
+    tiers = {tier: f"{path}/{tier}" for tier in ("L1", "L2")}
+
+    def listed():
+        sidecars, found = files.catalog(spark, tiers)
+        steps = sidecars.select("job_id", "tier", "filename", "step", F.col("created_at").alias("ts"))
+        return found.drop("ts").join(steps, ["job_id", "tier", "filename"])
+
+    plan = written(ck.retention(listed()), "plan")
+    removed = files.remove_files(plan.filter(F.col("action") == "remove"))
+    said = F.format_string("before %d, removed %d", F.lit(plan.count()), F.lit(2 * removed))
+    return listed().select("job_id", "tier", "filename", "step", "bytes", said.alias("said"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.artifacts import base_name
+from ..plans.scratch import written
+from .files import remove_files
 
 # Column titles of a result file.
 RESULT_COLUMNS = {
@@ -80,7 +85,9 @@ def compact_artifacts(
 def delete_artifacts(
     spark: SparkSession, path: str, doomed: DataFrame, target: str, saved_at: str = "bigint"
 ) -> None:
-    """Writes the artifacts of all but the ``doomed`` jobs to ``target``, partition by partition."""
+    """Writes the artifacts of all but the ``doomed`` jobs to ``target``, a folder of its own."""
+    if path.rstrip("/") == target.rstrip("/"):
+        raise ValueError("target is the folder that is read; delete_rows deletes in place")
     rows = read_artifacts(spark, path, saved_at)
     ids = doomed.select(F.col("job_id").cast("string").alias("job_id")).distinct()
     (
@@ -91,6 +98,88 @@ def delete_artifacts(
     )
 
 
+def _part(key: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+
+def write_by_key(
+    rows: DataFrame, path: str, key: str = "job_id", parts: int = 64, spread: int = 8
+) -> None:
+    """Appends rows to a table in ``parts`` folders by a hash of ``key``, for ``delete_rows``.
+
+    A folder is written by ``spread`` tasks, so that a busy key is not one task.
+    """
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(spread))
+    dealt = rows.withColumn("part", _part(key, parts)).repartition("part", salt)
+    dealt.write.mode("append").partitionBy("part").parquet(path)
+
+
+def delete_rows(
+    spark: SparkSession, path: str, doomed: DataFrame, key: str = "job_id", parts: int = 64, spread: int = 8
+) -> None:
+    """Deletes the rows of the ``doomed`` keys from a table of ``write_by_key``, in place.
+
+    Only folders that may hold such keys are read; each is replaced as a whole when the job
+    commits (dynamic partition overwrite), and one of which nothing is left loses its files.
+    All other folders keep theirs. Run again after a failure, it ends in the same state.
+    Rows without a key stay.
+    """
+    ids = doomed.select(key).filter(F.col(key).isNotNull()).distinct()
+    hit = [r["part"] for r in ids.select(_part(key, parts).alias("part")).distinct().collect()]
+    touched = spark.read.parquet(path).filter(F.col("part").isin(hit))
+    kept = touched.join(ids, key, "left_anti").select(*touched.columns)
+    filled = {r["part"] for r in kept.select("part").distinct().collect()}
+    emptied = touched.filter(~F.col("part").isin(sorted(filled)))
+    old = written(emptied.select(F.col("_metadata.file_path").alias("path")).distinct(), "emptied")
+    salt = F.pmod(F.xxhash64(*kept.columns), F.lit(spread))
+    (
+        kept.repartition("part", salt)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("part")
+        .parquet(path)
+    )
+    remove_files(old)
+
+
+def read_by_key(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("part")
+
+
+def split_sink(path: str, reason: str = "reason") -> Callable[[DataFrame, int], None]:
+    """The ``foreachBatch`` function that keeps good rows and rows with a ``reason`` apart.
+
+    A batch is one folder named by its id, written as a whole: a replayed batch replaces
+    itself and leaves one copy.
+    """
+    kind = F.when(F.col(reason).isNull(), "good").otherwise("quarantine")
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("kind", kind)
+        rows.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/batch_id={batch_id}")
+
+    return save
+
+
+def run_split_sink(stream: DataFrame, path: str, reason: str = "reason") -> None:
+    """Drains a validated stream into ``path``; called again, it goes on where it stopped."""
+    query = (
+        stream.writeStream.foreachBatch(split_sink(f"{path}/data", reason))
+        .option("checkpointLocation", f"{path}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
+def read_split(stream: DataFrame, path: str, kind: str) -> DataFrame:
+    """The ``good`` or the ``quarantine`` rows of ``run_split_sink``."""
+    fields = [*stream.schema.fields, T.StructField("batch_id", T.LongType())]
+    schema = T.StructType([*fields, T.StructField("kind", T.StringType())])
+    rows = stream.sparkSession.read.schema(schema).parquet(f"{path}/data")
+    return rows.filter(F.col("kind") == kind).drop("kind", "batch_id")
+
+
 def write_results_csv(results: DataFrame, path: str) -> None:
     """A header and one row per benchmark."""
     named = results.select(*[F.col(c).alias(title) for c, title in RESULT_COLUMNS.items()])
