@@ -50,6 +50,7 @@ def odd(spark):
     """The rows above with extra columns that use names the operators use inside."""
     docs = spark.createDataFrame(odd_rows(), SCHEMA)
     names = ["digest", "size", "mix", "kept", "node", "token", "component", "score", "label", "hash"]
+    names += ["__id", "__digest", "__again", "__toxicity", "__mix", "__mix_own", "__mix_source", "__copy"]
     return docs.withColumns({name: F.lit("own") for name in names})
 
 

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import written
+from .names import fresh
 
 #: The characters that do not count: [\x20\x09-\x0D].
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -260,24 +261,29 @@ def digest_of(text: str) -> Column:
 def drop_copies(
     docs: DataFrame, table_bytes: int = 24 << 20, bucket_bytes: int = 8 << 20
 ) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns as they are."""
+    """The rows of ``docs`` that stay, all columns as they are.
+
+    Of rows that repeat doc_id and text the first by the other columns stays.
+    """
     no_id = F.lit(_NO_ID)
+    own_id, own_digest, own_again = fresh(docs, "__id", "__digest", "__again")
     copies = (
         exact_groups(docs, table_bytes, bucket_bytes)
         .filter(~F.col("kept"))
-        .select(F.coalesce("doc_id", no_id).alias("__id"), F.col("digest").alias("__digest"))
+        .select(F.coalesce("doc_id", no_id).alias(own_id), F.col("digest").alias(own_digest))
         .distinct()
     )
     keyed = docs.withColumns(
         {
-            "__id": F.coalesce(F.col("doc_id").cast("bigint"), no_id),
-            "__digest": digest_of("text"),
+            own_id: F.coalesce(F.col("doc_id").cast("bigint"), no_id),
+            own_digest: digest_of("text"),
         }
     )
-    stay = keyed.join(copies, ["__id", "__digest"], "left_anti")
-    again = Window.partitionBy("__id", "__digest").orderBy("__id")
+    stay = keyed.join(copies, [own_id, own_digest], "left_anti")
+    others = [F.col(f"`{c}`") for c, kind in docs.dtypes if c != "text" and "map<" not in kind and kind != "variant"]
+    again = Window.partitionBy(own_id, own_digest).orderBy(own_id, *others)
     return (
-        stay.withColumn("__again", F.row_number().over(again))
-        .filter(F.col("__again") == 1)
+        stay.withColumn(own_again, F.row_number().over(again))
+        .filter(F.col(own_again) == 1)
         .select(*[F.col(f"`{c}`") for c in docs.columns])
     )

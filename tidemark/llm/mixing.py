@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import written
+from .names import fresh
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -94,21 +95,21 @@ def plan_mix(
     join is by source, and adaptive execution splits a hot one.
     """
     totals = docs.groupBy("source").agg(F.sum(word_count("text")).alias("source_size"))
+    of_source, goal = fresh(docs, "__mix_source", "__mix")
     targets = written(source_targets(totals, weights, most), "targets").select(
-        F.col("source").alias("__mix_source"), F.struct("source_size", "target").alias("__mix")
+        F.col("source").alias(of_source), F.struct("source_size", "target").alias(goal)
     )
-    rate = F.when(
-        F.col("__mix.source_size") > 0, F.col("__mix.target") / F.col("__mix.source_size")
-    ).otherwise(F.lit(0.0))
+    held, target = F.col(goal)["source_size"], F.col(goal)["target"]
+    rate = F.when(held > 0, target / held).otherwise(F.lit(0.0))
     whole = F.floor(rate)
     copies = whole + (draw("doc_id", seed) < rate - whole).cast("bigint")
-    joined = docs.join(targets, F.col("source").eqNullSafe(F.col("__mix_source")))
+    joined = docs.join(targets, F.col("source").eqNullSafe(F.col(of_source)))
     return joined.select(
         *[F.col(f"`{c}`") for c in docs.columns if c != "mix"],
         F.struct(
             word_count("text").alias("size"),
-            F.col("__mix.source_size"),
-            F.col("__mix.target"),
+            held.alias("source_size"),
+            target.alias("target"),
             copies.alias("copies"),
         ).alias("mix"),
     )
@@ -121,10 +122,11 @@ def mix(
     seed: str = "mix",
 ) -> DataFrame:
     """The mixture itself: each row of ``docs`` as often as its copies say."""
-    aside = docs.withColumnRenamed("mix", "__mix_own")
+    own, copy = fresh(docs, "__mix_own", "__copy")
+    aside = docs.withColumnRenamed("mix", own)
     planned = plan_mix(aside, weights, most, seed)
     repeated = planned.select(
         *[F.col(f"`{c}`") for c in aside.columns],
-        F.explode(F.array_repeat(F.lit(0), F.col("mix.copies").cast("int"))).alias("__copy"),
+        F.explode(F.array_repeat(F.lit(0), F.col("mix.copies").cast("int"))).alias(copy),
     )
-    return repeated.drop("__copy").withColumnRenamed("__mix_own", "mix")
+    return repeated.drop(copy).withColumnRenamed(own, "mix")

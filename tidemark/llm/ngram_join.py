@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 from ..plans.scratch import written
 from .bloom import filter_bits, filter_of, positions, test_bits
 from .components import components, near_labels
+from .names import fresh
 
 #: Documents to compare that may be broadcast (id, signature, partners): about 32 MB.
 BROADCAST_ROWS = 300_000
@@ -502,17 +503,33 @@ def near_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     mixed = written(mixed, "mixed-lists")
     open_tokens = (
         mixed.groupBy("token")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .agg(
+            F.min("component").alias("low"),
+            F.max("component").alias("high"),
+            F.count("*").alias("n"),
+            *[F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"h{seed}") for seed in (1, 2)],
+        )
         .filter("low < high")
-        .select("token")
+        .select("token", F.xxhash64("n", "h1", "h2").alias("list"))
+    )
+    # Lists of the same nodes, as the n-grams of one shared passage have, are scanned as one: a
+    # pair comes up once for all of them, at each node's first place in any.
+    open_lists = (
+        mixed.join(open_tokens, "token")
+        .groupBy("list", "node")
+        .agg(
+            F.min("pos").alias("pos"),
+            F.any_value("size").alias("size"),
+            F.any_value("component").alias("component"),
+        )
+        .join(bits.drop("size"), "node")
     )
-    open_lists = mixed.join(open_tokens, "token").join(bits.drop("size"), "node")
     open_lists = written(open_lists, "open-lists")
     across = (
         _side(open_lists, "x_")
         .join(
             _side(open_lists, "y_"),
-            (F.col("x_token") == F.col("y_token"))
+            (F.col("x_list") == F.col("y_list"))
             & (F.col("x_node") < F.col("y_node"))
             & (F.col("x_component") != F.col("y_component"))
             & _overlap_possible("x_", "y_", num, den)
@@ -537,10 +554,11 @@ def near_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
 
 def drop_near_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they are: one document of each group."""
+    (own,) = fresh(docs, "__id")
     dropped = (
         near_groups(docs, n, num, den)
         .filter("doc_id <> component_id")
-        .select(F.col("doc_id").alias("__id"))
+        .select(F.col("doc_id").alias(own))
         .distinct()
     )
-    return docs.join(dropped, F.col("doc_id").cast("bigint") == F.col("__id"), "left_anti")
+    return docs.join(dropped, F.col("doc_id").cast("bigint") == F.col(own), "left_anti")

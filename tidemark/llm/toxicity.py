@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import written
+from .names import fresh
 
 #: Words that address the reader, in the four languages of the corpus.
 SECOND_PERSON = frozenset(
@@ -408,5 +409,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that score below ``limit``, all columns as they are."""
-    scored = docs.withColumn("__toxicity", score_column(model))
-    return scored.filter(F.col("__toxicity") < limit).drop("__toxicity")
+    (own,) = fresh(docs, "__toxicity")
+    return docs.withColumn(own, score_column(model)).filter(F.col(own) < limit).drop(own)
