@@ -7,8 +7,8 @@ a heap giving the pair of lowest rank, leftmost first. Results of both are remem
 in a table of bounded size, as the same pre-tokens come again and again.
 
 Defined results. A null text counts as empty and has no ids. Any text can be encoded,
-as each single byte is a token; decoding gives the same bytes back. Very long texts are
-encoded piece by piece, cut where no pre-token can span. Ids outside the vocabulary
+as each single byte is a token; decoding gives the same bytes back. A text is split into its
+pre-tokens as a whole, so a very long one costs their memory. Ids outside the vocabulary
 make ``decode`` fail. Repeated rows give repeated results.
 """
 
@@ -225,6 +225,15 @@ class Codec:
 
 _ENCODED = "doc_id bigint, ids binary"
 
+#: Rows of a batch that are Python objects at one time.
+ROWS_AT_ONCE = 512
+
+
+def _in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
 
 def _shared_codec(spark, path: str, pattern: str):
     """One codec per Python worker: the vocabulary is fixed and small (about 2 MB)."""
@@ -237,7 +246,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared.value
-        for batch in batches:
+        for batch in _in_parts(batches):
             ids = codec.encode_batch(batch.column(1).to_pylist())
             yield pa.record_batch(
                 {"doc_id": batch.column(0), "ids": pa.array(ids, pa.binary())}
@@ -252,7 +261,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared.value
-        for batch in batches:
+        for batch in _in_parts(batches):
             texts = [codec.decode(i or b"") for i in batch.column(1).to_pylist()]
             yield pa.record_batch(
                 {"doc_id": batch.column(0), "decoded": pa.array(texts, pa.binary())}
@@ -269,7 +278,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared.value
-        for batch in batches:
+        for batch in _in_parts(batches):
             ids = codec.encode_batch(batch.column(1).to_pylist())
             yield pa.record_batch(
                 {
