@@ -7,8 +7,9 @@ similarity of their sets is at least ``num / den``.
 * Small (light) sets enumerate all their subsets of the fixed size that a link with a
   partner of a given size must share; sets that share such a subset are candidates.
 * Large (heavy) sets are found through inverted lists: a set's n-grams are put in one
-  global order, rare ones first, and only those up to where a link is still possible are
-  listed. Positions in that order bound the overlap.
+  global order, rare ones first by a sketch that counts all n-grams of all documents, and
+  only those up to where a link is still possible are listed. Positions in that order
+  bound the overlap.
 * The boundary between the two is the size at which the estimated cost, subsets
   enumerated against lists scanned, is smallest. Near it, small sets are listed as well,
   so that pairs across the boundary are found.
@@ -47,16 +48,14 @@ from ..plans.scratch import written
 from .bloom import filter_bits, filter_of, positions, test_bits
 from .components import components, near_labels
 from .names import fresh
+from .sketch import Counts, estimates, merged
 
-#: Documents to compare that may be broadcast (id, signature, partners): about 32 MB.
-BROADCAST_ROWS = 300_000
+#: Bytes of the documents to compare (id, signature, partners) that may be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 #: Members compared with one leader by one task.
 PER_TASK = 100
 
-#: Frequent n-grams known by count: 2 MB. More of them only order lists less well.
-FREQUENT = 1 << 17
-
 _LOW64 = (1 << 64) - 1
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -133,13 +132,17 @@ def subset_keys(members: list[int], most: int, num: int, den: int) -> list[int]:
     return keys
 
 
+#: Parity bits that are columns, 64 each, so that a join's condition can read them.
+_BITS = tuple(f"b{i}" for i in range(16))
+
+
 def parity_bits(members: np.ndarray) -> tuple[bytes, list[int]]:
-    """Which bits an odd number of members fall on: in all, and folded to 256 bits."""
-    bits = 256
+    """Which bits an odd number of members fall on: in all, and folded to those of columns."""
+    bits = 64 * len(_BITS)
     while bits < 1.2 * len(members) and bits < 1 << 15:
         bits *= 2
     odd = (np.bincount((members >> 20) & (bits - 1), minlength=bits) & 1).astype(np.uint8)
-    folded = np.bitwise_xor.reduce(odd.reshape(-1, 256), axis=0)
+    folded = np.bitwise_xor.reduce(odd.reshape(-1, 64 * len(_BITS)), axis=0)
     return np.packbits(odd).tobytes(), np.packbits(folded).view(np.int64).tolist()
 
 
@@ -155,19 +158,27 @@ def least_difference(a: bytes, b: bytes) -> int:
 #: Sizes whose numbers of sets are counted one by one, for the boundary.
 _SMALL = 40
 
-_STATISTICS = "kind int, key bigint, count bigint"
+_STATISTICS = "kind int, key bigint, count bigint, counts binary"
 
 
-def _statistics(docs: DataFrame, n: int, at_once: int = 1 << 21, listed: int = 1 << 13):
-    """Frequent n-grams, numbers of small sets, and n-grams in all and distinct ones.
+def _statistics(docs: DataFrame, n: int, at_once: int = 1 << 21):
+    """A sketch of all n-grams' counts, numbers of small sets, and the mean list length.
 
-    Each task counts n-grams over about two million at a time and reports the most
-    frequent; sums of these reports order the lists.
+    Each task counts its n-grams, about two million at a time, into a sketch of a fixed
+    size; the sum of all sketches orders the lists.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, size = WordHashes(), [], 0
         sizes = np.zeros(_SMALL + 1, np.int64)
+        whole = np.zeros(2, np.int64)
+        sketch = Counts()
+
+        def enter() -> None:
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            sketch.add(keys, counts)
+            whole[:] += counts.sum(), len(counts)
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 members = shingles(text, n, words)
@@ -176,74 +187,63 @@ def _statistics(docs: DataFrame, n: int, at_once: int = 1 << 21, listed: int = 1
                 held.append(members)
                 size += len(members)
                 if size >= at_once:
-                    yield report(held)
+                    enter()
                     held, size = [], 0
         if held:
-            yield report(held)
-        at = np.arange(1, _SMALL + 1)
-        yield rows(1, at, sizes[1:])
+            enter()
+        yield rows(1, range(1, _SMALL + 1), sizes[1:].tolist())
+        yield rows(2, range(2), whole.tolist())
+        for segment, counts in sketch.segments():
+            yield rows(0, [segment], [0], counts)
 
-    def rows(kind: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    def rows(kind: int, keys, counts: list[int], packed: bytes | None = None) -> pa.RecordBatch:
         return pa.record_batch(
             {
-                "kind": pa.array(np.full(len(keys), kind), pa.int32()),
+                "kind": pa.array([kind] * len(counts), pa.int32()),
                 "key": pa.array(keys, pa.int64()),
                 "count": pa.array(counts, pa.int64()),
+                "counts": pa.array([packed] * len(counts), pa.binary()),
             }
         )
 
-    def report(held: list[np.ndarray]) -> pa.RecordBatch:
-        keys, counts = np.unique(np.concatenate(held), return_counts=True)
-        often = np.flatnonzero(counts >= 4)
-        if len(often) > listed:
-            often = often[np.argpartition(counts[often], -listed)[-listed:]]
-        whole = rows(2, np.array([0, 1]), np.array([counts.sum(), len(counts)]))
-        return pa.concat_batches([rows(0, keys[often], counts[often]), whole])
-
-    counted = written(
-        docs.select("text").mapInArrow(run, _STATISTICS).groupBy("kind", "key").agg(
-            F.sum("count").alias("count")
-        ),
-        "ngram-counts",
-    )
-    frequent = (
-        counted.filter("kind = 0").orderBy(F.col("count").desc(), "key").limit(FREQUENT).toArrow()
+    counted = written(docs.select("text").mapInArrow(run, _STATISTICS), "ngram-counts")
+    of_cells = merged(
+        counted.filter("kind = 0").select(F.col("key").cast("int").alias("segment"), "counts")
     )
-    rest = {(r["kind"], r["key"]): r["count"] for r in counted.filter("kind > 0").collect()}
-    keys, counts = (frequent.column(c).to_numpy() for c in ("key", "count"))
-    order = np.argsort(keys)
+    sums = counted.filter("kind > 0").groupBy("kind", "key").agg(F.sum("count").alias("count"))
+    rest = {(r["kind"], r["key"]): r["count"] for r in sums.collect()}
     sizes = {k: c for (kind, k), c in rest.items() if kind == 1 and c}
     list_length = rest.get((2, 0), 1) / max(1, rest.get((2, 1), 1))
-    return keys[order], counts[order], sizes, list_length
+    return of_cells, sizes, list_length
 
 
 _PREPARED = (
     "doc_id bigint, size int, sig binary, first boolean, scan array<bigint>, "
-    "subsets array<bigint>, parity binary, b0 bigint, b1 bigint, b2 bigint, b3 bigint"
+    "subsets array<bigint>, parity binary, " + ", ".join(f"{bits} bigint" for bits in _BITS)
 )
 
 
 def _prepare(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Per document its size and signature; per signature of a task its lists and bits."""
-    keys, counts, sizes, list_length = _statistics(docs, n)
+    of_cells, sizes, list_length = _statistics(docs, n)
     most = boundary(sizes, list_length, num, den)
-    shared = docs.sparkSession.sparkContext.broadcast((keys, counts))
+    shared = docs.sparkSession.sparkContext.broadcast(of_cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, often = shared.value
+        counts = shared.value
         words, seen = WordHashes(), set()
         for batch in batches:
-            columns: list[list] = [[] for _ in range(11)]
+            columns: list[list] = [[] for _ in range(7 + len(_BITS))]
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 members = shingles(text, n, words)
                 size = len(members)
                 sig = xxhash.xxh3_128_digest(members.tobytes()) if size else None
-                row = [doc_id, size, sig, False, *[None] * 7]
+                row = [doc_id, size, sig, False, *[None] * (3 + len(_BITS))]
                 if sig is not None and doc_id is not None and sig not in seen:
                     seen.add(sig)
                     scan, subsets = [], []
                     if size > most or size * den // num > most:
-                        scan = rare_first(members, frequent, often)[
+                        scan = rare_first(members, counts)[
                             : size - needed(size, num, den) + 1
                         ].tolist()
                     if size <= most:
@@ -253,7 +253,7 @@ def _prepare(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 for column, value in zip(columns, row):
                     column.append(value)
             kinds = [pa.int64(), pa.int32(), pa.binary(), pa.bool_()]
-            kinds += [pa.list_(pa.int64())] * 2 + [pa.binary()] + [pa.int64()] * 4
+            kinds += [pa.list_(pa.int64())] * 2 + [pa.binary()] + [pa.int64()] * len(_BITS)
             names = [c.split()[0] for c in _PREPARED.split(", ")]
             yield pa.record_batch(
                 [pa.array(c, k) for c, k in zip(columns, kinds)], names=names
@@ -262,18 +262,16 @@ def _prepare(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return written(docs.mapInArrow(run, _PREPARED), "ngram-sets")
 
 
-def rare_first(members: np.ndarray, frequent: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """The global order: by known count (none: 0), then by hash."""
-    if not len(frequent):
-        return members
-    at = np.minimum(np.searchsorted(frequent, members), len(frequent) - 1)
-    count = np.where(frequent[at] == members, often[at], 0)
-    return members[np.lexsort((members, count))]
+def rare_first(members: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The global order: by the sketch's count, then by hash."""
+    return members[np.lexsort((members, estimates(counts, members)))]
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """To be broadcast if it has few rows; beyond that Spark joins by shuffling."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _bounded(wanted: DataFrame) -> DataFrame:
+    """To be broadcast if it is small, partners included; else Spark joins by shuffling."""
+    row = F.lit(64) + 32 * F.size("where")
+    total = wanted.agg(F.sum(row)).first()[0] or 0
+    return F.broadcast(wanted) if total <= BROADCAST_BYTES else wanted
 
 
 def _close_enough(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -436,7 +434,7 @@ def _difference_possible(left: str, right: str, num: int, den: int) -> Column:
     """Whether the parity bits leave room for a link."""
     size = F.col(f"{left}size") + F.col(f"{right}size")
     apart = sum(
-        (F.bit_count(F.col(f"{left}b{i}").bitwiseXOR(F.col(f"{right}b{i}"))) for i in range(4)),
+        (F.bit_count(F.col(f"{left}{b}").bitwiseXOR(F.col(f"{right}{b}"))) for b in _BITS),
         F.lit(0),
     )
     return apart * (num + den) <= size * (den - num)
@@ -446,9 +444,6 @@ def _side(df: DataFrame, side: str) -> DataFrame:
     return df.select(*[F.col(c).alias(side + c) for c in df.columns])
 
 
-_BITS = ("b0", "b1", "b2", "b3")
-
-
 def near_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, n_shingles and component_id."""
     rows = docs.select(
