@@ -172,6 +172,33 @@ def test_quota_in_parallel_equals_in_order(spark, limit):
     assert got == want
 
 
+@pytest.mark.parametrize("lived, rounds", [(8, 1), (400, 2), (400, 30)])
+def test_quota_of_full_keys_by_blocks(spark, lived, rounds):
+    """One key holds most rows and is at its limit from early on; null is a key too."""
+    rng = random.Random(lived)
+    rows = []
+    for i in range(900):
+        key = None if i % 9 == 0 else 1
+        if rng.random() < 0.5 and i > lived:
+            rows.append((key, "release", rng.randint(i - lived, i), 0))
+        else:
+            rows.append((key, "track", i if rng.random() < 0.97 else None, rng.randint(1, 30)))
+    df = ops(spark, *rows, limit=60).repartition(5)
+    folded = quota.quota_fold(df, block_rows=60, rounds=rounds)
+    got = [(r["ok"], r["usage"]) for r in folded.orderBy("event_id").collect()]
+    ledgers = defaultdict(quota.Ledger)
+    want = [(ledgers[k].apply(op, b, size, 60), ledgers[k].usage) for k, op, b, size in rows]
+    assert got == want and {ok for ok, _ in got} == {True, False}
+
+
+def test_quota_blocks_settle_where_buffers_live_shortly(spark):
+    rows = [(1, *(("track", i // 2, 40) if i % 2 == 0 else ("release", i // 2, 0))) for i in range(600)]
+    rows[100:100] = [(1, "track", -1, 50), (1, "track", -2, 50), (1, "release", -1, 0), (1, "release", -2, 0)]
+    df = ops(spark, *rows, limit=60).withColumn("__block", (F.col("event_id") / 50).cast("int"))
+    seams = quota._seams(df, "key", ("ts", "event_id"), 3).orderBy("__block").collect()
+    assert [r["__block"] for r in seams] == [r["__with"] for r in seams] == list(range(13))
+
+
 def events(spark, *rows):
     return spark.createDataFrame([(i, j, at(t), s) for i, (j, t, s) in enumerate(rows)], "event_id bigint, job_id bigint, ts timestamp_ntz, status string")
 
