@@ -227,8 +227,8 @@ def current_records(records: DataFrame) -> DataFrame:
     return _best_per(records, ["job_id", "epoch", "step", "framework"], [F.col("ts"), F.col("event_id")])
 
 
-def job_metadata(files: DataFrame) -> DataFrame:
-    """Last checkpoint and its paths per job; created is the first save, updated the last.
+def metadata_state(files: DataFrame) -> DataFrame:
+    """One row per job with all that ``job_metadata`` shows, in a form that merges.
 
     ``checkpoint_id``, ``epoch`` and ``machine`` are taken from the files' own columns; without
     the first the id is the file name before its first dot, without the others they are
@@ -244,31 +244,44 @@ def job_metadata(files: DataFrame) -> DataFrame:
     last = F.struct("ts", "step", "filename", ident, epoch, machine)
     path = _stored_path()
     in_tier = [F.when(F.col("tier") == t, F.struct(last.alias("at"), path.alias("path"))) for t in ("L1", "L2")]
-    return (
-        files.groupBy("job_id")
-        .agg(
-            F.max(last).alias("__last"),
-            F.min("ts").alias("created_at"),
-            F.max("ts").alias("updated_at"),
-            F.max(in_tier[0]).alias("__local"),
-            F.max(in_tier[1]).alias("__shared"),
-        )
-        .select(
-            "job_id",
-            F.lit("running").alias("status"),
-            F.col("__last.checkpoint_id").alias("last_checkpoint"),
-            F.col("__last.epoch").alias("last_epoch"),
-            F.col("__last.step").alias("last_step"),
-            F.col("__last.machine").alias("current_machine"),
-            F.struct(
-                F.col("__local.path").alias("local"), F.col("__shared.path").alias("s3")
-            ).alias("checkpoint_paths"),
-            "created_at",
-            "updated_at",
-        )
+    return files.groupBy("job_id").agg(
+        F.max(last).alias("last"),
+        F.min("ts").alias("created_at"),
+        F.max("ts").alias("updated_at"),
+        F.max(in_tier[0]).alias("local"),
+        F.max(in_tier[1]).alias("shared"),
     )
 
 
+def merge_metadata(states: DataFrame, *by: str) -> DataFrame:
+    """States of the same job as one; the order and repeats of what is merged do not matter."""
+    newest = [F.max(c).alias(c) for c in ("last", "updated_at", "local", "shared")]
+    return states.groupBy("job_id", *by).agg(F.min("created_at").alias("created_at"), *newest)
+
+
+def show_metadata(states: DataFrame) -> DataFrame:
+    """What a reader sees of a job's state."""
+    return states.select(
+        "job_id",
+        F.lit("running").alias("status"),
+        F.col("last.checkpoint_id").alias("last_checkpoint"),
+        F.col("last.epoch").alias("last_epoch"),
+        F.col("last.step").alias("last_step"),
+        F.col("last.machine").alias("current_machine"),
+        F.struct(F.col("local.path").alias("local"), F.col("shared.path").alias("s3")).alias("checkpoint_paths"),
+        "created_at",
+        "updated_at",
+    )
+
+
+def job_metadata(files: DataFrame) -> DataFrame:
+    """Last checkpoint and its paths per job; created is the first save, updated the last.
+
+    The columns used are those of ``metadata_state``.
+    """
+    return show_metadata(metadata_state(files))
+
+
 def retention(
     files: DataFrame,
     keep_last: int = 5,

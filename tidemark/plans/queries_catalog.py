@@ -191,11 +191,7 @@ def current_records(spark, sf_dir):
     return ck.current_records(rows)
 
 
-@query(
-    "job_metadata",
-    over(
-        "ckpt",
-        """
+_METADATA = """
 SELECT job_id, 'running' AS status, last_checkpoint, last_epoch, last_step, current_machine, local, s3, created_at, updated_at FROM (
   SELECT job_id, arg_max(concat('ckpt_0_', step), (ts, step, filename)) AS last_checkpoint,
     CAST(arg_max(step % 3, (ts, step, filename)) AS INT) AS last_epoch,
@@ -204,8 +200,12 @@ SELECT job_id, 'running' AS status, last_checkpoint, last_epoch, last_step, curr
     arg_max(concat('checkpoints/', job_id, '/', filename), (ts, step, filename)) FILTER (tier = 'L1') AS local,
     arg_max(concat('checkpoints/', job_id, '/', filename), (ts, step, filename)) FILTER (tier = 'L2') AS s3,
     min(ts) AS created_at, max(ts) AS updated_at
-  FROM ckpt GROUP BY job_id)""",
-    ),
+  FROM ckpt GROUP BY job_id)"""
+
+
+@query(
+    "job_metadata",
+    over("ckpt", _METADATA),
 )
 def job_metadata(spark, sf_dir):
     files = _files(spark, sf_dir).withColumns(

@@ -12,11 +12,11 @@ from ..operators import leases as ls
 from ..operators.checkpoints import save_record
 from ..sources import control as ctl
 from ..sources import files, tables
-from ..streaming import dedupe, expiry, runs, stateful
+from ..streaming import dedupe, expiry, live, metadata, runs, stateful
 from . import views
 from .fixture_sql import over
 from .queries_functions import _count_or_fail, _join_counts
-from .queries_catalog import _CADENCE
+from .queries_catalog import _CADENCE, _METADATA
 from .queries_leases import _QUOTA
 from .queries_report import _STATS, _rounded
 from .registry import query
@@ -259,6 +259,83 @@ def cooperative_pause(spark, sf_dir):
     )
 
 
+class PausingAt:
+    """Counts the batches it sees and has the run paused while one of them is at work."""
+
+    def __init__(self, control, batch):
+        self.control = control
+        self.left = batch
+
+    def __call__(self, batch):
+        self.left -= 1
+        if self.left == 0:
+            self.control.pause()
+        return _cents(batch)
+
+
+@query(
+    "pause_between_batches",
+    """
+SELECT 'paused' AS first_status, 2 AS first_batches, 'completed' AS second_status, 4 AS batches, event_type,
+  count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY event_type""",
+)
+def pause_between_batches(spark, sf_dir):
+    """The control record asks for a pause while the second of four batches is at work."""
+    path = scratch_dir(spark, "run")
+    control = ctl.Control(spark, f"{path}/control")
+    source = _staged(spark, views.table(spark, sf_dir, "events"), "events")
+    first = runs.resumable_run(source, path, PausingAt(control, 2), control)
+    control.resume()
+    second = runs.resumable_run(source, path, _cents, control)
+    totals = runs.output(spark, path).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
+    return totals.select(
+        F.lit(first.status).alias("first_status"),
+        F.lit(first.checkpoint["batches"]).cast("int").alias("first_batches"),
+        F.lit(second.status).alias("second_status"),
+        F.lit(second.checkpoint["batches"]).cast("int").alias("batches"),
+        "*",
+    )
+
+
+@query(
+    "live_progress",
+    """
+SELECT CAST(2 AS BIGINT) AS live_at_stop, CAST(4 AS BIGINT) AS batches, count(*) AS rows_saved, count(*) AS rows_live,
+  CAST(0 AS BIGINT) AS unlike FROM events""",
+)
+def live_progress(spark, sf_dir):
+    """What Spark reported of each batch beside what was saved with it, over a stop in mid-run."""
+    path = scratch_dir(spark, "run")
+    source = _staged(spark, views.table(spark, sf_dir, "events"), "events")
+    runs.resumable_run(source, path, _cents, PauseAfter(2))
+    at_stop = live.live_progress(spark, f"{path}/live").count()
+    runs.resumable_run(source, path, _cents)
+    saved = runs.progress(spark, path).select("batch_id", F.col("rows").alias("saved"))
+    seen = live.live_progress(spark, f"{path}/live").select("batch_id", F.col("rows").alias("seen"))
+    return saved.join(seen, "batch_id", "full").agg(
+        F.lit(at_stop).cast("bigint").alias("live_at_stop"),
+        F.count("*").alias("batches"),
+        F.sum("saved").alias("rows_saved"),
+        F.sum("seen").alias("rows_live"),
+        F.count_if(~F.col("saved").eqNullSafe(F.col("seen"))).alias("unlike"),
+    )
+
+
+@query("job_metadata_stream", over("ckpt", _METADATA))
+def job_metadata_stream(spark, sf_dir):
+    """Checkpoints in four batches, each merged into the stored record of its jobs."""
+    saved = views.ckpt(spark, sf_dir).select("job_id", "tier", "filename", "step", "ts")
+    saved = saved.withColumns(
+        {"epoch": F.col("step") % 3, "machine": F.concat(F.lit("machine"), F.col("step") % 4)}
+    )
+    path = scratch_dir(spark, "metadata")
+    source = _staged(spark, saved, "saves")
+    metadata.run_job_metadata(source, path)
+    metadata.run_job_metadata(source, path)
+    shown = metadata.read_job_metadata(spark, f"{path}/data")
+    return shown.select("*", "checkpoint_paths.*").drop("checkpoint_paths")
+
+
 @query("dedupe_submissions_stream", over("submission", "SELECT DISTINCT job_id FROM submission"))
 def dedupe_submissions_stream(spark, sf_dir):
     rows = views.submission_of(views.stream(spark, sf_dir, "events"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.control import Control
+from .live import LiveProgress
 
 
 class Paused(Exception):
@@ -56,7 +57,9 @@ def resumable_run(
     """Runs ``source`` to its end, or to a pause; calling it again goes on from there.
 
     The control flag is looked at before each batch: when set, the batch is left
-    untouched for the next start and all earlier ones are committed.
+    untouched for the next start and all earlier ones are committed. Beside the progress saved
+    with each batch, ``live`` below ``run_dir`` has what Spark reports of a batch once it is
+    committed.
     """
     spark = source.sparkSession
     paused = []
@@ -75,14 +78,16 @@ def resumable_run(
         )
         done.write.mode("overwrite").parquet(f"{run_dir}/progress/batch_id={batch_id}")
 
-    query = (
-        source.writeStream.foreachBatch(save)
-        .option("checkpointLocation", f"{run_dir}/state")
-        .trigger(availableNow=True)
-        .start()
-    )
     try:
-        query.awaitTermination()
+        with LiveProgress(spark, f"{run_dir}/live") as live:
+            query = (
+                source.writeStream.foreachBatch(save)
+                .queryName(live.name)
+                .option("checkpointLocation", f"{run_dir}/state")
+                .trigger(availableNow=True)
+                .start()
+            )
+            query.awaitTermination()
     except StreamingQueryException:
         if not paused:
             raise
