@@ -7,9 +7,9 @@ a heap giving the pair of lowest rank, leftmost first. Results of both are remem
 in a table of bounded size, as the same pre-tokens come again and again.
 
 Defined results. A null text counts as empty and has no ids. Any text can be encoded,
-as each single byte is a token; decoding gives the same bytes back. A text is split into its
-pre-tokens as a whole, so a very long one costs their memory. Ids outside the vocabulary
-make ``decode`` fail. Repeated rows give repeated results.
+as each single byte is a token; decoding gives the same bytes back. A text of more than
+``PIECES_AT_ONCE`` pre-tokens is encoded group after group, so a very long one costs its ids and
+one group. Ids outside the vocabulary make ``decode`` fail. Repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import hashlib
 import re
 from collections.abc import Iterator, Mapping
 from heapq import heapify, heappop, heappush
+from itertools import islice
 from struct import pack
 
 import numpy as np
@@ -31,6 +32,9 @@ from pyspark.sql import functions as F
 #: Entries of the table of remembered pre-tokens in one Python worker.
 REMEMBERED = 250_000
 
+#: Pre-tokens of a text that are Python objects at one time.
+PIECES_AT_ONCE = 32_768
+
 _LOW64 = (1 << 64) - 1
 _SHIFT = 0x9E3779B97F4A7C15
 _MIX = 0xD6E8FEB86659FD93
@@ -170,18 +174,21 @@ class Codec:
             self.bytes_of[rank] = token
         self.hash = PerfectHash(self.tokens)
         self.pattern = pattern
-        self._split = self._split_ascii = None
+        self._pattern = self._ascii_pattern = None
         self._known: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
 
     def __getstate__(self):
-        return {**self.__dict__, "_split": None, "_split_ascii": None, "_known": {}, "_older": {}}
+        return {**self.__dict__, "_pattern": None, "_ascii_pattern": None, "_known": {}, "_older": {}}
+
+    def _pattern_for(self, text: str):
+        if self._pattern is None:
+            self._pattern = regex.compile(self.pattern)
+            self._ascii_pattern = re.compile(ascii_pattern(self.pattern))
+        return self._ascii_pattern if text.isascii() else self._pattern
 
     def split(self, text: str) -> list[str]:
-        if self._split is None:
-            self._split = regex.compile(self.pattern).findall
-            self._split_ascii = re.compile(ascii_pattern(self.pattern)).findall
-        return self._split_ascii(text) if text.isascii() else self._split(text)
+        return self._pattern_for(text).findall(text)
 
     def resolve(self, pieces: list[str]) -> dict[str, bytes]:
         """Packed ids of distinct pre-tokens: perfect hash first, merges for the rest."""
@@ -208,15 +215,25 @@ class Codec:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed as little-endian unsigned 32-bit integers."""
-        out = []
-        for text in texts:
-            pieces = self.split(text)
-            try:
-                out.append(b"".join(map(self._known.__getitem__, pieces)))
-            except KeyError:
-                self._learn(pieces)
-                out.append(b"".join(map(self._known.__getitem__, pieces)))
-        return out
+        return [
+            self._encode(self.split(text))
+            if len(text) <= PIECES_AT_ONCE
+            else b"".join(map(self._encode, self._groups(text)))
+            for text in texts
+        ]
+
+    def _groups(self, text: str) -> Iterator[list[str]]:
+        """The pre-tokens of a long text, at most ``PIECES_AT_ONCE`` at a time."""
+        pieces = (m[0] for m in self._pattern_for(text).finditer(text))
+        while group := list(islice(pieces, PIECES_AT_ONCE)):
+            yield group
+
+    def _encode(self, pieces: list[str]) -> bytes:
+        try:
+            return b"".join(map(self._known.__getitem__, pieces))
+        except KeyError:
+            self._learn(pieces)
+            return b"".join(map(self._known.__getitem__, pieces))
 
     def decode(self, packed: bytes) -> bytes:
         ids = np.frombuffer(packed, "<u4").tolist()
