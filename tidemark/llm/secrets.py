@@ -72,12 +72,26 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     return sorted(spans, key=lambda s: (s[1], BASE.index(s[0])))
 
 
-def candidates(text: str, spans: list[tuple], run: re.Pattern) -> list[tuple[int, int, str]]:
-    """Runs of credential characters that no base span touches."""
-    found = []
+def candidates(
+    text: str, spans: list[tuple], run: re.Pattern, min_chars: int = 20
+) -> list[tuple[int, int, str]]:
+    """Runs of credential characters, without what base spans take of them.
+
+    What is left before, between and after base spans is a candidate of its own if it still
+    has ``min_chars``. ``spans`` come in order of start; runs and spans are walked once.
+    """
+    found, following, covered = [], 0, 0
     for m in run.finditer(text):
-        if not any(s[1] < m.end() and m.start() < s[2] for s in spans):
-            found.append((m.start(), m.end(), m[0]))
+        start = max(m.start(), covered)
+        while following < len(spans) and spans[following][1] < m.end():
+            _, first, last, _ = spans[following]
+            if first - start >= min_chars:
+                found.append((start, first, text[start:first]))
+            covered = max(covered, last)
+            start = max(start, covered)
+            following += 1
+        if m.end() - start >= min_chars:
+            found.append((start, m.end(), text[start : m.end()]))
     return found
 
 
@@ -238,7 +252,7 @@ def find(docs: DataFrame, min_chars: int = 20) -> DataFrame:
             spans, others, words = [], [], []
             for text in batch.column(1).to_pylist():
                 spans.append(base_spans(text))
-                others.append(candidates(text, spans[-1], long_run))
+                others.append(candidates(text, spans[-1], long_run, min_chars))
                 words += ordinary_words(text)
                 if len(words) > _AT_ONCE:
                     pairs += pair_counts(words)
