@@ -1,11 +1,12 @@
 """Token counts: batches through a sentencepiece model that return lengths only.
 
 Within an Arrow batch the texts are ordered by bytes and dealt into calls of about
-``call_bytes`` each, so no call holds many long texts. Texts of more than ``piece_bytes``
-are cut at safe boundaries: a single space between two letters, digits or marks, where
-the model's own word mark begins and no entry of its vocabulary reaches across. Cut
-there, the parts' counts add up to the whole's, as the model puts the word mark before
-each part again. A vocabulary with an entry that reaches across is not cut at all.
+``call_bytes`` of UTF-8 each, so no call holds many long texts. Texts of more than
+``piece_chars`` are cut at safe boundaries: a single space after an ASCII letter, digit, comma
+or full stop and before an ASCII letter or digit, where the model's own word mark begins and
+no entry of its vocabulary reaches across. Cut there, the parts' counts add up to the whole's,
+as the model puts the word mark before each part again. A vocabulary with an entry that
+reaches across, or a model that puts no mark before a text, is not cut at all.
 
 Defined results. A null text counts as empty and has 0 bytes and 0 tokens. A very long
 text without a safe boundary is encoded as it is. Repeated rows give repeated results.
@@ -67,7 +68,8 @@ def token_counts(
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        whole = crosses_words([model.id_to_piece(i) for i in range(model.get_piece_size())])
+        crosses = crosses_words([model.id_to_piece(i) for i in range(model.get_piece_size())])
+        whole = crosses or not model.encode("a", out_type=str)[0].startswith(_MARK)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             parts, owner = [], []
@@ -76,7 +78,7 @@ def token_counts(
                 parts += mine
                 owner += [i] * len(mine)
             counts = [0] * len(texts)
-            for call in calls_of([len(p) for p in parts], call_bytes):
+            for call in calls_of([len(p.encode()) for p in parts], call_bytes):
                 encoded = model.encode([parts[i] for i in call], num_threads=1)
                 for i, ids in zip(call, encoded):
                     counts[owner[i]] += len(ids)
