@@ -20,6 +20,7 @@ from typing import Any
 import pandas as pd
 from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Partial results a task holds per key, and keys it holds, before it merges or lets go.
@@ -177,7 +178,8 @@ def capture_outcomes(
     """One outcome row per key: status, error, traceback, result (JSON).
 
     An exception fails its own key and no other. With ``merge``, ``func`` gets a frame that
-    is a slice of a key, and ``merge`` the list of results. Without it ``func`` gets an
+    is a slice of a key, and ``merge`` the list of results; rows are dealt out in the order of
+    their keys, so that a key which fits a batch is mostly one call. Without it ``func`` gets an
     iterator over the frames of its key, of which one at a time is in memory, and the
     outcome is told once it returns; frames it leaves are passed over.
     """
@@ -185,38 +187,74 @@ def capture_outcomes(
     key_fields = [df.schema[c] for c in by]
     schema = T.StructType([*key_fields, *_OUTCOME])
 
-    def attempt(key: Sequence[Any], work: Callable[[], Any]) -> Frame:
+    def attempt(key: Sequence[Any], work: Callable[[], Any]) -> tuple:
         try:
             found = ("completed", None, None, json.dumps(work(), default=str))
         except Exception as e:  # the outcome row carries it
             found = ("failed", f"{type(e).__name__}: {e}", tb.format_exc(), None)
-        row = {c: [None if pd.isna(v) else v] for c, v in zip(by, key)}
-        row.update({f.name: [v] for f, v in zip(_OUTCOME, found)})
-        return pd.DataFrame(row)
+        return (*[None if pd.isna(v) else v for v in key], *found)
+
+    def frame_of(rows: list[tuple]) -> Frame:
+        return pd.DataFrame(rows, columns=schema.names, dtype=object)
 
     def key_of(frame: Frame) -> list[Any]:
         return [frame[c].iloc[0] for c in by]
 
-    def one(frame: Frame) -> Frame:
-        return attempt(key_of(frame), lambda: func(frame))
-
     def stream(key: tuple[Any, ...], frames: Iterator[Frame]) -> Iterator[Frame]:
-        yield attempt(key, lambda: func(frames))
+        yield frame_of([attempt(key, lambda: func(frames))])
         for _ in frames:
             pass
 
     if merge is None:
         return df.groupBy(*by).applyInPandas(stream, schema)
 
+    def slices(batches: Iterator[Frame]) -> Iterator[Frame]:
+        for batch in batches:
+            parts = (p.reset_index(drop=True) for _, p in batch.groupby(by, sort=False, dropna=False))
+            rows = [attempt(key_of(p), lambda: func(p)) for p in parts]
+            if rows:
+                yield frame_of(rows)
+
     def join(parts: Frame) -> Frame:
         failed = parts[parts["status"] == "failed"]
         if len(failed):
             return failed.sort_values("error").head(1)
-        if len(parts) == 1:
-            return parts
-        return attempt(key_of(parts), lambda: merge([json.loads(r) for r in parts["result"]]))
-
-    return run(df, one, schema, by, join)
+        work = lambda: merge([json.loads(r) for r in parts["result"]])
+        return frame_of([attempt(key_of(parts), work)])
+
+    def joined(parts: Frame) -> Iterator[Frame]:
+        """Keys of one slice as they are, the others one by one."""
+        keys = parts.groupby(by, sort=False, dropna=False)
+        single = keys["status"].transform("size") == 1
+        if single.any():
+            yield parts[single]
+        for _, several in parts[~single].groupby(by, sort=False, dropna=False):
+            yield join(several)
+
+    def merged(batches: Iterator[Frame]) -> Iterator[Frame]:
+        """The last key of a batch may go on in the next one, so it waits for it."""
+        held = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            number = batch.groupby(by, sort=False, dropna=False).ngroup()
+            if held and number.iloc[-1] == number.iloc[0] and same_key(held[0], batch):
+                held.append(batch)
+                continue
+            held.append(batch[number != number.iloc[-1]])
+            yield from joined(pd.concat(held, ignore_index=True))
+            held = [batch[number == number.iloc[-1]]]
+        if held:
+            yield from joined(pd.concat(held, ignore_index=True))
+
+    def same_key(a: Frame, b: Frame) -> bool:
+        return all(x == y or (pd.isna(x) and pd.isna(y)) for x, y in zip(key_of(a), key_of(b)))
+
+    # Rows are dealt by ranges of (key, row): a small key is one slice, a busy key has many tasks.
+    number = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(number, *by, F.monotonically_increasing_id())
+    found = dealt.sortWithinPartitions(*by).mapInPandas(slices, schema)
+    return found.repartition(number, *by).sortWithinPartitions(*by).mapInPandas(merged, schema)
 
 
 class AsyncRun:
