@@ -1,5 +1,6 @@
 import os
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -185,3 +186,32 @@ def test_csv_round_trip(spark, folder):
     schema = "name string, mean_ms double, stddev_ms double, min_ms double, max_ms double, iterations bigint"
     tables.write_results_csv(spark.createDataFrame(rows, schema), folder)
     assert tuple(tables.read_results_csv(spark, folder).first()) == rows[0][:5]
+
+
+def test_files_are_listed_by_tasks(spark, folder):
+    """Spark's readers would keep each file's status in the driver: no plan names the files."""
+    texts = {
+        "a/x.pt.meta.json": '{"framework":"pytorch","step":3}',
+        "a/b c/y z%.pt.meta.json": '{"step":4}',
+        "a/x.pt": "abc",
+        "a/empty.pt": "",
+        "a/_hidden.pt": "x",
+        "a/_kept=1.pt": "x",
+        ".secret/x.pt": "x",
+        "top.pt": "x",
+    }
+    for name, text in texts.items():
+        target = Path(folder) / name
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text(text)
+    found = src.scan_files(spark, folder)
+    sidecars = src.read_sidecars(spark, folder)
+    for df in (found, sidecars):
+        assert not [f for f in df.inputFiles() if "/listing-" not in f]
+    kept = {"x.pt.meta.json", "y z%.pt.meta.json", "x.pt", "_kept=1.pt", "top.pt"}
+    assert {r["filename"] for r in found.collect()} == kept
+    assert {r["path"] for r in found.filter("filename = 'top.pt'").collect()} == {f"file:{folder}/top.pt"}
+    assert sorted((r["filename"], r["step"]) for r in sidecars.collect()) == [("x.pt", 3), ("y%20z%25.pt", 4)]
+    # A pattern of paths is left to Spark's reader.
+    assert {r["filename"] for r in src.scan_files(spark, f"{folder}/[t]*").collect()} == {"top.pt"}
+    assert {r["filename"] for r in src.scan_files(spark, folder, "*.pt").collect()} == kept - {"x.pt.meta.json", "y z%.pt.meta.json"}
