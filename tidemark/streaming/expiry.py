@@ -94,8 +94,9 @@ class Expire(StatefulProcessor):
                     self.early.updateValue(lease, (first[lease],))
         for slot, leases in created.groupby(created["end_ms"] // self.slot_ms):
             ends = int(leases["end_ms"].min())
-            if self.open.containsKey((int(slot),)):
-                before = _unpack(self.open.getValue((int(slot),))[0])
+            stored = self.open.getValue((int(slot),))
+            if stored is not None:
+                before = _unpack(stored[0])
                 known = int(before["end_ms"].min())
                 leases = pd.concat([before, leases[_HELD.names]], ignore_index=True)
             else:
@@ -119,9 +120,10 @@ class Expire(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         slot = expiredTimerInfo.getExpiryTimeInMs() // self.slot_ms
-        if not self.open.containsKey((slot,)):
+        stored = self.open.getValue((slot,))
+        if stored is None:
             return
-        leases = _unpack(self.open.getValue((slot,))[0])
+        leases = _unpack(stored[0])
         due = leases["end_ms"] <= now
         if due.all():
             self.open.removeKey((slot,))
@@ -147,13 +149,14 @@ class Expire(StatefulProcessor):
 
 
 def expire_stream(
-    leases: DataFrame, delay: str = "0 seconds", shares: int = 256, slot_seconds: int = 86_400
+    leases: DataFrame, delay: str = "0 seconds", shares: int = 256, slot_seconds: int = 8 * 86_400
 ) -> DataFrame:
     """(lease_id, device_id, owner, expired_at) once the watermark of the starts passes an end.
 
     Leases are dealt by a hash of their id into ``shares``, and a share keeps those that end
     in the same ``slot_seconds`` as one value in state, with one timer: what a batch costs
-    grows with the slots it touches and, per lease, with Arrow's work only. An optional ``op`` column
+    grows with the slots it touches and, per lease, with Arrow's work only. Slots are long, as
+    a table of years has many: one that is due in part is stored once more in that batch. An optional ``op`` column
     (``create``/``release``, a release's time being
     its ``start_ts``) closes a lease early: a release before the end counts even if it arrives
     before its lease, one at or after the end does not. A lease that ends after the last
