@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.ordered import group_bounds
+
 # Partial results a task holds per key, and keys it holds, before it merges or lets go.
 _MERGE_AT = 32
 _KEYS_HELD = 10_000
@@ -209,11 +211,15 @@ def capture_outcomes(
         return df.groupBy(*by).applyInPandas(stream, schema)
 
     def slices(batches: Iterator[Frame]) -> Iterator[Frame]:
+        """Rows come sorted by key, so a key's slice is cut out by its bounds."""
         for batch in batches:
-            parts = (p.reset_index(drop=True) for _, p in batch.groupby(by, sort=False, dropna=False))
-            rows = [attempt(key_of(p), lambda: func(p)) for p in parts]
-            if rows:
-                yield frame_of(rows)
+            if not len(batch):
+                continue
+            keys, rows = [batch[c].array for c in by], []
+            for start, end in group_bounds(batch, by):
+                part = batch.iloc[start:end].reset_index(drop=True)
+                rows.append(attempt([k[start] for k in keys], lambda: func(part)))
+            yield frame_of(rows)
 
     def join(parts: Frame) -> Frame:
         failed = parts[parts["status"] == "failed"]
