@@ -18,20 +18,40 @@ def explode_tokens(
     df: DataFrame, key: str, text: str, tokenizer: tx.Tokenizer = tx.tokenize
 ) -> DataFrame:
     """One row per token: (key, pos, token)."""
-    return df.select(key, F.posexplode(tokenizer(F.col(text))).alias("pos", "token"))
+    return _exploded(df.select(key, tokenizer(F.col(text)).alias("__items")), key, "token")
+
+
+def _exploded(df: DataFrame, key: str, item: str) -> DataFrame:
+    """(key, pos, item) of the arrays ``__items``.
+
+    Of an inner explode Spark infers that its array is not empty, and works the array out
+    twice to filter by it early; so empty ones go afterwards.
+    """
+    rows = df.select(key, F.posexplode_outer("__items").alias("pos", item))
+    return rows.filter(F.col("pos").isNotNull())
 
 
 def explode_ngrams(
     df: DataFrame, key: str, text: str, n: int = 2, tokenizer: tx.Tokenizer = tx.tokenize
 ) -> DataFrame:
-    """One row per n-gram: (key, pos, gram array)."""
-    tokens = df.select(key, tokenizer(F.col(text)).alias("tokens"))
-    return tokens.select(key, F.posexplode(tx.ngrams("tokens", n)).alias("pos", "gram"))
+    """One row per n-gram: (key, pos, gram array).
+
+    The tokens are laid beside themselves, moved by one place each time, and exploded together:
+    a gram becomes an array only where it is a row.
+    """
+    tokens = df.select(F.col(key).alias("__key"), tokenizer(F.col(text)).alias("__0"))
+    if n <= 0:
+        return _exploded(tokens.select("__key", tx.ngrams("__0", n).alias("__items")), "__key", "gram").withColumnRenamed("__key", key)
+    starts = F.greatest(F.size("__0") - (n - 1), F.lit(0))
+    moved = [F.slice("__0", F.lit(i + 1), starts).alias(f"__{i}") for i in range(n)]
+    names = [f"__{i}" for i in range(n)]
+    laid = tokens.select("__key", *moved).select("__key", F.arrays_zip(*names).alias("__items"))
+    return _exploded(laid, "__key", "__gram").select(F.col("__key").alias(key), "pos", F.array(*[f"__gram.{c}" for c in names]).alias("gram"))
 
 
 def explode_sentences(df: DataFrame, key: str, text: str) -> DataFrame:
     """One row per sentence: (key, pos, sentence)."""
-    return df.select(key, F.posexplode(tx.split_sentences(text)).alias("pos", "sentence"))
+    return _exploded(df.select(key, tx.split_sentences(text).alias("__items")), key, "sentence")
 
 
 def _side(which: str, tokens: str, orders: Sequence[int], escape: bool) -> list[Column]:
