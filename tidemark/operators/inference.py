@@ -8,10 +8,11 @@ import types
 from collections.abc import Callable, Iterator
 from typing import Any, Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.ml.feature import CountVectorizerModel, Normalizer
-from pyspark.ml.functions import predict_batch_udf, vector_to_array
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,7 +71,7 @@ def embed_column(
 
     ``model_factory`` returns a function from an array of texts to a matrix. Without
     one, tokens are counted by hash (the first 8 hex digits of their MD5, modulo ``dim``)
-    and scaled to length one: deterministic, and the rows never leave the JVM.
+    and scaled to length one: deterministic, and a token is hashed once for each batch.
     """
     if model_factory is not None:
         embed = predict_batch_udf(
@@ -78,19 +79,45 @@ def embed_column(
         )
         return df.withColumn(out, embed(F.col(text)))
     tokens = F.coalesce(tokenizer(F.col(text)), F.array().cast("array<string>"))
-    place = lambda t: (
-        F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("bigint") % dim
-    ).cast("string")
-    words = df.withColumn("__places", F.transform(tokens, place))
-    places = CountVectorizerModel.from_vocabulary(
-        [str(i) for i in range(dim)], inputCol="__places", outputCol="__counts"
-    )
-    unit = Normalizer(inputCol="__counts", outputCol="__unit", p=2.0)
-    return (
-        unit.transform(places.transform(words))
-        .withColumn(out, vector_to_array("__unit", "float32"))
-        .drop("__places", "__counts", "__unit")
-    )
+    return df.withColumn(out, _hashed_counts(dim)(tokens))
+
+
+#: Rows whose counts a task holds at once.
+_ROWS_AT_ONCE = 1024
+
+
+def _hashed_counts(dim: int) -> Callable[[Column], Column]:
+    """From arrays of tokens to their counts by hash, each scaled to length one; null tokens count nowhere.
+
+    Told as not deterministic, so that a plan which explodes the vectors does not work them out
+    a second time to see that they are not empty.
+    """
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def counted(arrays: pa.Array) -> pa.Array:
+        starts = arrays.offsets.to_numpy().astype(np.int64)
+        coded = arrays.values.dictionary_encode()
+        hashed = [
+            None if t is None else int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim
+            for t in coded.dictionary.to_pylist()
+        ]
+        known = coded.indices.is_valid().to_numpy(zero_copy_only=False)
+        places = np.zeros(len(coded), dtype=np.int64)
+        places[known] = np.array(hashed, dtype=np.int64)[coded.indices.drop_null().to_numpy()]
+        parts = []
+        for k in range(0, len(arrays), _ROWS_AT_ONCE):
+            ends = starts[k : k + _ROWS_AT_ONCE + 1]
+            rows = len(ends) - 1
+            own = slice(ends[0], ends[-1])
+            row = np.repeat(np.arange(rows), np.diff(ends))[known[own]]
+            counts = np.bincount(row * dim + places[own][known[own]], minlength=rows * dim).reshape(rows, dim)
+            length = np.sqrt((counts * counts).sum(axis=1, dtype=np.float64))
+            unit = counts / np.where(length > 0, length, 1.0)[:, None]
+            flat = pa.array(unit.astype(np.float32).ravel())
+            parts.append(pa.ListArray.from_arrays(np.arange(rows + 1, dtype=np.int32) * dim, flat))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
+
+    return counted.asNondeterministic()
 
 
 def _stub(task: Column) -> Column:
