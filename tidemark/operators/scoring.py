@@ -106,23 +106,17 @@ def bigram_perplexity(
 ) -> DataFrame:
     """Perplexity of each text under the add-one bigram model of all the texts.
 
-    Bigrams are counted where the texts lie; only sums per bigram are shuffled. The last
+    Texts are cut into tokens once; the tokens are kept in the shared folder. Bigrams are counted where the texts lie; only sums per bigram are shuffled. The last
     token of a text is marked as an end, which only the word counts need. Texts are then
     scored in the map stage: the most frequent bigrams, which nearly every text holds, find
     their log probability in a bounded broadcast, and each task sums them per text. Only
     occurrences of the others are shuffled, to meet the model by bigram.
     """
     bigram = ["w1", "w2"]
-    pairs = docs.select(key, tokenizer(F.col(text)).alias("tokens")).select(
-        key,
-        F.inline_outer(
-            F.zip_with(
-                "tokens",
-                F.slice("tokens", F.lit(2), F.greatest(F.size("tokens"), F.lit(0))),
-                lambda a, b: F.struct(a.alias("w1"), b.alias("w2")),
-            )
-        ),
-    )
+    tokens = written(docs.select(F.col(key).alias("__key"), tokenizer(F.col(text)).alias("w1")), "tokens")
+    pairs = tokens.select(
+        "__key", "w1", F.slice("w1", F.lit(2), F.greatest(F.size("w1"), F.lit(0))).alias("w2")
+    ).select(F.col("__key").alias(key), F.inline_outer(F.arrays_zip(*bigram)))
     counts = written(
         pairs.filter(F.col("w1").isNotNull()).groupBy(*bigram).agg(F.count("*").alias("pair_count")),
         "bigrams",
