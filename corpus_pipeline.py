@@ -14,27 +14,19 @@ from tidemark.llm import byte_bpe, exact_dedup, mixing, ngram_join, toxicity
 from tidemark.plans.scratch import written
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Texts go to Python a thousand at a time: a batch is held in the JVM and in Python at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model scores 0.7 or more go."""
-    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.keep_clean(docs, toxicity.train(docs, labels))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for white space one document stays."""
-    small_batches(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a similarity of 0.8 on five-word shingles one stays."""
-    small_batches(spark)
     return ngram_join.drop_near_copies(docs, n=5, num=80, den=100)
 
 
@@ -45,7 +37,6 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, with digests of the ids and of what they decode to."""
-    small_batches(spark)
     return byte_bpe.round_trip(
         docs,
         public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
