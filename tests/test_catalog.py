@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import artifacts as art
 from tidemark.operators import checkpoints as ck
+from tidemark.plans import queries_streams as streams
 from tidemark.sources import files as src
 from tidemark.sources import tables
 
@@ -215,3 +216,44 @@ def test_files_are_listed_by_tasks(spark, folder):
     # A pattern of paths is left to Spark's reader.
     assert {r["filename"] for r in src.scan_files(spark, f"{folder}/[t]*").collect()} == {"top.pt"}
     assert {r["filename"] for r in src.scan_files(spark, folder, "*.pt").collect()} == kept - {"x.pt.meta.json", "y z%.pt.meta.json"}
+
+
+def test_retained_files_lie_on_disk_in_portions(spark, folder, monkeypatch):
+    """Each small file takes a block of the disk: only the files of some jobs are there at once."""
+    rows = [(i, at(60 * i), None if i % 7 == 6 else i % 7, "click", 1.0) for i in range(420)]
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/events.parquet")
+    written, present = src.write_named_files, []
+
+    def counted(df, path):
+        done = written(df, path)
+        below = Path(path.removeprefix("file://")).parent
+        present.append(sum(len(names) for _, _, names in os.walk(below)))
+        return done
+
+    monkeypatch.setattr(src, "write_named_files", counted)
+    got = streams.retain_files(spark, folder, portion=60).collect()
+    assert len(present) == 6 and max(present) < 2 * 350
+    assert sorted(got, key=str) == sorted(streams.retain_files(spark, folder).collect(), key=str)
+    assert len(got) == 7 * 2 * 5
+    assert {r["said"] for r in got} == {"before 350, removed 560"}
+    assert {r["job_id"] for r in got if r["step"] > 50} == {"0", "1", "2", "3", "4", "5", "L1", "L2"}
+
+
+def test_a_catalog_lists_its_folders_once(spark, folder, monkeypatch):
+    for tier in ("l1", "l2"):
+        os.makedirs(f"{folder}/{tier}/7")
+        Path(f"{folder}/{tier}/7/ckpt_0_1.pt").write_text(tier)
+        Path(f"{folder}/{tier}/7/ckpt_0_1.pt.meta.json").write_text('{"step": 1}')
+    listing, asked = src._listing, []
+    monkeypatch.setattr(src, "_listing", lambda spark, paths: asked.append(paths) or listing(spark, paths))
+    side, data = src.catalog(spark, {"L1": f"{folder}/l1", "L2": f"{folder}/l2"})
+    assert len(asked) == 1
+    assert sorted((r["tier"], r["job_id"], r["filename"]) for r in side.collect()) == [
+        ("L1", "7", "ckpt_0_1.pt"),
+        ("L2", "7", "ckpt_0_1.pt"),
+    ]
+    assert sorted((r["tier"], r["path"], r["bytes"]) for r in data.collect()) == [
+        ("L1", f"file:{folder}/l1/7/ckpt_0_1.pt", 2),
+        ("L2", f"file:{folder}/l2/7/ckpt_0_1.pt", 2),
+    ]
