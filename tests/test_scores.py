@@ -1,10 +1,14 @@
 import hashlib
 import math
+import random
+from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import inference, scoring, similarity
+from tidemark.operators import bigrams, inference, scoring, similarity
+from tidemark.plans.scratch import scratch_dir
 
 
 def test_similarity(spark):
@@ -118,3 +122,53 @@ def test_default_embedding_counts_hashed_tokens(spark):
         want[int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % 384] += 1
     length = math.hypot(*want)
     assert row["embedding"] == pytest.approx([v / length for v in want], abs=1e-6)
+
+
+def perplexities(docs):
+    """(scored, perplexity) of each row of (key, tokens), counted one by one."""
+    words, pairs, own = Counter(), Counter(), {}
+    for key, tokens in docs:
+        tokens = tokens or []
+        words.update(t for t in tokens if t is not None)
+        near = [p for p in zip(tokens, tokens[1:]) if None not in p]
+        pairs.update(near)
+        own.setdefault(key, []).extend(near)
+    logp = {p: math.log((c + 1) / (words[p[0]] + len(words))) for p, c in pairs.items()}
+    mean = lambda some: math.exp(-sum(logp[p] for p in some) / len(some)) if some else math.inf
+    return [(key, *((0, math.inf) if key is None else (len(own[key]), mean(own[key])))) for key, _ in docs]
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 1 << 20])
+def test_bigram_perplexity_over_chunks_and_buckets(spark, monkeypatch, size):
+    """Texts longer than a chunk, keys that repeat or are null, tokens that are null or hold any byte."""
+    monkeypatch.setattr(bigrams, "CHUNK_TOKENS", size)
+    monkeypatch.setattr(bigrams, "BUCKET_ITEMS", 16)
+    draw = random.Random(size)
+    some = ["a", "b", "", " ", "\0", "\1", "\1\2", "a\0", "\0a", "ä", "long" * 90, "null", None]
+    docs = [(draw.choice([None, *range(20)]), draw.choices(some, k=draw.choice([0, 1, 2, 5, 40]))) for _ in range(30)]
+    docs += [(50, None), (51, [None, None]), (52, ["a"] * 200)]
+    df = spark.createDataFrame(docs, "id bigint, t array<string>").repartition(3)
+    got = scoring.bigram_perplexity(df, "id", "t", tokenizer=lambda column: column).collect()
+    by = lambda row: (row[0] is None, row)
+    assert sorted(map(tuple, got), key=by) == [
+        (key, n, pytest.approx(ppl)) for key, n, ppl in sorted(perplexities(docs), key=by)
+    ]
+
+
+def test_bigram_perplexity_without_words(spark):
+    df = spark.createDataFrame([(1, None), (2, [None])], "id bigint, t array<string>")
+    got = scoring.bigram_perplexity(df, "id", "t", tokenizer=lambda column: column)
+    assert sorted(map(tuple, got.collect())) == [(1, 0, math.inf), (2, 0, math.inf)]
+    assert scoring.bigram_perplexity(df.limit(0), "id", "t", tokenizer=lambda column: column).count() == 0
+
+
+def test_bigrams_take_less_disk_than_the_texts(spark):
+    """Kept tables, where each bigram was written twice beside the tokens."""
+    draw = random.Random(1)
+    texts = [(i, " ".join(f"word{draw.randrange(5000)}" for _ in range(500))) for i in range(200)]
+    df = spark.createDataFrame(texts, "id bigint, text string")
+    kept = Path(scratch_dir(spark, "x").removeprefix("file://")).parent
+    used = lambda: sum(p.stat().st_size for p in kept.rglob("*.parquet"))
+    before = used()
+    assert scoring.bigram_perplexity(df, "id", "text").count() == 200
+    assert used() - before < 0.6 * sum(len(t) for _, t in texts)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..plans.scratch import written
+from .bigrams import bigram_logp
 
 # Fixed values: (temperature, max_new_tokens) by task, and for any other task.
 TASK_DEFAULTS = {"mcq": (0.0, 4), "mt": (0.0, 200), "ssg": (0.7, 100)}
@@ -97,63 +97,19 @@ def perplexity(
     )
 
 
-#: Bigrams whose log probability is broadcast: about 2 MB, whatever the corpus.
-FREQUENT_BIGRAMS = 20_000
-
-
 def bigram_perplexity(
     docs: DataFrame, key: str, text: str, tokenizer: tx.Tokenizer = tx.tokenize
 ) -> DataFrame:
     """Perplexity of each text under the add-one bigram model of all the texts.
 
-    Texts are cut into tokens once; the tokens are kept in the shared folder. Bigrams are counted where the texts lie; only sums per bigram are shuffled. The last
-    token of a text is marked as an end, which only the word counts need. Texts are then
-    scored in the map stage: the most frequent bigrams, which nearly every text holds, find
-    their log probability in a bounded broadcast, and each task sums them per text. Only
-    occurrences of the others are shuffled, to meet the model by bigram.
+    Texts are cut into tokens once. What is kept and shuffled is compressed: chunks of coded
+    texts, the distinct words and bigrams of each chunk, and the counts that come back to it.
     """
-    bigram = ["w1", "w2"]
-    tokens = written(docs.select(F.col(key).alias("__key"), tokenizer(F.col(text)).alias("w1")), "tokens")
-    pairs = tokens.select(
-        "__key", "w1", F.slice("w1", F.lit(2), F.greatest(F.size("w1"), F.lit(0))).alias("w2")
-    ).select(F.col("__key").alias(key), F.inline_outer(F.arrays_zip(*bigram)))
-    counts = written(
-        pairs.filter(F.col("w1").isNotNull()).groupBy(*bigram).agg(F.count("*").alias("pair_count")),
-        "bigrams",
-    )
-    word_counts = counts.groupBy("w1").agg(F.sum("pair_count").alias("word_count"))
-    distinct_words = counts.agg(F.count_distinct("w1")).first()[0]
-    model = written(
-        counts.filter(F.col("w2").isNotNull())
-        .join(word_counts, "w1")
-        .select(
-            *bigram,
-            "pair_count",
-            F.ln((F.col("pair_count") + 1) / (F.col("word_count") + F.lit(distinct_words))).alias(
-                "logp"
-            ),
-        ),
-        "bigram-model",
-    )
-    frequent = (
-        model.orderBy(F.desc("pair_count"), *bigram)
-        .limit(FREQUENT_BIGRAMS)
-        .select(*bigram, F.col("logp").alias("known"))
-    )
-    looked_up = pairs.filter(F.col("w2").isNotNull()).join(F.broadcast(frequent), bigram, "left")
-    rare = (
-        looked_up.filter(F.col("known").isNull())
-        .groupBy(*bigram, key)
-        .agg(F.count("*").alias("c"))
-        .join(model, bigram)
-    )
+    tokens = docs.select(F.col(key).alias("__key"), tokenizer(F.col(text)).alias("__tokens"))
     scored = (
-        looked_up.filter(F.col("known").isNotNull())
-        .groupBy(key)
-        .agg(F.count("*").alias("c"), F.sum("known").alias("__sum"))
-        .unionByName(rare.select(key, "c", (F.col("c") * F.col("logp")).alias("__sum")))
-        .groupBy(key)
-        .agg(F.sum("c").alias("scored"), F.sum("__sum").alias("__logp"))
+        bigram_logp(tokens, "__key", "__tokens")
+        .groupBy(F.col("__key").alias(key))
+        .agg(F.sum("scored").alias("scored"), F.sum("logp").alias("__logp"))
     )
     return (
         docs.select(key)
